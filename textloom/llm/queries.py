@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import common, mixing, quality, sharding, urls
+from . import common, embeddings, langid, mixing, packing, quality, sharding, simhash, urls
 
 #: The rules of op7.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -29,5 +30,24 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(common.read(spark, sf_dir, "pages"), rules)
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(common.read(spark, sf_dir, "documents"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = common.crc32_text(F.col("doc_id")) % 4 == 2
+    model = langid.fit(docs, ~held_out)
+    return langid.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.similar_vectors(common.read(spark, sf_dir, "embeddings"))
+
+
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(common.read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_sharding, op4_mixing, op7_url_filters)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_sharding, op4_mixing, op5_best_fit_packing, op7_url_filters, op8_language_id, op9_embedding_near_dedup, op10_simhash_near_dedup)}
