@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, embeddings, langid, mixing, packing, quality, sharding, simhash, urls
+from . import common, embeddings, hmm, langid, mixing, packing, quality, sharding, simhash, urls
 
 #: The rules of op7.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
+def op1_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read(spark, sf_dir, "documents")
+    return hmm.score_documents(docs, common.crc32_text(F.col("doc_id")) % 10 == 0)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(common.read(spark, sf_dir, "documents"))
 
@@ -50,4 +55,4 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_sharding, op4_mixing, op5_best_fit_packing, op7_url_filters, op8_language_id, op9_embedding_near_dedup, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_hmm_scores, op2_quality_rules, op3_sharding, op4_mixing, op5_best_fit_packing, op7_url_filters, op8_language_id, op9_embedding_near_dedup, op10_simhash_near_dedup)}
