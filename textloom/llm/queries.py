@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, embeddings, hmm, langid, mixing, packing, quality, sharding, simhash, urls
+from . import common, embeddings, hmm, langid, mixing, packing, paragraphs, quality, sharding, simhash, urls
 
 #: The rules of op7.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -30,6 +30,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.read(spark, sf_dir, "documents")).drop("key")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated_passages(common.read(spark, sf_dir, "documents")).drop("row_key")
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, RULES))} AS t(action, host, path)")
     return urls.judge_urls(common.read(spark, sf_dir, "pages"), rules)
@@ -55,4 +59,4 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hmm_scores, op2_quality_rules, op3_sharding, op4_mixing, op5_best_fit_packing, op7_url_filters, op8_language_id, op9_embedding_near_dedup, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_hmm_scores, op2_quality_rules, op3_sharding, op4_mixing, op5_best_fit_packing, op6_substring_dedup, op7_url_filters, op8_language_id, op9_embedding_near_dedup, op10_simhash_near_dedup)}
