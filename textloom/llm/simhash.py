@@ -142,7 +142,7 @@ def _cells(prefix: int, errors: int):
 
 
 def _joined(prefix: int, errors: int):
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         start, length = SEGMENTS[key[0]]
         r = _rotated(group["fp"].to_numpy().astype(np.uint64), start)
         home, guests = np.sort(r[~group["guest"].to_numpy()]), np.sort(r[group["guest"].to_numpy()])
@@ -176,6 +176,19 @@ def fingerprint_links(distinct: DataFrame, errors: int = 4) -> DataFrame:
     return cells.groupBy("segment", "cell").applyInPandas(_joined(prefix, errors), "a long, b long")
 
 
+def one_of_each(docs: DataFrame, errors: int = 4, shingle: int = 4) -> DataFrame:
+    """``docs`` (doc_id, text and any others) with one row of each class of ``near_duplicates``: the one with the least doc_id,
+    then the least hash of doc_id and text; of rows that agree in both, any one."""
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.coalesce("text", F.lit("")))
+    keyed = docs.withColumn("_row", key)
+    prints = stored(fingerprints(keyed.select(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col("_row").alias("row")).alias("doc_id"), "text"), shingle))
+    least = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = connected_components(fingerprint_links(least.select("fp"), errors))
+    classes = least.join(roots, least["fp"] == roots["node"], "left").select("least", F.coalesce("component", "fp").alias("root"))
+    kept = classes.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("_row"))
+    return keyed.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+
+
 def near_duplicates(docs: DataFrame, errors: int = 4, shingle: int = 4) -> DataFrame:
     """Fingerprint and class of every row of ``docs`` (doc_id, text).
 
