@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, with_pair_blocks
+from .common import bounded_batches, stored, with_pair_blocks
 from .components import connected_components
 from .forest import Forest
 from .grouping import map_groups
@@ -134,6 +134,7 @@ def similar_vectors(vectors: DataFrame, threshold: float = 0.95, seed: int = 9)
     pair's product is estimated from code and factor; the estimate's bound rules out nearly all pairs, and the rest
     are computed exactly. A pair at the threshold shares no bucket with probability ``MISS``, a closer one less.
     """
+    bounded_batches(vectors.sparkSession)
     if not 0 < threshold < 1:
         raise ValueError("threshold: between 0 and 1")
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)

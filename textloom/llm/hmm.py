@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bounded_batches, stored
 
 #: Words of their own in the emissions, classes of all others (by their last bytes), words whose counts workers hold.
 TOP, CLASSES, KNOWN = 1 << 15, 1 << 10, 1 << 18
@@ -293,6 +293,7 @@ def score_documents(docs: DataFrame, held_out: Column, states: int = 8, rounds:
     Counts of all words and expected counts of all segments are summed over the whole training rows. Only the ``KNOWN``
     most frequent words go to the workers; the counts of all others are joined to the texts that hold them.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
     counts = stored(word_counts(rows.filter("not held_out")))
     vocab, top, known = vocabulary(counts)

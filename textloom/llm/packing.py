@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import bounded_batches, stored
 
 #: Ranges that pieces of one length are numbered in, at least, and rows of a range.
 MIN_RANGES, RANGE_ROWS = 64, 1 << 16
@@ -48,6 +48,7 @@ def token_ids(text: str, vocabulary: str) -> np.ndarray:
 def pieces(docs: DataFrame, capacity: int = 1024, end: int = 2, vocabulary: str | None = None) -> DataFrame:
     """Token pieces of ``docs`` (doc_id, text): doc_id, piece, start, length, ids_crc32. A document is its ids and then
     ``end``; a longer one than ``capacity`` is cut into whole pieces after a first one that takes the remainder."""
+    bounded_batches(docs.sparkSession)
     from_path = vocabulary
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, with_pair_blocks
+from .common import bounded_batches, stored, with_pair_blocks
 from .components import connected_components
 from .forest import Forest
 from .grouping import map_groups
@@ -256,6 +256,7 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     verified pairs. Equal paragraphs are one before bands are compared, pairs of a large bucket are dealt in blocks, and
     texts are fetched for verification only where a band has met.
     """
+    bounded_batches(docs.sparkSession)
     ready = _ready(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
     units = stored(ready.mapInPandas(_units, f"doc_id {kind}, row_key long, window boolean, start long, end long, n_words long, node long, check long"))
