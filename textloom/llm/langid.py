@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import bounded_batches
+
 #: Subwords are runs of so many bytes of the text, ASCII letters lower-cased, white space as one kind of byte.
 GRAMS = (1, 2, 3, 4)
 BUCKETS, WIDTH = 1 << 15, 16
@@ -123,12 +125,18 @@ def train(texts: list[str], langs: list[str], rejected: float = 0.001, epochs: i
     return LanguageModel(labels, model.table, bias, float(temperature), cut)
 
 
-def fit(docs: DataFrame, usable: Column, per_language: int = 400, seed: int = 8, **how) -> LanguageModel:
-    """Train on ``per_language`` rows of each language among the ``usable`` rows of ``docs`` (doc_id, text, lang), at most:
-    those that come first by a hash of text and seed, so that the choice is the same wherever rows lie."""
+def fit(docs: DataFrame, usable: Column, per_language: int = 400, languages: int = 1000, seed: int = 8, **how) -> LanguageModel:
+    """Train on ``per_language`` rows of each of the ``languages`` most frequent languages among the ``usable`` rows of ``docs``
+    (doc_id, text, lang), at most: those that come first by a hash of text and seed, so that the choice is the same wherever rows
+    lie. Only rows whose hash is among about three times as many are shuffled, so what is gathered does not grow with the input."""
+    rows = docs.filter(usable & F.col("text").isNotNull() & F.col("lang").isNotNull())
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    if not counts:
+        return train([], [], seed=seed, **how)
+    share = F.element_at(F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, 3 * per_language / r["count"])))), F.col("lang"))
     order = F.xxhash64("text", F.lit(seed))
-    rows = docs.filter(usable & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang", order.alias("o"))
-    first = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("o"))).filter(F.col("n") <= per_language)
+    some = rows.filter(F.pmod(order, F.lit(1 << 30)) / F.lit(float(1 << 30)) < share).select("text", "lang", F.pmod(order, F.lit(1 << 30)).alias("o"))
+    first = some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("o", "text"))).filter(F.col("n") <= per_language)
     sample = sorted((r["lang"], r["o"], r["text"]) for r in first.select("lang", "o", "text").collect())
     return train([t for _, _, t in sample], [y for y, _, _ in sample], seed=seed, **how)
 
@@ -137,6 +145,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """``docs`` with lang_pred (a label of the model; ``und`` if the text is null or has no letter), score (0 to 1; 0
     for ``und``) and accepted (not ``und``, and the score reaches the model's cut). Nothing but the text is read for it.
     Whole texts are scored in portions. Columns of these names are replaced; an empty table gives no rows."""
+    bounded_batches(docs.sparkSession)
     ready = docs.drop("lang_pred", "score", "accepted")
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
