@@ -34,7 +34,7 @@ def source_weights(totals: DataFrame, max_repeats: float = 2.0, target_entropy:
     one = totals.agg(sources.alias("n"))
     add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
     total = add(F.col("n"))
-    shares = F.transform("n", lambda x: x / F.element_at(F.col("n"), -1))
+    shares = F.transform("n", lambda x: x / F.try_element_at("n", F.lit(-1)))
     one = one.withColumn("q", shares).withColumn("total", total)
 
     def fits(a: Column) -> Column:
@@ -42,10 +42,10 @@ def source_weights(totals: DataFrame, max_repeats: float = 2.0, target_entropy:
         if target_entropy is not None:
             mean_log = add(F.transform("q", lambda x: F.pow(x, a) * a * F.log(x)))
             return F.log(powers) - mean_log / powers < F.lit(target_entropy) * F.log(F.size("q").cast("double"))
-        least = F.element_at(F.col("q"), 1)  # repeats of the smallest source, the most
+        least = F.try_element_at("q", F.lit(1))  # repeats of the smallest source, the most
         if budget is None:
             return F.pow(least, a - 1) <= F.lit(float(max_repeats))
-        return F.lit(float(budget)) * F.pow(least, a) / powers <= F.lit(float(max_repeats)) * least * F.element_at(F.col("n"), -1)
+        return F.lit(float(budget)) * F.pow(least, a) / powers <= F.lit(float(max_repeats)) * least * F.try_element_at("n", F.lit(-1))
 
     start = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
 
@@ -58,15 +58,15 @@ def source_weights(totals: DataFrame, max_repeats: float = 2.0, target_entropy:
     exponent = F.when(fits(F.lit(0.0)), F.lit(0.0)).otherwise(F.round(found["hi"], 9))
     one = one.withColumn("exponent", F.when(F.size("n") > 0, exponent).otherwise(F.lit(1.0)))
     powers = add(F.transform("q", lambda x: F.pow(x, F.col("exponent"))))
-    size = F.lit(float(budget)) if budget is not None else F.element_at(F.col("n"), -1) * F.col("powers")
-    one = one.withColumn("powers", powers).select("exponent", "powers", F.element_at(F.col("n"), -1).alias("most"), size.alias("size"))
+    size = F.lit(float(budget)) if budget is not None else F.try_element_at("n", F.lit(-1)) * F.col("powers")
+    one = one.withColumn("powers", powers).select("exponent", "powers", F.try_element_at("n", F.lit(-1)).alias("most"), size.alias("size"))
     out = totals.crossJoin(F.broadcast(one))  # one row
     weight = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / F.col("most"), F.col("exponent")) / F.col("powers")).otherwise(F.lit(0.0))
     quota = F.when(F.col("tokens") > 0, F.greatest(F.round(F.col("size") * F.col("weight")), F.lit(1.0))).otherwise(F.lit(0.0)).cast("long")
     if budget is None:
         quota = F.greatest(quota, F.col("tokens"))
     out = out.withColumn("weight", weight).withColumn("quota", quota)
-    return out.select("source", "tokens", "exponent", "weight", "quota", (F.col("quota") / F.col("tokens")).alias("repeats"))
+    return out.select("source", "tokens", "exponent", "weight", "quota", F.try_divide("quota", "tokens").alias("repeats"))
 
 
 def mix(docs: DataFrame, max_repeats: float = 2.0, target_entropy: float | None = None, budget: int | None = None, block_tokens: int = 1 << 20, seed: str = "mix") -> DataFrame:
