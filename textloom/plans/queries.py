@@ -381,7 +381,7 @@ def admission_and_cost(spark, d):
 
 #: The flat columns of the run frame that the summaries read, in terms of the runs' SQL.
 FLAT = f"""(SELECT run_key, task_id, 'eval' AS split, condition, design_cell, success, recall AS initial_chunk_recall, recall AS initial_document_recall, recall AS initial_recall, 0 AS initial_retrieved_document_count, 0 AS initial_retrieved_chunk_count, 8 AS retrieval_k, final_recall AS final_evidence_recall, final_recall, precision AS evidence_precision,
-gold_facts AS distinct_gold_facts, 0 AS accessed_fact_count, 0 AS accessed_document_count, 0 AS accessed_chunk_count, 0 AS accessed_line_range_count, all_required AS all_required_accessed, cite_precision AS citation_precision, cite_recall AS citation_recall, calls AS tool_call_count, coalesce(permitted, CAST(nullif(regexp_extract(design_cell, '^max_calls_(\d+)$', 1), '') AS INT)) AS max_tool_calls_permitted, calls - least(invalid, calls) AS successful_tool_calls,
+gold_facts AS distinct_gold_facts, 0 AS accessed_fact_count, 0 AS accessed_document_count, 0 AS accessed_chunk_count, 0 AS accessed_line_range_count, all_required AS all_required_accessed, cite_precision AS citation_precision, cite_recall AS citation_recall, calls AS tool_call_count, coalesce(permitted, CAST(nullif(regexp_extract(design_cell, '^max_calls_([0-9]+)$', 1), '') AS INT)) AS max_tool_calls_permitted, calls - least(invalid, calls) AS successful_tool_calls,
 invalid AS invalid_tool_calls, repeated AS repeated_tool_calls, calls AS grep_calls, 0 AS read_calls, 0 AS cat_calls, 0 AS list_calls, 0 AS unique_files_read_count, 0 AS unique_line_ranges_accessed_count, CAST(NULL AS DOUBLE) AS time_to_first_gold_fact_ms, CAST(NULL AS INT) AS calls_to_complete_gold_coverage, input_tokens, output_tokens, input_tokens + output_tokens AS total_tokens, token_limit,
 wall_ms, model_ms, retrieval_ms, tool_ms, cost AS estimated_cost_usd, hops AS hop_count, category, distractors AS distractor_count, CASE WHEN (input_tokens + output_tokens) / token_limit <= 0.25 THEN '0-25%' WHEN (input_tokens + output_tokens) / token_limit <= 0.5 THEN '25-50%' WHEN (input_tokens + output_tokens) / token_limit <= 0.75 THEN '50-75%' WHEN (input_tokens + output_tokens) / token_limit <= 1 THEN '75-100%' ELSE 'over-100%' END AS budget_bucket FROM ({RUNS}) r)"""
 

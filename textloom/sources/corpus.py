@@ -14,8 +14,8 @@ from textloom.operators.chunking import chunk_documents
 from textloom.sources.jsonl import read_jsonl, sha256_file, write_single
 
 FACTS = "facts array<struct<fact_id:string,subject:string,predicate:string,object:string,line_start:int,line_end:int>>"
-DOCUMENT = StructType.fromDDL(f"schema_version int, corpus_version string, doc_id string, path string, category string, title string, content string, generator_seed decimal(20,0), {FACTS}")
-TASK = StructType.fromDDL("schema_version int, task_id string, split string, question string, canonical_answer string, acceptable_answer_variants array<string>, required_fact_ids array<string>, gold_document_ids array<string>, gold_chunk_ids array<string>, hop_count int, task_template string, category string, distractor_document_ids array<string>, distractor_count int, generator_seed decimal(20,0), corpus_version string")
+DOCUMENT = f"schema_version int, corpus_version string, doc_id string, path string, category string, title string, content string, generator_seed decimal(20,0), {FACTS}"
+TASK = "schema_version int, task_id string, split string, question string, canonical_answer string, acceptable_answer_variants array<string>, required_fact_ids array<string>, gold_document_ids array<string>, gold_chunk_ids array<string>, hop_count int, task_template string, category string, distractor_document_ids array<string>, distractor_count int, generator_seed decimal(20,0), corpus_version string"
 
 
 class InvalidCorpus(ValueError):
@@ -32,11 +32,11 @@ class Bundle:
 
 
 def load_corpus(spark: SparkSession, path: str) -> DataFrame:
-    return read_jsonl(spark, path, DOCUMENT)
+    return read_jsonl(spark, path, StructType.fromDDL(DOCUMENT))
 
 
 def load_tasks(spark: SparkSession, path: str) -> DataFrame:
-    return read_jsonl(spark, path, TASK)
+    return read_jsonl(spark, path, StructType.fromDDL(TASK))
 
 
 def violations(documents: DataFrame, tasks: DataFrame, chunks: DataFrame) -> DataFrame:
