@@ -24,6 +24,8 @@ BANDS, ROWS = 6, 3
 WINDOW, REACH = 20, 32
 #: Bytes of text that are hashed together, and distinct paragraphs of a bucket that meet in one group, twice.
 PORTION, BLOCK_ROWS = 1 << 19, 512
+#: Bits of the table that says which paragraphs' texts may be wanted.
+MARKS = 1 << 26
 #: Odd multipliers of the polynomial hashes and of the mixing steps.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 MIX = 0xFF51AFD7ED558CCD
@@ -138,10 +140,20 @@ def windows(p: Parsed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         least = np.minimum.reduceat(h[own], begin)
         group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(own))))
         taken[own[few[group] & (h[own] == least[group])]] = True
-    at = np.flatnonzero(taken & inside)
+    at = thinned(np.flatnonzero(taken & inside), h, p.doc)
     return at, h[at], span_hashes(p.h2, at, at + WINDOW, BASES[1])
 
 
+def thinned(at: np.ndarray, h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Of equal windows that overlap their forerunner, as in a text that says the same over and over, one in ``WINDOW`` words."""
+    if not len(at):
+        return at
+    go_on = (h[at[1:]] == h[at[:-1]]) & (doc[at[1:]] == doc[at[:-1]]) & (np.diff(at) < WINDOW)
+    first = np.maximum.accumulate(np.where(np.concatenate([[True], ~go_on]), np.arange(len(at)), 0))
+    step = (at - at[first]) // WINDOW
+    return at[np.concatenate([[True], ~go_on | (step[1:] != step[:-1])])]
+
+
 def _portions(b: pd.DataFrame) -> Iterator[tuple[np.ndarray, list[str]]]:
     """Row numbers and texts, about ``PORTION`` characters together; a longer text is a portion of its own."""
     rows, texts, n = [], [], 0
@@ -195,16 +207,39 @@ def _banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"key": _signed(keys.ravel()), "node": _signed(np.repeat(node, BANDS))})
 
 
-def _line_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        ids = b["doc_id"].to_numpy()
-        for rows, texts in _portions(b):
-            p = parse(texts)
-            begin, stop, node = paragraphs(p)
-            doc = p.doc[begin] if len(begin) else np.zeros(0, dtype=np.int64)
-            start, end = (p.start[begin], p.end[stop - 1]) if len(begin) else (doc, doc)
-            lines = [texts[d][s:e] for d, s, e in zip(doc.tolist(), start.tolist(), end.tolist(), strict=True)]
-            yield pd.DataFrame({"doc_id": ids[rows[doc]] if len(doc) else ids[:0], "start": start.astype(np.int64), "node": _signed(node), "line": lines})
+def _marks(nodes: DataFrame) -> np.ndarray:
+    """A table of ``MARKS`` bits of which those of the ``nodes`` are set: of one size whatever the input's."""
+    at = F.pmod("node", F.lit(MARKS))
+    parts = nodes.groupBy(F.shiftright(at, 15).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.pmod(at, F.lit(1 << 15)) + 1)).alias("bits")).collect()
+    out = np.zeros((MARKS >> 15, 4096), dtype=np.uint8)
+    for r in parts:
+        out[r["part"]] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+    return out.ravel()
+
+
+def _line_texts(marks: np.ndarray):
+    """Texts of the paragraphs whose mark is set: all that are asked for, and few others while the table is not full."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for out in _marked(b, marks):
+                yield out
+
+    return run
+
+
+def _marked(b: pd.DataFrame, marks: np.ndarray) -> Iterator[pd.DataFrame]:
+    ids = b["doc_id"].to_numpy()
+    for rows, texts in _portions(b):
+        p = parse(texts)
+        begin, stop, node = paragraphs(p)
+        place = node & np.uint64(MARKS - 1)
+        set_ = (marks[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        begin, stop, node = begin[set_], stop[set_], node[set_]
+        doc = p.doc[begin] if len(begin) else np.zeros(0, dtype=np.int64)
+        start, end = (p.start[begin], p.end[stop - 1]) if len(begin) else (doc, doc)
+        lines = [texts[d][s:e] for d, s, e in zip(doc.tolist(), start.tolist(), end.tolist(), strict=True)]
+        yield pd.DataFrame({"doc_id": ids[rows[doc]] if len(doc) else ids[:0], "start": start.astype(np.int64), "node": _signed(node), "line": pd.Series(lines, dtype=object)})
 
 
 def shingle_set(line: str) -> frozenset:
@@ -251,7 +286,7 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     (``paragraph`` or ``window``), start, end (code points of the text), n_words, class_id, occurrences (in the
     class), first_doc_id and kept (it is the class's first occurrence, by doc_id and start).
 
-    Rows with one doc_id and text are one record; null and empty texts have no passages; a null doc_id comes after
+    Rows with one doc_id and text are one record, though each counts as an occurrence; null and empty texts have no passages; a null doc_id comes after
     all; an empty table gives no rows; other columns are left out. Classes of paragraphs are components of
     verified pairs. Equal paragraphs are one before bands are compared, pairs of a large bucket are dealt in blocks, and
     texts are fetched for verification only where a band has met.
@@ -260,24 +295,25 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     ready = _ready(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
     units = stored(ready.mapInPandas(_units, f"doc_id {kind}, row_key long, window boolean, start long, end long, n_words long, node long, check long"))
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start")
-    # equal ones: paragraphs that stand once stay in, for they may be near others
-    lines = units.filter("not window").groupBy("node").agg(F.count_distinct("row_key", "start").alias("n"), F.min(place).alias("first"))
-    lines = stored(lines)
-    banded = ready.mapInPandas(_banded, "key long, node long").distinct()
-    dealt = with_pair_blocks(banded, ["key"], "node", BLOCK_ROWS)
-    dealt = stored(dealt)
-    met = dealt.select("node").distinct().join(lines, "node").select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"))
-    fetched = ready.select("doc_id", "text").mapInPandas(_line_texts, f"doc_id {kind}, start long, node long, line string")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start", "row_key")
+    count = [F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), (F.min(place) != F.max(place)).alias("twice")]
+    # equal ones are one node; those that stand once stay in, for they may be near others
+    lines = units.filter("not window").groupBy("node").agg(*count)
+    banded = ready.mapInPandas(_banded, "key long, node long")
+    shared = banded.groupBy("key").agg((F.min("node") != F.max("node")).alias("shared")).filter("shared").select("key")
+    dealt = stored(with_pair_blocks(banded.join(shared, "key").distinct(), ["key"], "node", BLOCK_ROWS))
+    asked = dealt.select("node").distinct()
+    met = asked.join(lines, "node").select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"))
+    fetched = ready.select("doc_id", "text").mapInPandas(_line_texts(_marks(asked)), f"doc_id {kind}, start long, node long, line string")
     same = fetched["doc_id"].eqNullSafe(met["doc_id"]) & (fetched["start"] == met["start"]) & (fetched["node"] == met["node"])
     texts = fetched.join(met, same, "left_semi").select("node", "line").dropDuplicates(["node"])
     pairs = map_groups(dealt.join(texts, "node"), ["key", "lo_block", "hi_block"], _verified(similarity), "a long, b long")
     roots = connected_components(pairs)
-    classed = lines.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "n", "first", F.coalesce("component", "node").alias("class_id"))
-    totals = classed.groupBy("class_id").agg(F.sum("n").alias("occurrences"), F.min("first").alias("first")).filter("occurrences > 1")
-    line_classes = classed.select("node", "class_id").join(totals, "class_id")
+    classed = lines.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "n", "first", "twice", F.coalesce("component", "node").alias("class_id"))
+    totals = classed.groupBy("class_id").agg(F.sum("n").alias("occurrences"), F.min("first").alias("first"), (F.bool_or("twice") | (F.count(F.lit(1)) > 1)).alias("twice")).filter("twice")
+    line_classes = classed.select("node", "class_id").join(totals.drop("twice"), "class_id")
     lined = units.filter("not window").join(line_classes, "node").drop("check")
-    again = units.filter("window").groupBy("node", "check").agg(F.count_distinct("row_key", "start").alias("occurrences"), F.min(place).alias("first")).filter("occurrences > 1")
+    again = units.filter("window").groupBy("node", "check").agg(*count).filter("twice").select("node", "check", F.col("n").alias("occurrences"), "first")
     windowed = units.filter("window").join(again, ["node", "check"]).withColumn("class_id", F.col("node")).drop("check")
     found = lined.unionByName(windowed)
     return found.select(
