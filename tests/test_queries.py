@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -19,8 +20,8 @@ def db(sf_dir):
 
 
 def plain(v):
-    if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 9) + 0.0
+    if isinstance(v, (float, Decimal)):
+        return None if math.isnan(v) else round(float(v), 9) + 0.0
     return v
 
 
