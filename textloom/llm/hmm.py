@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -52,7 +53,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 found.update(tokens(text))
                 if len(found) > COUNTED:
                     yield out()
-        yield out()
+        if found:
+            yield out()
 
     return docs.select("text").mapInPandas(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -104,33 +106,31 @@ def encoded(docs: DataFrame, vocab: Vocabulary, classes: pd.DataFrame, discount:
     the word's share of its class); the other words, with their number, are in ``rest``."""
     n_of = classes["n"].to_numpy()
     first = len(vocab.ids)
-    table: dict[bytes, tuple[int, float, float]] = {}
-    for w, c in vocab.counts.items():
-        own = vocab.ids.get(w)
-        g = word_class(w)
-        table[w] = (own, float(np.log10(c + 0.1)), 0.0) if own is not None else (first + g, float(np.log10(c + 0.1)), float(np.log10((c - discount) / n_of[g])))
-
-    class Ids(dict):
-        def __missing__(self, word: bytes) -> int:
-            return first + word_class(word)
+    place = {w: k for k, w in enumerate(vocab.counts)}
+    if END not in place:  # no training text; the end has its id all the same
+        place[END] = len(place)
+    group = np.array([word_class(w) for w in place])
+    own = np.array([vocab.ids.get(w, -1) for w in place])
+    c = np.array([vocab.counts.get(w, 0) for w in place])
+    ids = np.where(own >= 0, own, first + group).astype("<u2")
+    base = np.log10(c + 0.1)
+    within = np.where(own >= 0, 0.0, np.log10(np.maximum(c - discount, 1e-9) / np.maximum(n_of[group], 1)))
+    known = c > 0
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = Ids({w: x[0] for w, x in table.items()})
-        ids.setdefault(END, 0)
-        base, within = {w: x[1] for w, x in table.items()}, {w: x[2] for w, x in table.items() if x[2]}
+        find = place.get
         for b in batches:
             rows = []
-            for doc_id, own, text in zip(b["doc_id"], b["train"], b["text"], strict=True):
+            for doc_id, mine, text in zip(b["doc_id"], b["train"], b["text"], strict=True):
                 words = tokens(text)
-                number = np.fromiter(map(ids.__getitem__, words), dtype="<u2", count=len(words))
-                # words of their own, except an end that no training text has, are all known
-                rare = Counter(w for w, k in zip(words, (number >= first).tolist(), strict=True) if k)
-                got = list(map(base.get, words))
-                lacking = got.count(None)
-                n_base = sum(x for x in got if x is not None) if lacking else sum(got)
-                n_within = sum(within[w] * n for w, n in rare.items() if w in within)
-                rest = [{"word": w, "n": n} for w, n in rare.items() if w not in base]
-                rows.append((doc_id, bool(own), len(words), len(words) - lacking, n_base, n_within, number.tobytes(), rest))
+                at = np.fromiter(map(find, words, repeat(-1)), dtype=np.int64, count=len(words))
+                lacking = np.flatnonzero(at < 0).tolist()
+                number = ids[at]
+                if lacking:
+                    number[lacking] = [first + word_class(words[k]) for k in lacking]
+                    at = at[at >= 0]
+                rest = [{"word": w, "n": n} for w, n in Counter(words[k] for k in lacking).items()]
+                rows.append((doc_id, bool(mine), len(words), int(known[at].sum()), float(base[at].sum()), float(within[at].sum()), number.tobytes(), rest))
             yield pd.DataFrame(rows, columns=["doc_id", "train", "n_tokens", "n_known", "base", "within", "ids", "rest"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -330,7 +330,6 @@ def score_documents(docs: DataFrame, held_out: Column, states: int = 8, rounds:
     share = F.when(F.col("c").isNull(), bits).otherwise(F.log10((F.col("c") - F.lit(discount)) / n_of))
     rest = rest.groupBy("key").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(F.lit(0))).alias("rest_known"), F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1))).alias("rest_base"), F.sum(F.col("n") * share).alias("rest_within"))
     out = hidden.join(rest, "key", "left").fillna(0, ["rest_known", "rest_base", "rest_within"])
-    end_known = 0 if END in vocab.counts else 1
     floor = float(np.log10(vocab.total + 0.1 * (vocab.distinct + 1)))
-    base = F.col("base") + F.col("rest_base") + F.lit(float(end_known) * -1.0) - F.col("n_tokens") * F.lit(floor)
+    base = F.col("base") + F.col("rest_base") - F.col("n_tokens") * F.lit(floor)
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", (F.col("n_known") + F.col("rest_known")).alias("n_known"), F.lit(vocab.total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("hidden") + F.col("within") + F.col("rest_within")).alias("score"))
