@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
+#: Edges of a file between two rounds.
+FILE_ROWS = 1 << 18
+
 
 def _least(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m"))
@@ -25,7 +28,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     now = edges.select("a", "b").filter("a is not null and b is not null and a <> b")
     now = stored(now.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    while True:
+    rows = now.count()
+    while rows:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = _least(both).select("u", F.least("u", "m").alias("m"))
         # large star: greater neighbours of u go to u's least
@@ -33,11 +37,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # small star: u and its smaller neighbours go to u's least
         small = large.join(_least(large), "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        now = stored(small.filter("u <> v").distinct())
+        # no more files than the edges left need
+        now = stored(small.filter("u <> v").distinct().repartition(1 + rows // FILE_ROWS))
         # done when every node hangs on one node, which hangs on none
         ends = now.select(F.col("u").alias("x"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(now.select(F.col("v").alias("x"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
-        odd = ends.groupBy("x").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).filter("hangs > 1 or hangs = 1 and holds = 1")
-        if odd.agg(F.count(F.lit(1))).first()[0] == 0:
+        nodes = ends.groupBy("x").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+        odd, rows = nodes.agg(F.count_if((F.col("hangs") > 1) | ((F.col("hangs") == 1) & (F.col("holds") == 1))), F.coalesce(F.sum("hangs"), F.lit(0))).first()
+        if odd == 0:
             break
     roots = now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

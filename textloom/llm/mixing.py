@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD
+from .common import WORD, kept, stored
 
 #: Halvings of the exponent's interval.
 STEPS = 40
@@ -84,10 +84,9 @@ def mix(docs: DataFrame, max_repeats: float = 2.0, target_entropy: float | None
     """
     source = F.coalesce(F.col("source").cast("string"), F.lit("~"))
     rows = docs.select(record_key(docs).alias("key"), "doc_id", "source", source.alias("_source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("tokens"))
-    from .common import stored
-
-    records = stored(rows.groupBy("key").agg(*(F.first(c).alias(c) for c in ("doc_id", "source", "_source", "tokens")), F.count(F.lit(1)).alias("copies")))
+    records = kept(rows.groupBy("key").agg(*(F.first(c).alias(c) for c in ("doc_id", "source", "_source", "tokens")), F.count(F.lit(1)).alias("copies")))
     totals = records.groupBy(F.col("_source").alias("source")).agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"))
+    # few rows, whose size the join must know: it then leaves the records where they are
     weights = stored(source_weights(totals, max_repeats, target_entropy, budget))
     shape = weights.agg(F.greatest(F.lit(1), F.ceil(F.sum("quota") / F.lit(float(block_tokens)))).cast("long").alias("blocks"))
     w = weights.select(F.col("source").alias("_source"), F.col("tokens").alias("all_tokens"), "quota").crossJoin(F.broadcast(shape))  # one row
@@ -109,5 +108,5 @@ def mix(docs: DataFrame, max_repeats: float = 2.0, target_entropy: float | None
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs``, with all their columns, as often as ``mix`` takes them."""
-    taken = mix(docs, **how).select(F.col("key").alias("_record_key"))
-    return docs.withColumn("_record_key", record_key(docs)).join(taken, "_record_key").drop("_record_key")
+    taken = mix(docs, **how).select(F.col("key").alias("__record_key"))
+    return docs.withColumn("__record_key", record_key(docs)).join(taken, "__record_key").drop("__record_key")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded_batches, stored
+from .common import bounded_batches, kept
 
 #: Ranges that pieces of one length are numbered in, at least, and rows of a range.
 MIN_RANGES, RANGE_ROWS = 64, 1 << 16
@@ -148,7 +148,7 @@ def pack(docs: DataFrame, capacity: int = 1024, end: int = 2, vocabulary: str |
     finds its place by its number among those of its length; numbers come from ranges that are counted on
     their own, so a length that very many pieces have is in no one task.
     """
-    cut = stored(pieces(docs, capacity, end, vocabulary))
+    cut = kept(pieces(docs, capacity, end, vocabulary))
     counts = {int(r["length"]): int(r["count"]) for r in cut.groupBy("length").count().collect()}
     plan = np.array(sorted(best_two_fit(counts, capacity)), dtype=np.int64).reshape(-1, 6)
     ranges = max(MIN_RANGES, -(-max(counts.values(), default=0) // RANGE_ROWS))

@@ -343,11 +343,11 @@ def _without(text: str, spans: list[tuple[int, int]]) -> str:
 def without_repeats(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """``docs`` (doc_id, text and any others) with every occurrence of a repeated passage but the first cut out of the texts. All
     rows stay; a text that is all repeats becomes white space or empty, a null stays null."""
-    cut = repeated_passages(docs, similarity).filter("not kept").groupBy("row_key").agg(F.collect_set(F.struct("start", "end")).alias("_cut"))
+    cut = repeated_passages(docs, similarity).filter("not kept").groupBy("row_key").agg(F.collect_set(F.struct("start", "end")).alias("__cut")).withColumnRenamed("row_key", "__cut_key")
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if s is None or t is None else _without(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    keyed = docs.withColumn("_row_key", row_key(docs)).join(cut, F.col("_row_key") == F.col("row_key"), "left")
-    return keyed.withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(without("text", "_cut"))).select(*docs.columns)
+    keyed = docs.withColumn("__row_key", row_key(docs)).join(cut, F.col("__row_key") == F.col("__cut_key"), "left")
+    return keyed.withColumn("text", F.when(F.col("__cut").isNull(), F.col("text")).otherwise(without("text", "__cut"))).select(*docs.columns)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import bounded_batches, stored
+from .common import bounded_batches, kept, stored
 from .components import connected_components
 from .forest import Forest
 
@@ -181,13 +181,13 @@ def one_of_each(docs: DataFrame, errors: int = 4, shingle: int = 4) -> DataFrame
     """``docs`` (doc_id, text and any others) with one row of each class of ``near_duplicates``: the one with the least doc_id,
     then the least hash of doc_id and text; of rows that agree in both, any one."""
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.coalesce("text", F.lit("")))
-    keyed = docs.withColumn("_row", key)
-    prints = stored(fingerprints(keyed.select(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col("_row").alias("row")).alias("doc_id"), "text"), shingle))
-    least = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    keyed = docs.withColumn("__row", key)
+    prints = fingerprints(keyed.select(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col("__row").alias("row")).alias("doc_id"), "text"), shingle)
+    least = kept(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = connected_components(fingerprint_links(least.select("fp"), errors))
     classes = least.join(roots, least["fp"] == roots["node"], "left").select("least", F.coalesce("component", "fp").alias("root"))
-    kept = classes.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("_row"))
-    return keyed.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    chosen = classes.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("__row"))
+    return keyed.join(chosen, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
 
 
 def near_duplicates(docs: DataFrame, errors: int = 4, shingle: int = 4) -> DataFrame:
