@@ -132,7 +132,7 @@ def test_languages_are_told(spark):
 def test_letterless_texts(spark):
     docs = spark.createDataFrame(language_rows(), "doc_id long, text string, lang string, score string")
     model = langid.fit(docs, F.lit(True))
-    odd = spark.createDataFrame([(1, None), (2, ""), (3, "123 _ 456"), (4, "ß"), (5, LONG * 3)], "doc_id long, text string")
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "123 _ 456 ½ ²"), (4, "ß"), (5, LONG * 3)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in langid.identify(odd, model).collect()}
     assert [got[k]["lang_pred"] for k in (1, 2, 3)] == ["und"] * 3 and not any(got[k]["accepted"] for k in (1, 2, 3))
     assert got[4]["lang_pred"] in model.labels and got[5]["lang_pred"] == "de"

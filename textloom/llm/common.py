@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,8 +35,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
-    if not (path := spark.conf.get("spark.checkpoint.dir", None)):
-        path = _own_dir(spark)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _own_dir(spark)
     return path.rstrip("/")
 
 
@@ -60,6 +60,12 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` for several uses in one operator, on the executors' disks. What a lost executor held is computed again; nothing
+    is written to the shared folder, so use it where lineage is short. ``spark.catalog.clearCache()`` frees it."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def _forget(spark: SparkSession, path: str) -> None:
     try:
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

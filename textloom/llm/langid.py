@@ -17,6 +17,7 @@ from .common import bounded_batches
 #: Subwords are runs of so many bytes of the text, ASCII letters lower-cased, white space as one kind of byte.
 GRAMS = (1, 2, 3, 4)
 BUCKETS, WIDTH = 1 << 15, 16
+#: Letters and few others, such as fractions, which ``has_letter`` tells apart.
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 #: Bytes of a text that are hashed at once, and of a training segment.
@@ -26,6 +27,10 @@ _FOLD[65:91] += 32
 _FOLD[[9, 10, 11, 12, 13]] = 32
 
 
+def has_letter(text: str | None) -> bool:
+    return any(m[0].isalpha() for m in LETTER.finditer(text or ""))
+
+
 def subwords(data: bytes) -> Iterator[np.ndarray]:
     """Bucket ids of all subwords of a text, in portions that overlap so that none is lost or met twice."""
     longest = GRAMS[-1]
@@ -64,7 +69,7 @@ class LanguageModel:
         return p / p.sum()
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not LETTER.search(text) or not self.labels:
+        if not self.labels or not has_letter(text):
             return UNKNOWN, 0.0
         p = self.scores(text)
         k = int(p.argmax())
@@ -106,7 +111,7 @@ def train(texts: list[str], langs: list[str], rejected: float = 0.001, epochs: i
             bias -= 0.1 * g
             step += 1
     model = LanguageModel(labels, embed @ layer, bias, 1.0, 0.0)
-    kept = [(model.scores(t), labels.index(y)) for t, y, out in zip(texts, langs, held, strict=True) if out and t and LETTER.search(t)]
+    kept = [(model.scores(t), labels.index(y)) for t, y, out in zip(texts, langs, held, strict=True) if out and has_letter(t)]
     if not kept:
         return model
     logs = np.log(np.maximum(np.array([p for p, _ in kept]), 1e-30))
@@ -118,7 +123,7 @@ def train(texts: list[str], langs: list[str], rejected: float = 0.001, epochs: i
 
     temperature = min(np.geomspace(0.1, 4, 40), key=loss)
     model = LanguageModel(labels, model.table, bias, float(temperature), 0.0)
-    right = sorted(float(p.max()) for p, y in ((model.scores(t), labels.index(y)) for t, y, out in zip(texts, langs, held, strict=True) if out and t and LETTER.search(t)) if labels[int(p.argmax())] == labels[y])
+    right = sorted(float(p.max()) for p, y in ((model.scores(t), labels.index(y)) for t, y, out in zip(texts, langs, held, strict=True) if out and has_letter(t)) if labels[int(p.argmax())] == labels[y])
     # half of the least score of a rightly named held-out text where the sample is too small for the quantile
     k = int(rejected * len(right))
     cut = right[k] if k else (right[0] / 2 if right else 0.0)
@@ -154,4 +159,4 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             yield pd.DataFrame({"lang_pred": [x for x, _ in got], "score": [s for _, s in got], "accepted": [x != UNKNOWN and s >= model.cut for x, s in got]}, columns=["lang_pred", "score", "accepted"])
 
     predict = F.pandas_udf(run, "lang_pred string, score double, accepted boolean")
-    return ready.withColumn("_p", predict(F.col("text"))).select(*ready.columns, "_p.lang_pred", "_p.score", "_p.accepted")
+    return ready.withColumn("__told", predict(F.col("text"))).select(*ready.columns, "__told.lang_pred", "__told.score", "__told.accepted")
