@@ -111,7 +111,7 @@ def test_regression_recovers_coefficients(spark):
 
 def test_regression_says_why_not(frame):
     got = statistics.within_vfs_regression(frame).collect()
-    assert [(r["term"], r["status"]) for r in got] == [("__status__", "error")] and "insufficient" in got[0]["error"]
+    assert [(r["term"], r["status"]) for r in got] == [("__status__", "error")] and "too few" in got[0]["error"]
     g = pd.DataFrame({"task_id": ["a", "a"], "success": [True, False]})
     assert "twice" in statistics.regression_rows(g)["error"][0]
 

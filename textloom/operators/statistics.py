@@ -142,16 +142,16 @@ def regression_rows(g: pd.DataFrame, confidence: float = CONFIDENCE) -> pd.DataF
         return failed("a task stands twice", len(g))
     need = {"success": "correctness", "tool_call_count": "calls", "initial_recall": "initial recall", "hop_count": "hops", "total_tokens": "tokens", "distractor_count": "distractors", "category": "category"}
     if lacking := [name for c, name in need.items() if g[c].isna().any()]:
-        return failed("missing regression covariates: " + ", ".join(lacking), len(g))
+        return failed("covariates are missing: " + ", ".join(lacking), len(g))
     y = g["success"].astype(float).to_numpy()
     names = sorted(set(g["category"].str.strip()))
     terms = [*TERMS, *(f"category_{c}" for c in names[1:])]
     if not ((g["initial_recall"] >= 0) & (g["initial_recall"] <= 1)).all():
-        return failed("initial recall must be between zero and one", len(g), names[0])
+        return failed("initial recall is out of range", len(g), names[0])
     if len(set(y)) < 2:
-        return failed("binomial outcome requires both success classes", len(g), names[0])
+        return failed("both outcomes are needed", len(g), names[0])
     if len(g) <= len(terms):
-        return failed("insufficient observations for regression design", len(g), names[0])
+        return failed("too few runs for the terms", len(g), names[0])
     calls = g["tool_call_count"].astype(float).to_numpy()
     columns = [np.ones(len(g)), calls, calls**2, *(g[c].astype(float).to_numpy() for c in ("initial_recall", "hop_count", "total_tokens", "distractor_count")), *((g["category"].str.strip() == c).astype(float).to_numpy() for c in names[1:])]
     try:
