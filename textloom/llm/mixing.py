@@ -86,10 +86,10 @@ def mix(docs: DataFrame, max_repeats: float = 2.0, target_entropy: float | None
     rows = docs.select(record_key(docs).alias("key"), "doc_id", "source", source.alias("_source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("tokens"))
     records = kept(rows.groupBy("key").agg(*(F.first(c).alias(c) for c in ("doc_id", "source", "_source", "tokens")), F.count(F.lit(1)).alias("copies")))
     totals = records.groupBy(F.col("_source").alias("source")).agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"))
-    # few rows, whose size the join must know: it then leaves the records where they are
     weights = stored(source_weights(totals, max_repeats, target_entropy, budget))
     shape = weights.agg(F.greatest(F.lit(1), F.ceil(F.sum("quota") / F.lit(float(block_tokens)))).cast("long").alias("blocks"))
-    w = weights.select(F.col("source").alias("_source"), F.col("tokens").alias("all_tokens"), "quota").crossJoin(F.broadcast(shape))  # one row
+    # a row a source: where these are few, the join knows their size and leaves the records in their places
+    w = stored(weights.select(F.col("source").alias("_source"), F.col("tokens").alias("all_tokens"), "quota").crossJoin(F.broadcast(shape)))  # one row
     epochs = F.greatest(F.lit(1), F.ceil(F.col("quota") / F.greatest(F.col("all_tokens"), F.lit(1)))).cast("int")
     order = F.md5(F.concat_ws("|", F.lit(seed), F.col("epoch").cast("string"), F.col("key")))
     read = records.join(w, "_source").withColumn("epoch", F.explode(F.sequence(F.lit(0), epochs - 1))).withColumn("order", order)
