@@ -253,3 +253,42 @@ def test_passages_of_repeated_rows_and_of_none(spark):
     assert paragraphs.repeated_passages(docs.limit(0)).count() == 0
     junk = spark.createDataFrame([(1, "Of " * 500), (2, "Of " * 30 + "\n" + "Of " * 40)], "doc_id long, text string")
     assert {r["doc_id"] for r in paragraphs.repeated_passages(junk).collect()} == {1, 2}
+
+
+def plain_repeats(rows, least=51):
+    """Words of every text that lie in ``least`` words which stand earlier, apart from the first such place in the same text."""
+    seen, out = {}, {}
+    for i, t in rows:
+        words = t.lower().split()
+        for x in range(len(words) - least + 1):
+            first = seen.setdefault(tuple(words[x : x + least]), (i, x))
+            if first[0] != i or x - first[1] >= least:
+                out.setdefault(i, set()).update(range(x, x + least))
+    return out
+
+
+def test_passages_are_found_and_cut_as_wholes(spark):
+    rng = np.random.default_rng(21)
+    say = lambda n: [f"k{x}" for x in rng.integers(0, 9000, size=n)]
+    rows = []
+    for n in (50, 51, 52, 60, 75, 120, 200, 400):
+        passage = say(n)
+        # a text that shares only the middle of it comes first, one that shares it and more comes last
+        rows += [say(40) + passage[n // 2 - 15 : n // 2 + 15] + say(40)]
+        more = say(80)
+        rows += [say(int(rng.integers(0, 70))) + passage + more + say(30), say(int(rng.integers(0, 70))) + passage + say(int(rng.integers(0, 70))), passage + more, [*say(9), *passage]]
+    own = say(70)
+    rows += [own + say(30) + own + own, ["of"] * 400, ["of"] * 90, (own[:7] * 40)[:200], say(300)]
+    rows = [(i, "".join(w + ("\n" if rng.random() < 0.02 else "  " if rng.random() < 0.05 else " ") for w in words)) for i, words in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = paragraphs.repeated_passages(docs).filter("kind = 'window'").collect()
+    texts, want, cut = dict(rows), plain_repeats(rows), {}
+    for r in got:
+        before, words = len(texts[r["doc_id"]][: r["start"]].split()), texts[r["doc_id"]][r["start"] : r["end"]].split()
+        assert len(words) == r["n_words"] >= 51
+        if not r["kept"]:
+            cut.setdefault(r["doc_id"], set()).update(range(before, before + len(words)))
+    assert cut == want
+    left = {r["doc_id"]: r["text"].lower().split() for r in paragraphs.without_repeats(docs).collect()}
+    lines = {r["doc_id"] for r in paragraphs.repeated_passages(docs).filter("kind = 'paragraph' and not kept").collect()}
+    assert all(left[i] == [w for k, w in enumerate(t.lower().split()) if k not in want.get(i, ())] for i, t in rows if i not in lines)

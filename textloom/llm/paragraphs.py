@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, stored, with_pair_blocks
@@ -22,6 +22,8 @@ BANDS, ROWS = 6, 3
 #: Words of a window, and windows in a row of which one at least is taken: two texts that share 51 words or more,
 #: wherever these stand in them, take one window of their common words at least.
 WINDOW, REACH = 20, 32
+#: Words of the shortest passage that is looked for inside of paragraphs, and across them.
+PASSAGE = WINDOW + REACH - 1
 #: Bytes of text that are hashed together, and distinct paragraphs of a bucket that meet in one group, twice.
 PORTION, BLOCK_ROWS = 1 << 19, 512
 #: Bits of the table that says which paragraphs' texts may be wanted.
@@ -114,44 +116,50 @@ def band_keys(p: Parsed, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return keys
 
 
+def seeds(p: Parsed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First words of the windows taken: of every ``REACH`` in a row that lie in one text, the last with the least hash. With them
+    the first and the last of the passages of ``PASSAGE`` words that each is taken for: these are all of a text's, each once."""
+    n = len(p.h1) - PASSAGE + 1
+    full = np.flatnonzero(p.doc[:n] == p.doc[PASSAGE - 1 :]) if n > 0 else np.zeros(0, dtype=np.int64)
+    if not len(full):
+        return full, full, full
+    at = np.arange(len(p.h1) - WINDOW + 1)
+    rows = np.lib.stride_tricks.sliding_window_view(span_hashes(p.h1, at, at + WINDOW, BASES[0]), REACH)
+    taken = np.empty(len(full), dtype=np.int64)
+    for lo in range(0, len(full), 1 << 16):
+        some = full[lo : lo + (1 << 16)]
+        taken[lo : lo + len(some)] = some + REACH - 1 - rows[some, ::-1].argmin(axis=1)
+    begin = np.flatnonzero(np.concatenate([[True], taken[1:] != taken[:-1]]))
+    return taken[begin], full[begin], full[np.append(begin[1:], len(full)) - 1]
+
+
 def windows(p: Parsed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First words and the two hashes of the windows taken: of every ``REACH`` in a row, and of a text that has fewer, the one
-    with the least hash."""
-    n = len(p.h1) - WINDOW + 1
-    if n < 1:
-        none = np.zeros(0, dtype=np.int64)
-        return none, none.astype(np.uint64), none.astype(np.uint64)
-    at = np.arange(n)
-    h = span_hashes(p.h1, at, at + WINDOW, BASES[0])
-    inside = p.doc[at] == p.doc[at + WINDOW - 1]
-    taken = np.zeros(n, dtype=bool)
-    # of windows in a row that lie in one text, the last with the least hash
-    if n >= REACH:
-        rows = np.lib.stride_tricks.sliding_window_view(h, REACH)
-        full = np.flatnonzero(p.doc[: n - REACH + 1] == p.doc[REACH - 1 + WINDOW - 1 :][: n - REACH + 1])
-        for lo in range(0, len(full), 1 << 16):
-            some = full[lo : lo + (1 << 16)]
-            taken[some + REACH - 1 - rows[some, ::-1].argmin(axis=1)] = True
-    # texts with fewer
-    own = at[inside]
-    if len(own):
-        begin = np.flatnonzero(np.concatenate([[True], p.doc[own][1:] != p.doc[own][:-1]]))
-        few = np.diff(np.append(begin, len(own))) < REACH
-        least = np.minimum.reduceat(h[own], begin)
-        group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(own))))
-        taken[own[few[group] & (h[own] == least[group])]] = True
-    at = thinned(np.flatnonzero(taken & inside), h, p.doc)
-    return at, h[at], span_hashes(p.h2, at, at + WINDOW, BASES[1])
-
-
-def thinned(at: np.ndarray, h: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Of equal windows that overlap their forerunner, as in a text that says the same over and over, one in ``WINDOW`` words."""
+    """First words and the two hashes of the windows taken."""
+    at = seeds(p)[0]
+    return at, span_hashes(p.h1, at, at + WINDOW, BASES[0]), span_hashes(p.h2, at, at + WINDOW, BASES[1])
+
+
+def surroundings(p: Parsed, at: np.ndarray) -> np.ndarray:
+    """Hashes of all words, and their places, that a passage around the windows ``at`` may have. What windows with one such hash are
+    taken for is the same word by word and character by character."""
+    step = np.diff(p.start, prepend=0)
+    if len(step):
+        step[np.concatenate([[True], p.doc[1:] != p.doc[:-1]])] = 0
+    placed = mixed(p.h2 ^ (step.astype(np.uint64) * np.uint64(BASES[0])) ^ ((p.end - p.start).astype(np.uint64) * np.uint64(MIX)))
+    lo = np.maximum(at - (REACH - 1), np.searchsorted(p.doc, p.doc[at], side="left"))
+    hi = np.minimum(at + PASSAGE, np.searchsorted(p.doc, p.doc[at], side="right"))
+    return mixed(span_hashes(placed, lo, hi, BASES[1]) + (at - lo).astype(np.uint64) * np.uint64(BASES[0]))
+
+
+def thinned(at: np.ndarray, around: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which windows to keep of those that overlap their forerunner's passage and are the same, as in a text that says the same over
+    and over: the first, the last, the first apart from the first, and so many that their passages touch."""
     if not len(at):
-        return at
-    go_on = (h[at[1:]] == h[at[:-1]]) & (doc[at[1:]] == doc[at[:-1]]) & (np.diff(at) < WINDOW)
-    first = np.maximum.accumulate(np.where(np.concatenate([[True], ~go_on]), np.arange(len(at)), 0))
-    step = (at - at[first]) // WINDOW
-    return at[np.concatenate([[True], ~go_on | (step[1:] != step[:-1])])]
+        return np.zeros(0, dtype=bool)
+    go_on = np.concatenate([[False], (around[1:] == around[:-1]) & (doc[1:] == doc[:-1]) & (np.diff(at) < PASSAGE)])
+    d = at - at[np.maximum.accumulate(np.where(go_on, 0, np.arange(len(at))))]
+    step = np.where(d < PASSAGE, d // (PASSAGE // 2 + 1), 2 + (d - PASSAGE) // (PASSAGE // 2))
+    return ~go_on | np.append(~go_on[1:], True) | np.concatenate([[True], step[1:] != step[:-1]])
 
 
 def _portions(b: pd.DataFrame) -> Iterator[tuple[np.ndarray, list[str]]]:
@@ -173,30 +181,66 @@ def _signed(h: np.ndarray) -> np.ndarray:
 
 
 def _units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Paragraphs (window false) and windows with their places."""
+    """Paragraphs (window false) with their places, and windows with the places of all that they are taken for. ``at`` gives the
+    order in a text: a paragraph's start or the number of a window's first word."""
     for b in batches:
         ids, row_keys = b["doc_id"].to_numpy(), b["row_key"].to_numpy()
         for rows, texts in _portions(b):
             p = parse(texts)
             begin, stop, node = paragraphs(p)
-            at, h1, h2 = windows(p)
-            first, last = np.concatenate([begin, at]), np.concatenate([stop, at + WINDOW]) - 1
+            at, low, high = seeds(p)
+            around = surroundings(p, at)
+            some = thinned(at, around, p.doc[at])
+            at, low, high, around = at[some], low[some], high[some], around[some]
+            first, last = np.concatenate([begin, low]), np.concatenate([stop, high + PASSAGE]) - 1
             doc = rows[p.doc[first]] if len(first) else np.zeros(0, dtype=np.int64)
             window = np.arange(len(first)) >= len(begin)
+            start = p.start[first].astype(np.int64)
+            base = np.searchsorted(p.doc, p.doc[at], side="left")
             yield pd.DataFrame(
                 {
                     "doc_id": ids[doc],
                     "row_key": row_keys[doc],
                     "window": window,
-                    "start": p.start[first].astype(np.int64),
+                    "start": start,
                     "end": p.end[last].astype(np.int64),
                     "n_words": (last - first + 1).astype(np.int64),
-                    "node": _signed(np.concatenate([node, h1])),
-                    "check": _signed(np.concatenate([np.zeros(len(node), dtype=np.uint64), h2])),
+                    "node": _signed(np.concatenate([node, span_hashes(p.h1, at, at + WINDOW, BASES[0])])),
+                    "around": _signed(np.concatenate([np.zeros(len(node), dtype=np.uint64), around])),
+                    "at": np.concatenate([start[: len(begin)], at - base]).astype(np.int64),
+                    "lead": np.concatenate([np.zeros(len(begin), dtype=np.int64), at - low]).astype(np.int64),
                 }
             )
 
 
+def _wanted(marks: np.ndarray):
+    """Of the windows that are marked, the hashes of all passages that they are taken for, and where these begin and end, in
+    characters from the beginning of the first."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            row_keys = b["row_key"].to_numpy()
+            for rows, texts in _portions(b):
+                p = parse(texts)
+                at, low, high = seeds(p)
+                around = surroundings(p, at)
+                word = at - np.searchsorted(p.doc, p.doc[at], side="left")
+                of = row_keys[rows[p.doc[at]]] if len(at) else row_keys[:0]
+                place = (around ^ of.astype(np.int64).view(np.uint64) ^ word.astype(np.uint64)) & np.uint64(MARKS - 1)
+                set_ = (marks[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                at, low, high, around, word, of = at[set_], low[set_], high[set_], around[set_], word[set_], of[set_]
+                size = high - low + 1
+                cut = np.cumsum(size)
+                x = np.arange(cut[-1] if len(cut) else 0) + np.repeat(low - (cut - size), size)
+                base = np.repeat(p.start[low], size)
+                each = [_signed(span_hashes(p.h2, x, x + PASSAGE, BASES[1])), (p.start[x] - base).astype(np.int64), (p.end[x + PASSAGE - 1] - base).astype(np.int64)]
+                lists = [pd.Series(np.split(v, cut[:-1]) if len(cut) else [], dtype=object) for v in each]
+                node = _signed(span_hashes(p.h1, at, at + WINDOW, BASES[0]))
+                yield pd.DataFrame({"row_key": of, "at": word.astype(np.int64), "node": node, "around": _signed(around), "hashes": lists[0], "starts": lists[1], "ends": lists[2]})
+
+    return run
+
+
 def _banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for _, texts in _portions(b):
@@ -277,16 +321,75 @@ def row_key(docs: DataFrame):
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.coalesce("text", F.lit("")))
 
 
+def _windowed(ready: DataFrame, units: DataFrame, place: Column) -> DataFrame:
+    """The maximal runs of words of which every ``PASSAGE`` in a row stand elsewhere too.
+
+    Equal passages of ``PASSAGE`` words have the same window taken, so only windows that stand twice are looked at. Those with
+    the same surroundings are one: each passage around them is repeated as often. Where surroundings differ, the first window of
+    each is asked for the hashes of its passages. So nothing is compared in pairs, and a passage that the first text with
+    a window does not share is found among the others.
+    """
+    again = units.filter("window").groupBy("node").agg((F.min("around") != F.max("around")).alias("differ"), (F.min(place) != F.max(place)).alias("twice")).filter("twice").drop("twice")
+    taken = stored(units.filter("window").drop("window").join(again, "node"))
+    same = stored(taken.groupBy("node", "around", "differ").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("own"), (F.min(place) != F.max(place)).alias("twice"), F.first("n_words").alias("n_words"), F.first(F.col("end") - F.col("start")).alias("length")))
+    odd = same.filter("differ").select("node", "around", "n", "own", "twice", F.col("own.row_key").alias("row_key"), F.col("own.at").alias("at"))
+    marks = _marks(odd.select(F.col("around").bitwiseXOR(F.col("row_key")).bitwiseXOR(F.col("at")).alias("node")))
+    asked = ready.select("text", "row_key").mapInPandas(_wanted(marks), "row_key long, at long, node long, around long, hashes array<long>, starts array<long>, ends array<long>")
+    asked = asked.join(odd, ["node", "around", "row_key", "at"]).dropDuplicates(["node", "around"])
+    each = stored(asked.select("node", "around", "n", "own", "twice", F.posexplode(F.arrays_zip("hashes", "starts", "ends"))).select("node", "around", "n", "own", "twice", F.col("pos").alias("k"), "col.*"))
+    met = each.groupBy("node", "hashes").agg(F.sum("n").alias("total"), F.min("own").alias("first"), (F.bool_or("twice") | (F.min("own") != F.max("own"))).alias("again")).filter("again")
+    each = each.join(met, ["node", "hashes"])
+    # a passage that overlaps the first one in its own text goes on with it
+    apart = lambda one, other: ~one["row_key"].eqNullSafe(other["row_key"]) | (one["at"] - other["at"] >= PASSAGE)
+    is_first = F.col("first") == F.col("own")
+    ends = ((F.min, "starts", "start"), (F.max, "ends", "end"), (F.min, "k", "low"), (F.max, "k", "high"), (F.max, "total", "n"), (F.min, "first", "first"))
+    span = lambda cond: F.struct(*(f(F.when(cond, F.col(c))).alias(name) for f, c, name in ends))
+    told = each.groupBy("node", "around").agg(span(is_first).alias("begun"), span(~is_first & apart(F.col("own"), F.col("first"))).alias("met"), span(F.lit(True)).alias("all"), F.first("own").alias("own"))
+    whole = F.struct(F.lit(0).cast("long").alias("start"), F.col("length").alias("end"), F.lit(0).alias("low"), (F.col("n_words") - PASSAGE).cast("int").alias("high"), F.col("n").alias("n"), F.col("own").alias("first"))
+    none = F.lit(None).cast(told.schema["met"].dataType)
+    plain = same.filter("not differ").select("node", "around", whole.alias("begun"), none.alias("met"), whole.alias("all"), "own")
+    spread = taken.drop("differ").join(told.unionByName(plain), ["node", "around"])
+    here = F.struct("row_key", "at")
+    own = (F.col("row_key") == F.col("own.row_key")) & (F.col("at") == F.col("own.at"))
+    later = F.when(apart(here, F.col("own")), F.col("all")).otherwise(F.col("met"))
+    part = lambda kept, s: F.struct(F.lit(kept).alias("kept"), s.alias("s"))
+    both = F.when(own, F.array(part(True, F.col("begun")), part(False, F.col("met")))).otherwise(F.array(part(False, later)))
+    parts = spread.select("doc_id", "row_key", "node", "start", F.col("at").alias("word"), "lead", F.explode(both).alias("p"))
+    parts = parts.filter("p.s.start is not null").select(
+        "doc_id",
+        "row_key",
+        "node",
+        F.col("p.kept").alias("kept"),
+        (F.col("start") + F.col("p.s.start")).alias("start"),
+        (F.col("start") + F.col("p.s.end")).alias("end"),
+        (F.col("word") - F.col("lead") + F.col("p.s.low")).alias("low"),
+        (F.col("word") - F.col("lead") + F.col("p.s.high") + PASSAGE).alias("high"),
+        F.col("p.s.n").alias("n"),
+        F.col("p.s.first").alias("first"),
+    )
+    order = Window.partitionBy("row_key", "kept").orderBy("low", "high", "node")
+    before = F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = parts.withColumn("new", F.when(F.col("low") <= before, 0).otherwise(1)).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("row_key", "kept", "run").agg(
+        F.first("doc_id").alias("doc_id"),
+        F.min("start").alias("start"),
+        F.max("end").alias("end"),
+        (F.max("high") - F.min("low")).cast("long").alias("n_words"),
+        F.min(F.struct("low", "high", "node", "n", "first")).alias("head"),
+    )
+
+
 def repeated_passages(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """Every occurrence of a repeated passage in ``docs`` (doc_id, text).
 
     A passage is a paragraph (line) of ``MIN_WORDS`` words or more, repeated if another has the same words or, by the Jaccard
-    similarity of the sets of 5-word shingles, at least ``similarity``; or a window of ``WINDOW`` words that
-    stands elsewhere too, in any paragraph. Case of A-Z and white space do not matter. Returns row_key, doc_id, kind
+    similarity of the sets of 5-word shingles, at least ``similarity``; or a window: a run of ``PASSAGE`` words or more, as long as
+    it can be, of which every ``PASSAGE`` stand elsewhere too, in any paragraphs. Shorter runs are none. Case of A-Z and white space do not matter. Returns row_key, doc_id, kind
     (``paragraph`` or ``window``), start, end (code points of the text), n_words, class_id, occurrences (in the
-    class), first_doc_id and kept (it is the class's first occurrence, by doc_id and start).
+    class), first_doc_id and kept (it is the class's first occurrence, by doc_id and start). A run that is kept holds the words that
+    stand here first, one that is not kept those that stand earlier; class_id, occurrences and first_doc_id are those of its beginning.
 
-    Rows with one doc_id and text are one record, though each counts as an occurrence; null and empty texts have no passages; a null doc_id comes after
+    Rows with one doc_id and text are one record, whose runs come once, though each counts as an occurrence; null and empty texts have no passages; a null doc_id comes after
     all; an empty table gives no rows; other columns are left out. Classes of paragraphs are components of
     verified pairs. Equal paragraphs are one before bands are compared, pairs of a large bucket are dealt in blocks, and
     texts are fetched for verification only where a band has met.
@@ -294,8 +397,8 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     bounded_batches(docs.sparkSession)
     ready = _ready(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    units = stored(ready.mapInPandas(_units, f"doc_id {kind}, row_key long, window boolean, start long, end long, n_words long, node long, check long"))
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start", "row_key")
+    units = stored(ready.mapInPandas(_units, f"doc_id {kind}, row_key long, window boolean, start long, end long, n_words long, node long, around long, at long, lead long"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "at", "row_key")
     count = [F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), (F.min(place) != F.max(place)).alias("twice")]
     # equal ones are one node; those that stand once stay in, for they may be near others
     lines = units.filter("not window").groupBy("node").agg(*count)
@@ -303,7 +406,7 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     shared = banded.groupBy("key").agg((F.min("node") != F.max("node")).alias("shared")).filter("shared").select("key")
     dealt = stored(with_pair_blocks(banded.join(shared, "key").distinct(), ["key"], "node", BLOCK_ROWS))
     asked = dealt.select("node").distinct()
-    met = asked.join(lines, "node").select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"))
+    met = asked.join(lines, "node").select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.at").alias("start"))
     fetched = ready.select("doc_id", "text").mapInPandas(_line_texts(_marks(asked)), f"doc_id {kind}, start long, node long, line string")
     same = fetched["doc_id"].eqNullSafe(met["doc_id"]) & (fetched["start"] == met["start"]) & (fetched["node"] == met["node"])
     texts = fetched.join(met, same, "left_semi").select("node", "line").dropDuplicates(["node"])
@@ -312,21 +415,32 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     classed = lines.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "n", "first", "twice", F.coalesce("component", "node").alias("class_id"))
     totals = classed.groupBy("class_id").agg(F.sum("n").alias("occurrences"), F.min("first").alias("first"), (F.bool_or("twice") | (F.count(F.lit(1)) > 1)).alias("twice")).filter("twice")
     line_classes = classed.select("node", "class_id").join(totals.drop("twice"), "class_id")
-    lined = units.filter("not window").join(line_classes, "node").drop("check")
-    again = units.filter("window").groupBy("node", "check").agg(*count).filter("twice").select("node", "check", F.col("n").alias("occurrences"), "first")
-    windowed = units.filter("window").join(again, ["node", "check"]).withColumn("class_id", F.col("node")).drop("check")
-    found = lined.unionByName(windowed)
-    return found.select(
+    lined = units.filter("not window").join(line_classes, "node")
+    runs = _windowed(ready, units, place)
+    return lined.select(
         "row_key",
         "doc_id",
-        F.when(F.col("window"), "window").otherwise("paragraph").alias("kind"),
+        F.lit("paragraph").alias("kind"),
         "start",
         "end",
         "n_words",
         "class_id",
         "occurrences",
         F.col("first.doc_id").alias("first_doc_id"),
-        (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") == F.col("first.start"))).alias("kept"),
+        (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") == F.col("first.at"))).alias("kept"),
+    ).unionByName(
+        runs.select(
+            "row_key",
+            "doc_id",
+            F.lit("window").alias("kind"),
+            "start",
+            "end",
+            "n_words",
+            F.col("head.node").alias("class_id"),
+            F.col("head.n").alias("occurrences"),
+            F.col("head.first.doc_id").alias("first_doc_id"),
+            "kept",
+        )
     )
 
 
