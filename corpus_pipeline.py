@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import common, langid, mixing, packing, paragraphs, simhash
+from textloom.llm import common, langid, mixing, nearcopies, packing, paragraphs
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -18,8 +18,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
-    return simhash.one_of_each(docs.select(COLUMNS))
+    """One document of each class of near copies: texts whose 5-word shingles have a Jaccard similarity of 0.8 or more.
+    Fingerprints of 64 bits cannot tell these from others, so candidates come from MinHash bands and are verified."""
+    return nearcopies.one_of_each(docs.select(COLUMNS))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

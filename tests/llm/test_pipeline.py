@@ -60,3 +60,21 @@ def test_run_is_its_stages(spark, sf_dir):
 def test_an_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_down_to_the_similarity_go(spark):
+    rng = np.random.default_rng(12)
+    rows, near, far, sim = [], set(), set(), lambda a, b: len(a & b) / len(a | b)
+    cut = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    for i in range(60):
+        words = [f"n{x}" for x in rng.integers(0, 5000, size=200)]
+        edited = list(words)
+        for k in rng.choice(196, size=1 + i % 9, replace=False):
+            edited[k + 2] = f"e{i}x{k}"
+        (near if (s := sim(cut(words), cut(edited))) >= 0.8 else far).add(1000 + i)
+        rows += [(i, " ".join(words)), (1000 + i, " ".join(edited))]
+    rows += [(2000, "one two"), (2001, "One  two"), (2002, "one three"), (2003, None), (2004, " "), (2000, "one two"), (None, "one two"), (None, "alone here")]
+    docs = spark.createDataFrame([(i, t, "en", "x", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = [r["doc_id"] for r in corpus_pipeline.simhash_dedup(spark, docs, "").collect()]
+    assert len(left) == len(set(left)) and set(range(60)) | far | {2000, 2002, 2003, None} <= set(left) and not {2001, 2004} & set(left)
+    assert len(near) >= 20 and len(far) >= 10 and len(near & set(left)) <= 1
