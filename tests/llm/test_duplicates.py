@@ -292,3 +292,10 @@ def test_passages_are_found_and_cut_as_wholes(spark):
     left = {r["doc_id"]: r["text"].lower().split() for r in paragraphs.without_repeats(docs).collect()}
     lines = {r["doc_id"] for r in paragraphs.repeated_passages(docs).filter("kind = 'paragraph' and not kept").collect()}
     assert all(left[i] == [w for k, w in enumerate(t.lower().split()) if k not in want.get(i, ())] for i, t in rows if i not in lines)
+
+
+def test_one_row_without_id_keeps_a_paragraph(spark):
+    line = " ".join(f"z{x}" for x in range(30))
+    docs = spark.createDataFrame([(None, f"{line}\nrest {k}") for k in range(4)], "doc_id long, text string")
+    assert sorted(r["kept"] for r in paragraphs.repeated_passages(docs).collect()) == [False] * 3 + [True]
+    assert sum(line in r["text"] for r in paragraphs.without_repeats(docs).collect()) == 1

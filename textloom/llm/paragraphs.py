@@ -386,7 +386,7 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     similarity of the sets of 5-word shingles, at least ``similarity``; or a window: a run of ``PASSAGE`` words or more, as long as
     it can be, of which every ``PASSAGE`` stand elsewhere too, in any paragraphs. Shorter runs are none. Case of A-Z and white space do not matter. Returns row_key, doc_id, kind
     (``paragraph`` or ``window``), start, end (code points of the text), n_words, class_id, occurrences (in the
-    class), first_doc_id and kept (it is the class's first occurrence, by doc_id and start). A run that is kept holds the words that
+    class), first_doc_id and kept (it is the class's first occurrence, by doc_id, start and row_key). A run that is kept holds the words that
     stand here first, one that is not kept those that stand earlier; class_id, occurrences and first_doc_id are those of its beginning.
 
     Rows with one doc_id and text are one record, whose runs come once, though each counts as an occurrence; null and empty texts have no passages; a null doc_id comes after
@@ -427,7 +427,7 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
         "class_id",
         "occurrences",
         F.col("first.doc_id").alias("first_doc_id"),
-        (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") == F.col("first.at"))).alias("kept"),
+        (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") == F.col("first.at")) & (F.col("row_key") == F.col("first.row_key"))).alias("kept"),
     ).unionByName(
         runs.select(
             "row_key",
