@@ -2,6 +2,7 @@
 
 import collections
 import math
+import random
 import re
 import zlib
 
@@ -52,10 +53,15 @@ def test_quality_counts(docs):
     assert got == sorted(((r[0], *counts(r[1])) for r in ROWS), key=repr)
 
 
+def prose(i: int) -> str:
+    rng = random.Random(i)
+    return " ".join("x" * rng.randint(1, 9) + str(rng.randint(0, 999)) for _ in range(rng.randint(60, 300)))
+
+
 def test_quality_verdicts(spark):
-    clean = [(i, " ".join(f"word{(i * 7 + k) % 97}x{k}" for k in range(80)), "en", f"s{i % 2}", "") for i in range(120)]
+    clean = [(i, prose(i), "en", f"s{i % 2}", "") for i in range(120)]
     bad = [(900, " ".join(f"w{k}###%%%" for k in range(80)), "en", "s0", ""), (901, "spam ham egg " * 40, "en", "s0", ""), (902, "short", "en", "s1", "")]
-    got = {r["doc_id"]: r for r in quality.judge_quality(spark.createDataFrame(clean + bad, SCHEMA), min_rows=50).collect()}
+    got = {r["doc_id"]: r for r in quality.judge_quality(spark.createDataFrame(clean + bad, SCHEMA)).collect()}
     assert all(got[i]["kept"] for i in range(120))
     assert not got[900]["base_failed"] and not got[900]["kept"]
     assert got[901]["base_failed"] and got[902]["base_failed"] and not got[902]["kept"]
@@ -63,13 +69,25 @@ def test_quality_verdicts(spark):
 
 def test_thresholds_follow_the_source(spark):
     """A source whose documents all hold many symbols keeps them; where none do, one that does is out."""
-    table = lambda i: " | ".join(f"cell{(i * 13 + k) % 89}q{k}" for k in range(70))
-    prose = lambda i: " ".join(f"word{(i * 7 + k) % 97}x{k}" for k in range(80))
+    table = lambda i: prose(i).replace(" ", " | ")
     rows = [(i, table(i), "en", "tables", "") for i in range(60)] + [(100 + i, prose(i), "en", "prose", "") for i in range(60)] + [(999, table(3), "en", "prose", "")]
-    got = {r["doc_id"]: r["kept"] for r in quality.judge_quality(spark.createDataFrame(rows, SCHEMA), min_rows=50).collect()}
+    got = {r["doc_id"]: r["kept"] for r in quality.judge_quality(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert all(got[i] for i in range(60)) and all(got[100 + i] for i in range(60)) and not got[999]
 
 
+def test_bounds_come_from_the_data(spark):
+    """A wider spread gives wider bounds, in proportion; copies in any number leave the bounds as they are."""
+    measured = lambda spread: spark.range(1, 201).selectExpr("'en' AS lang", "'s' AS source", f"5 + {spread} * (id - 100) / 100 AS word_length", f"-8 + {spread} * id / 100 AS symbol_odds", "-3.0 AS dup_line_odds", "id / 100 AS repeat_odds")
+    wide, narrow = (quality.thresholds(measured(x)).first()["bounds"] for x in (2.0, 0.5))
+    room = lambda b: b["word_length"]["high"] - b["word_length"]["low"]
+    assert abs(room(wide) / room(narrow) - 4) < 1e-9 and wide["symbol_odds"]["high"] > narrow["symbol_odds"]["high"] and wide["symbol_odds"]["low"] is None
+    texts = [(i, prose(i), "en", "s", "") for i in range(80)]
+    once = {r["doc_id"]: r["outside"] for r in quality.judge_quality(spark.createDataFrame(texts, SCHEMA)).collect()}
+    copies = [(1000 + i, texts[5][1], "en", "s", "") for i in range(500)]
+    more = {r["doc_id"]: r["outside"] for r in quality.judge_quality(spark.createDataFrame(texts + copies, SCHEMA)).collect()}
+    assert all(more[i] == once[i] for i in once)
+
+
 def test_shards(docs):
     got = sharding.shard_documents(docs, [1.0] * 8).collect()
     assert len(got) == len(ROWS)

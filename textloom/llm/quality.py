@@ -11,10 +11,13 @@ SYMBOLS = "[#*$%&|<>]"
 #: Retained items at a sketch's lowest level: groups of up to so many rows have exact quantiles, larger ones
 #: a rank error of about 2.3 / k.
 SKETCH_K = 2048
-#: Measure: (bound below the quartiles too, least distance of a bound from its quartile).
-MEASURES = {"mean_word": (True, 1.5), "symbol_share": (False, 0.05), "dup_line_share": (False, 0.5), "repeat_share": (False, 0.35)}
-#: Interquartile ranges from a quartile to its bound.
-REACH = 4.0
+#: Measures, and whether they have a bound below the quartiles too. Shares are taken as log odds with half a count added, so
+#: that rows without any differ by their length and a group whose rows mostly have none still has a spread of its own.
+MEASURES = {"word_length": True, "symbol_odds": False, "dup_line_odds": False, "repeat_odds": False}
+#: Interquartile ranges from a quartile to its bound: the outer fence of box plots, beyond which values count as far out.
+REACH = 3.0
+#: Rows' worth of its parent (language, then all rows) that a group's quartiles are blended with.
+PRIOR_ROWS = 8
 
 
 def text_counts(text: Column) -> Column:
@@ -48,10 +51,11 @@ def text_counts(text: Column) -> Column:
     )
 
 
-def thresholds(measured: DataFrame, min_rows: int = 100) -> DataFrame:
-    """Bounds per (lang, source) of each measure: quartile plus or minus the greater of ``REACH`` interquartile
-    ranges and the measure's least distance. A group of fewer than ``min_rows`` rows takes its language's bounds,
-    a language of fewer those of all rows. Each level merges the sketches of the level below."""
+def thresholds(measured: DataFrame, reach: float = REACH, prior_rows: float = PRIOR_ROWS) -> DataFrame:
+    """lang, source and bounds: for each measure low (null where it has none) and high, ``reach`` interquartile ranges beyond the
+    quartiles of the group. A group of ``n`` rows weighs ``n / (n + prior_rows)`` in its quartiles, its language the rest, which is
+    blended with all rows alike; so a small group leans on its parent, without a size at which that changes. Each level
+    merges the sketches of the level below. Nothing but the rows' own values sets a bound."""
     sketches = measured.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(m, F.lit(SKETCH_K)).alias(m) for m in MEASURES))
     sketches = stored(sketches)
     merged = [F.sum("n").alias("n"), *(F.kll_merge_agg_double(m, F.lit(SKETCH_K)).alias(m) for m in MEASURES)]
@@ -59,38 +63,48 @@ def thresholds(measured: DataFrame, min_rows: int = 100) -> DataFrame:
     # all rows: from the languages' sketches, of which there are few
     every = langs.agg(*merged)
 
-    def bounds(df: DataFrame, at: str) -> DataFrame:
-        out = []
-        for m, (below, least) in MEASURES.items():
-            q = F.kll_sketch_get_quantile_double(m, F.array(F.lit(0.25), F.lit(0.75)))
-            room = F.greatest(F.lit(REACH) * (q[1] - q[0]), F.lit(least))
-            out.append(F.struct((q[0] - room if below else F.lit(0.0)).alias("low"), (q[1] + room).alias("high")).alias(m))
+    def quartiles(df: DataFrame, at: str) -> DataFrame:
+        each = [F.kll_sketch_get_quantile_double(m, F.array(F.lit(0.25), F.lit(0.75))).alias(m) for m in MEASURES]
         keys = [c for c in ("lang", "source") if c in df.columns]
-        return df.select(*keys, F.when(F.col("n") >= min_rows if at != "all" else F.lit(True), F.struct(*out)).alias(at))
+        return df.select(*keys, F.struct(F.col("n").cast("double").alias("n"), *each).alias(at))
 
-    per = bounds(sketches, "own").join(bounds(langs, "per_lang"), "lang").crossJoin(F.broadcast(bounds(every, "all")))  # one row
-    return per.select("lang", "source", F.coalesce("own", "per_lang", "all").alias("bounds"))
+    per = quartiles(sketches, "own").join(quartiles(langs, "per_lang"), "lang").crossJoin(F.broadcast(quartiles(every, "all")))  # one row
 
+    def bounds(m: str, below: bool) -> Column:
+        def blended(at: str, k: int, parent: Column) -> Column:
+            n = F.col(f"{at}.n")
+            return (n * F.col(f"{at}.{m}")[k] + F.lit(float(prior_rows)) * parent) / (n + F.lit(float(prior_rows)))
 
-def judge_quality(docs: DataFrame, min_rows: int = 100) -> DataFrame:
+        lo, hi = (blended("own", k, blended("per_lang", k, F.col(f"all.{m}")[k])) for k in (0, 1))
+        low = lo - F.lit(reach) * (hi - lo) if below else F.lit(None).cast("double")
+        return F.struct(low.alias("low"), (hi + F.lit(reach) * (hi - lo)).alias("high")).alias(m)
+
+    return per.select("lang", "source", F.struct(*(bounds(m, below) for m, below in MEASURES.items())).alias("bounds"))
+
+
+def judge_quality(docs: DataFrame, reach: float = REACH, prior_rows: float = PRIOR_ROWS) -> DataFrame:
     """Counts and verdict for every row of ``docs`` (doc_id, text, lang, source).
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed (fewer than 50 words,
-    or more than half of the words in repeated 3-word windows) and kept: not base_failed, and every measure within
-    the bounds of its language and source. Rows that fail the base rule do not enter the sketches. Null texts
-    are empty; null lang or source are groups; repeated rows are judged alike; an empty table gives no rows;
+    or more than half of the words in repeated 3-word windows), kept: not base_failed, and every measure within the
+    bounds of its language and source (see ``thresholds``), and outside: the names of the measures beyond their bounds, empty
+    if base_failed. Rows that fail the base rule do not enter the sketches, and rows of a group that agree in all counts enter
+    them once. Null texts are empty; null lang or
+    source are groups; a group of equal rows keeps them; repeated rows are judged alike; an empty table gives no rows;
     other columns are left out.
     """
     c = docs.select("doc_id", F.coalesce("lang", F.lit("~")).alias("lang"), F.coalesce("source", F.lit("~")).alias("source"), text_counts(F.col("text")).alias("c"))
     c = c.select("doc_id", "lang", "source", "c.w.n_words", "c.word_chars", "c.n_symbols", F.col("c.l.n").alias("n_lines"), F.col("c.l.dup").alias("n_dup_lines"), "c.w.n_repeat_words")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     c = stored(c.withColumn("base_failed", failed))
-    share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
-    m = c.withColumns({"mean_word": share("word_chars", "n_words"), "symbol_share": share("n_symbols", "word_chars"), "dup_line_share": share("n_dup_lines", "n_lines"), "repeat_share": share("n_repeat_words", "n_words")})
-    limits = stored(thresholds(m.filter(~F.col("base_failed")), min_rows))
-    within = F.lit(True)
-    for name in MEASURES:
-        within = within & F.col(name).between(F.col(f"bounds.{name}.low"), F.col(f"bounds.{name}.high"))
-    joined = m.join(limits, ["lang", "source"], "left")
-    kept = ~F.col("base_failed") & F.coalesce(within, F.lit(True))
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
+    odds = lambda a, b: F.log((F.col(a) + F.lit(0.5)) / (F.col(b) + F.lit(1.0)))
+    length = F.coalesce(F.try_divide(F.col("word_chars").cast("double"), F.col("n_words").cast("double")), F.lit(0.0))
+    m = c.withColumns({"word_length": length, "symbol_odds": odds("n_symbols", "word_chars"), "dup_line_odds": odds("n_dup_lines", "n_lines"), "repeat_odds": odds("n_repeat_words", "n_words")})
+    # rows that agree in all counts, as copies do, count once: however many, they don't narrow the bounds of others
+    distinct = m.filter(~F.col("base_failed")).drop("doc_id").distinct()
+    limits = stored(thresholds(distinct, reach, prior_rows))
+    beyond = [(F.col(x) > F.col(f"bounds.{x}.high")) | ((F.col(x) < F.col(f"bounds.{x}.low")) if below else F.lit(False)) for x, below in MEASURES.items()]
+    outside = F.concat_ws(",", *(F.when(out & ~F.col("base_failed"), F.lit(x)) for x, out in zip(MEASURES, beyond, strict=True)))
+    judged = m.join(limits, ["lang", "source"], "left").withColumn("outside", outside)
+    kept = ~F.col("base_failed") & (F.col("outside") == "")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "outside")

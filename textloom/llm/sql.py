@@ -15,18 +15,23 @@ def _lines(x: str) -> str:
     return rf"list_filter(string_split({x}, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]'))"
 
 
-def _bounds(level: str) -> str:
-    out = []
-    for m, (below, least) in quality.MEASURES.items():
-        q1, q3 = (f"quantile_disc({m}, {q})" for q in (0.25, 0.75))
-        room = f"greatest({quality.REACH} * ({q3} - {q1}), {least})"
-        out += [f"{q1} - {room} AS {m}_low" if below else f"0.0 AS {m}_low", f"{q3} + {room} AS {m}_high"]
-    return f"SELECT {level}, {', '.join(out)} FROM m WHERE NOT base_failed GROUP BY ALL" + ("" if level == "1 AS one" else " HAVING count(*) >= 100")
+def _quartiles(level: str) -> str:
+    out = [f"quantile_disc({m}, {q}) AS {m}_{name}" for m in quality.MEASURES for q, name in ((0.25, "q1"), (0.75, "q3"))]
+    return f"SELECT {level}, CAST(count(*) AS DOUBLE) AS n, {', '.join(out)} FROM u GROUP BY ALL"
 
 
-def _within() -> str:
-    at = lambda m, e: f"CASE WHEN o.{m}_low IS NOT NULL THEN o.{m}_{e} WHEN g.{m}_low IS NOT NULL THEN g.{m}_{e} ELSE a.{m}_{e} END"
-    return " AND ".join(f"{m} BETWEEN {at(m, 'low')} AND {at(m, 'high')}" for m in quality.MEASURES)
+def _outside() -> str:
+    def blended(c: str) -> str:
+        of = lambda at, x: f"({at}.n * {at}.{c} + {quality.PRIOR_ROWS}.0 * {x}) / ({at}.n + {quality.PRIOR_ROWS}.0)"
+        return of("o", of("g", f"a.{c}"))
+
+    def rule(m: str, below: bool) -> str:
+        lo, hi = blended(f"{m}_q1"), blended(f"{m}_q3")
+        room = f"{quality.REACH} * ({hi} - {lo})"
+        cond = f"{m} > {hi} + {room}" + (f" OR {m} < {lo} - {room}" if below else "")
+        return f"CASE WHEN NOT base_failed AND ({cond}) THEN '{m}' END"
+
+    return f"concat_ws(',', {', '.join(rule(m, below) for m, below in quality.MEASURES.items())})"
 
 
 OP2 = f"""WITH d AS (SELECT doc_id, coalesce(lang, '~') AS lang, coalesce(source, '~') AS source, coalesce(text, '') AS text, row_number() OVER () AS row FROM documents),
@@ -34,9 +39,9 @@ w AS (SELECT row, {_words('text')} AS w FROM d), i AS (SELECT row, w, unnest(ran
 r AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, k) AS n FROM k) x WHERE n > 1), p AS (SELECT row, count(DISTINCT pos) AS n FROM (SELECT row, unnest([i, i + 1, i + 2]) AS pos FROM r) y GROUP BY row),
 c AS (SELECT d.*, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w.w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
 CAST(len({_lines('text')}) AS BIGINT) AS n_lines, CAST(len({_lines('text')}) - len(list_distinct({_lines('text')})) AS BIGINT) AS n_dup_lines, CAST(coalesce(p.n, 0) AS BIGINT) AS n_repeat_words FROM d JOIN w USING (row) LEFT JOIN p USING (row)),
-m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(word_chars / nullif(n_words, 0), 0) AS mean_word, coalesce(n_symbols / nullif(word_chars, 0), 0) AS symbol_share, coalesce(n_dup_lines / nullif(n_lines, 0), 0) AS dup_line_share, coalesce(n_repeat_words / nullif(n_words, 0), 0) AS repeat_share FROM c),
-o AS ({_bounds('lang, source')}), g AS ({_bounds('lang')}), a AS ({_bounds('1 AS one')})
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({_within()}, true) AS kept FROM m LEFT JOIN o USING (lang, source) LEFT JOIN g USING (lang) LEFT JOIN a ON true"""
+m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(word_chars / nullif(n_words, 0), 0) AS word_length, ln((n_symbols + 0.5::DOUBLE) / (word_chars + 1.0::DOUBLE)) AS symbol_odds, ln((n_dup_lines + 0.5::DOUBLE) / (n_lines + 1.0::DOUBLE)) AS dup_line_odds, ln((n_repeat_words + 0.5::DOUBLE) / (n_words + 1.0::DOUBLE)) AS repeat_odds FROM c),
+u AS (SELECT DISTINCT * EXCLUDE (doc_id, text, row) FROM m WHERE NOT base_failed), o AS ({_quartiles('lang, source')}), g AS ({_quartiles('lang')}), a AS ({_quartiles('1 AS one')}), j AS (SELECT m.*, {_outside()} AS outside FROM m LEFT JOIN o USING (lang, source) LEFT JOIN g USING (lang) LEFT JOIN a ON true)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND outside = '' AS kept, outside FROM j"""
 
 #: CRC-32 by its table: 256 entries of eight steps each, then one step a byte.
 CRC = """t AS (SELECT i, 0 AS k, CAST(i AS BIGINT) AS c FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM t WHERE k < 8), crc AS (SELECT list(c ORDER BY i) AS crc FROM t WHERE k = 8)"""
