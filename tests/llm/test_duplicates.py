@@ -142,14 +142,26 @@ def test_estimates_are_unbiased_and_bounded():
     w = 0.95 * v + np.sqrt(1 - 0.95**2) * np.linalg.qr(rng.standard_normal((64, 64)))[0][rng.integers(0, 64, 400)]
     w /= np.linalg.norm(w, axis=1, keepdims=True)
     true = np.einsum("ij,ij->i", v, w)
-    errors, outside = [], 0
+    errors, outside, i = [], 0, np.arange(400)
     for seed in range(20):
-        bits, factor = embeddings.encode(v, 4, seed)
-        turned = w @ embeddings.rotations(64, 4, seed).T
-        estimate = np.einsum("ij,ij->i", (2.0 * bits - 1) / 16, turned) / factor
+        codes = embeddings.encode(np.concatenate([v, w]), seed)
+        again = embeddings.Codes.unpacked(codes.packed(), 64)
+        estimate = again.estimate(i, i + 400)
         errors.append(estimate - true)
-        outside += int((np.abs(estimate - true) > embeddings.CONFIDENCE * np.sqrt(1 - true**2) * np.sqrt(1 - factor**2) / factor / np.sqrt(255)).sum())
-    assert abs(np.mean(errors)) < 0.002 and outside == 0
+        outside += int((estimate < true - again.room(i, i + 400, 0.95)).sum())
+    assert abs(np.mean(errors)) < 0.002 and outside == 0 and 0.005 < np.std(errors) < 0.05
+
+
+def test_the_exact_way_misses_nothing(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK_ROWS", 32)
+    monkeypatch.setattr(embeddings, "PAIRS", 100)
+    vs = vectors()
+    rows = [(i // 2, v.tolist()) for i, v in enumerate(vs)]  # each id twice
+    got = sorted((r["vec_id"], r["n_links"]) for r in embeddings.similar_vectors(spark.createDataFrame(rows, "vec_id int, embedding array<float>"), miss=0).collect())
+    unit = np.stack([v.astype(np.float64) / np.linalg.norm(v.astype(np.float64)) for v in vs])
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    assert got == sorted((i // 2, int(n)) for i, n in enumerate(near.sum(axis=1)))
 
 
 def passage_docs():

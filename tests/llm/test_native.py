@@ -77,7 +77,7 @@ def test_thresholds_follow_the_source(spark):
 
 def test_bounds_come_from_the_data(spark):
     """A wider spread gives wider bounds, in proportion; copies in any number leave the bounds as they are."""
-    measured = lambda spread: spark.range(1, 201).selectExpr("'en' AS lang", "'s' AS source", f"5 + {spread} * (id - 100) / 100 AS word_length", f"-8 + {spread} * id / 100 AS symbol_odds", "-3.0 AS dup_line_odds", "id / 100 AS repeat_odds")
+    measured = lambda spread: spark.range(1, 201).selectExpr("'en' AS lang", "'s' AS source", f"5 + {spread}D * (id - 100) / 100 AS word_length", f"-8 + {spread}D * id / 100 AS symbol_odds", "-3D AS dup_line_odds", "id / 100 AS repeat_odds")
     wide, narrow = (quality.thresholds(measured(x)).first()["bounds"] for x in (2.0, 0.5))
     room = lambda b: b["word_length"]["high"] - b["word_length"]["low"]
     assert abs(room(wide) / room(narrow) - 4) < 1e-9 and wide["symbol_odds"]["high"] > narrow["symbol_odds"]["high"] and wide["symbol_odds"]["low"] is None

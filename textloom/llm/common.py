@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,7 +36,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only where driver and executors are one process, as in
+    tests, may it be unset: then it is a temporary folder."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _own_dir(spark)
     return path.rstrip("/")
 
@@ -43,6 +46,8 @@ _OWN: dict[str, str] = {}
 
 
 def _own_dir(spark: SparkSession) -> str:
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir: unset; tables between jobs need a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="textloom-")
@@ -50,16 +55,49 @@ def _own_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+#: Tables written by ``stored`` that still stand, by path.
+_STANDING: dict[str, SparkSession] = {}
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there, so a lost executor
-    costs no more than a read, and later plans know its size. The tables go when the process ends."""
+    costs no more than a read, and later plans know its size. The table goes with ``scratch``, ``drop_stored`` or the process."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/textloom/{uuid.uuid4().hex}"
+    if not _STANDING:
+        atexit.register(drop_stored)
+    _STANDING[path] = spark
     df.write.parquet(path)
-    atexit.register(_forget, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(before: frozenset[str] = frozenset()) -> None:
+    """Remove all tables that ``stored`` has written, but those named. Frames that read them cannot be read any more."""
+    for path in [p for p in _STANDING if p not in before]:
+        _forget(_STANDING.pop(path), path)
+
+
+@contextmanager
+def scratch(keep: int = 0) -> Iterator[None]:
+    """Tables stored inside go when the block ends, also on failure; all but the last ``keep`` of them where it ends well. What is
+    wanted afterwards has to be written inside, as the last."""
+    before, keeps = frozenset(_STANDING), 0
+    try:
+        yield
+        keeps = keep
+    finally:
+        new = [p for p in _STANDING if p not in before]
+        drop_stored(before | frozenset(new[len(new) - keeps :]))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as it takes to be no column of ``df``, whatever the case of letters."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def kept(df: DataFrame) -> DataFrame:
     """``df`` for several uses in one operator, on the executors' disks. What a lost executor held is computed again; nothing
     is written to the shared folder, so use it where lineage is short. ``spark.catalog.clearCache()`` frees it."""
