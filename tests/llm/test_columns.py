@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm import embeddings, hmm, langid, mixing, packing, paragraphs, quality, sharding, simhash, urls
 
-NAMES = ["row_key", "key", "node", "fp", "tokens", "score", "kept", "shard", "slot", "_digest", "epoch", "block", "component", "component_id", "length", "start", "end", "window", "held_out", "n_words", "lang_pred", "accepted", "two", "host", "path", "stack", "copies", "links", "first", "n", "g", "c"]
+NAMES = ["row_key", "key", "node", "fp", "tokens", "score", "kept", "shard", "slot", "_digest", "epoch", "block", "component", "component_id", "length", "start", "end", "window", "held_out", "n_words", "lang_pred", "accepted", "two", "host", "path", "stack", "copies", "links", "first", "n", "g", "c", "row", "cut", "record_key", "told", "doc", "text_", "keys", "least", "part", "__row", "__row_key", "__cut", "__record_key", "__told", "near"]
 
 
 @pytest.fixture(scope="module")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from textloom.llm import components, embeddings, paragraphs, simhash
+from textloom.llm import components, embeddings, paragraphs, simhash, xxh64
 
 SCHEMA = "doc_id long, text string, component_id string, lang string"
 
@@ -64,8 +64,16 @@ def test_simhash_matches_all_pairs(spark):
     got = {r["doc_id"]: r for r in simhash.near_duplicates(docs).collect()}
     assert [got[100 + i]["fingerprint"] for i in range(len(texts))] == [f"{p:016x}" for p in prints]
     assert [got[100 + i]["component_id"] for i in range(len(texts))] == [100 + c for c in want]
-    kept = {r["doc_id"] for r in simhash.one_of_each(docs).collect()}
-    assert kept == {100 + c for c in want}
+
+
+def test_digests_of_many_spans():
+    rng = np.random.default_rng(1)
+    data = rng.integers(0, 256, 9000, dtype=np.uint8).tobytes()
+    starts = rng.integers(0, 7000, 600)
+    ends = starts + np.concatenate([np.arange(300), rng.integers(0, 2000, 300)])
+    for seed in (0, 42):
+        assert xxh64.span_digests(data, starts, ends, seed).tolist() == [xxhash.xxh64_intdigest(data[a:b], seed) for a, b in zip(starts, ends, strict=True)]
+    assert len(xxh64.span_digests(b"", starts[:0], ends[:0], 1)) == 0
 
 
 @pytest.mark.parametrize("n,cell", [(400, 256), (3000, 64)])

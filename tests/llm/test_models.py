@@ -62,10 +62,23 @@ def test_expected_counts_are_those_of_the_paths():
                 emitted[s, t[k]] += p
                 if k:
                     moves[path[k - 1], s] += p
-    got = hmm.expected_counts(m, table, lengths)
+    got = hmm.expected_counts(m, hmm.Segments(table, lengths, lengths, 0))
     assert got[0] == pytest.approx(start) and got[1] == pytest.approx(moves) and got[2] == pytest.approx(emitted)
 
 
+def test_segments_count_what_whole_texts_do(monkeypatch):
+    m = small_model(3, 7)
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(0, 7, n).astype(np.uint16) for n in (1, 5, 64, 65, 100, 128, 333, 0)]
+    total = lambda: [sum(x) for x in zip(*(hmm.expected_counts(m, g) for g in hmm.in_segments(texts)), strict=True)]
+    whole = total()  # all shorter than a segment
+    monkeypatch.setattr(hmm, "SEGMENT", 64)
+    got = total()
+    assert got[0] == pytest.approx(whole[0]) and got[0].sum() == pytest.approx(7)
+    assert got[1] == pytest.approx(whole[1], rel=1e-6) and got[1].sum() == pytest.approx(sum(max(0, len(t) - 1) for t in texts))
+    assert got[2] == pytest.approx(whole[2], rel=1e-6) and got[2].sum() == pytest.approx(sum(map(len, texts)))
+
+
 def test_training_raises_the_likelihood():
     rng = np.random.default_rng(3)
     texts = [np.array(rng.permutation(20) % (5 if k % 2 else 20), dtype=np.uint16) for k in range(60)]
@@ -92,16 +105,44 @@ def test_scores(docs):
 
 
 def test_all_words_share_one_probability(spark, monkeypatch):
-    """Over a small vocabulary with classes, the shares of all known words and one unknown word a class add to 1."""
+    """With one state a text's probability is a product over its words: it is computed here from the counts, and the shares of all
+    known words and one unknown word a class add to 1."""
     monkeypatch.setattr(hmm, "TOP", 2)
     monkeypatch.setattr(hmm, "KNOWN", 4)
-    rows = [(1, "a a a a b b b bb cc cc dd ee ee ff"), (3, "a b cc gg hh"), (2, "a b bb cc dd ee ff gg hh nn")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r for r in hmm.score_documents(docs, F.col("doc_id") == 2, states=2, rounds=1).collect()}
+    rows = [(1, "a a a a b b b bb cc cc dd ee ee ff"), (3, "a b cc gg hh"), (2, "a b bb cc dd ee ff gg hh nn"), (-1, "")]
     train = collections.Counter(hmm.tokens(rows[0][1]) + hmm.tokens(rows[1][1]))
+    one_each: dict[int, str] = {}
+    for w in [*map("".join, itertools.product("abcdefghijklmnopqrstuvwxyz0123456789", repeat=3)), *("x" + chr(k) for k in range(0x80, 0x10000) if not 0xD800 <= k < 0xE000)]:
+        one_each.setdefault(hmm.word_class(w.encode()), w)
+    assert len(one_each) == hmm.CLASSES
+    words = [w.decode() for w in train if w != hmm.END] + sorted(one_each.values())
+    docs = spark.createDataFrame(rows + [(1000 + i, w) for i, w in enumerate(words)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in hmm.score_documents(docs, ~F.col("doc_id").isin(1, 3), states=1, rounds=1).collect()}
     assert got[2]["n_known"] == 10 and got[2]["n_tokens"] == 11
     n, v = sum(train.values()), len(train)
     assert got[2]["base_score"] == pytest.approx(sum(math.log10((train[w] + 0.1) / (n + 0.1 * (v + 1))) for w in hmm.tokens(rows[2][1])))
+    end = 10 ** got[-1]["score"]
+    assert sum(10 ** got[1000 + i]["score"] for i in range(len(words))) + end * end == pytest.approx(end)
+    # the words with emissions of their own, then classes; counts plus the prior over overall shares
+    own = [hmm.END, *sorted((w for w in train if w != hmm.END), key=lambda w: -train[w])[:2]]
+    in_class = collections.Counter()
+    for w, c in train.items():
+        if w not in own:
+            in_class[hmm.word_class(w)] += c
+    share = {w: train[w] + 0.1 for w in own} | {k: in_class[k] + 0.1 for k in range(hmm.CLASSES)}
+    scale = sum(share.values())
+    emit = {k: ((train[k] if k in own else in_class[k]) + hmm.EMISSION_PRIOR * x / scale) / (n + hmm.EMISSION_PRIOR) for k, x in share.items()}
+    rare = [c for w, c in train.items() if w not in own]
+    discount = min(0.9, max(0.1, rare.count(1) / (rare.count(1) + 2 * rare.count(2))))
+
+    def p(w):
+        k = hmm.word_class(w)
+        if w in own:
+            return emit[w]
+        left = discount * sum(x not in own and hmm.word_class(x) == k for x in train) / in_class[k] if in_class[k] else 1.0
+        return emit[k] * ((train[w] - discount) / in_class[k] if train[w] else left)
+
+    assert got[2]["score"] == pytest.approx(sum(math.log10(p(w)) for w in hmm.tokens(rows[2][1])))
 
 
 def test_scores_without_training_or_rows(spark, docs):
@@ -129,6 +170,35 @@ def test_languages_are_told(spark):
     assert np.mean([r["accepted"] for r in got]) > 0.97
 
 
+def invented(rng, words: list[str], n: int) -> list[str]:
+    return [" ".join(rng.choice(words, size=rng.integers(3, 80))) for _ in range(n)]
+
+
+def test_unlearnt_languages_and_noise_are_rejected(spark):
+    """Four languages over one alphabet, each with its own syllables; the last is not learnt."""
+    rng = np.random.default_rng(12)
+    syllables = [[a + b for a in rng.permutation(list("bcdfghklmnprstvz"))[:8] for b in rng.permutation(list("aeiou"))[:3]] for _ in range(4)]
+    lexica = [["".join(rng.choice(s, size=rng.integers(1, 4))) for _ in range(300)] for s in syllables]
+    texts = [(i, t, f"l{k}") for k in range(3) for i, t in enumerate(invented(rng, lexica[k], 900), 1000 * k)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.col("doc_id") % 1000 < 800, per_language=800)
+    known = [t for i, t, _ in texts if i % 1000 >= 800]
+    foreign = [t for t in invented(rng, lexica[3], 100) if len(t) >= 128]
+    mixed = [langid.noise(t, rng) for t in known if len(t) >= 128]
+    cyrillic = ["".join(chr(0x430 + x) if x < 32 else " " for x in rng.integers(0, 38, 200)) for _ in range(50)]
+    share = lambda ts: np.mean([model.predict(t)[2] for t in ts])
+    assert share(known) > 0.98 and share(foreign) < 0.2 and share(mixed) < 0.05 and share(cyrillic) < 0.1
+    assert np.mean([model.predict(t)[0] == y for i, t, y in texts if i % 1000 >= 800]) > 0.98
+
+
+def test_copies_count_once_in_the_sample(spark):
+    rows = language_rows()
+    once = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
+    often = once.union(spark.createDataFrame([rows[0]] * 2000, once.schema))
+    a, b = (langid.fit(x, F.lit(True), per_language=60) for x in (once, often))
+    assert (a.table == b.table).all() and a.cuts == b.cuts and a.temperature == b.temperature
+
+
 def test_letterless_texts(spark):
     docs = spark.createDataFrame(language_rows(), "doc_id long, text string, lang string, score string")
     model = langid.fit(docs, F.lit(True))
@@ -155,6 +225,27 @@ def reference_ids(text):
     return [*Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text or "", add_special_tokens=False).ids, 2]
 
 
+def test_ids_are_those_of_the_other_library():
+    """Over all texts of a table, which hold junk, several scripts and long runs."""
+    import public_tokenizers
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]
+    want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode_batch(texts, add_special_tokens=False)
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    assert all(packing.token_ids(t, path).tolist() == w.ids for t, w in zip(texts, want, strict=True))
+
+
+def test_the_best_pair_may_be_of_two_small_ones():
+    plan = packing.best_two_fit({900: 1, 600: 1, 490: 2, 100: 1}, 1000)
+    fill = collections.defaultdict(list)
+    for length, first, last, sequence, _, run in plan:
+        for k in range(last - first):
+            fill[sequence + k // run].append(length)
+    assert sorted(map(sorted, fill.values())) == [[100, 900], [490, 490], [600]] or len(fill) <= 3
+
+
 def test_packing_round_trip(docs):
     got = collections.defaultdict(list)
     sequences = collections.defaultdict(list)

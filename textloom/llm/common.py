@@ -9,6 +9,8 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Characters of text that a task works on together.
+PORTION = 1 << 19
 #: Rows of texts or vectors that a Python worker gets at once, at most.
 BATCH_ROWS = 1000
 
@@ -112,6 +116,20 @@ def _forget(spark: SparkSession, path: str) -> None:
         return
 
 
+def portions(b: pd.DataFrame) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """Row numbers and texts, about ``PORTION`` characters together; a longer text is a portion of its own."""
+    rows, texts, n = [], [], 0
+    for k, t in enumerate(b["text"]):
+        rows.append(k)
+        texts.append(t or "")
+        n += len(texts[-1])
+        if n >= PORTION:
+            yield np.array(rows), texts
+            rows, texts, n = [], [], 0
+    if rows:
+        yield np.array(rows), texts
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` computed once, also inside lambdas."""
     return F.transform(F.array(value), use)[0]

@@ -20,8 +20,10 @@ TOP, CLASSES, KNOWN = 1 << 15, 1 << 10, 1 << 18
 SUFFIX = 2
 #: The end of a text, counted as a token; no word is empty.
 END = b""
-#: Tokens of a training segment, tokens that are taken together, distinct words that a task counts before it hands them on.
-SEGMENT, TOGETHER, COUNTED = 256, 1 << 20, 1 << 19
+#: Tokens of a training segment, and of its text on either side of it that are read with it but not counted.
+SEGMENT, CONTEXT = 512, 32
+#: Tokens that are taken together, distinct words that a task counts before it hands them on.
+TOGETHER, COUNTED = 1 << 20, 1 << 19
 #: Weight of the words' overall shares in a state's emissions, in counts, and of equal shares in its transitions.
 EMISSION_PRIOR, MOVE_PRIOR = 50.0, 1.0
 
@@ -165,34 +167,56 @@ def forward(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     return back
 
 
-def expected_counts(model: Model, segments: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected starts, moves and emissions (states, ids) of ``segments`` (rows, tokens; the first ``lengths`` count)."""
-    rows, width = segments.shape
+@dataclass(frozen=True)
+class Segments:
+    """Parts of texts side by side. A row's first ``lengths`` tokens are its text's; of these the first ``lead`` and those from
+    ``counted`` on are context, which belongs to the segments before and after. Without a lead rows begin texts."""
+
+    table: np.ndarray
+    lengths: np.ndarray
+    counted: np.ndarray
+    lead: int
+
+
+def expected_counts(model: Model, s: Segments) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected starts of texts, moves and emissions (states, ids) of the segments: of every token, and of the move to it, once over
+    all segments of a text. A segment within a text begins anywhere in its context, by the chain's long-run shares; what that lets
+    out fades with each token of the context, so that counts are those of the whole text."""
+    rows, width = s.table.shape
     k = len(model.start)
-    live = np.arange(width)[None, :] < lengths[:, None]
-    whole = lengths.min() == width
+    first = long_run(model.move) if s.lead else model.start
+    inside = lambda ends, t: None if ends.min() > t else (t < ends)[:, None]  # noqa: E731  None: all rows
+    masked = lambda x, m, other: x if m is None else np.where(m, x, other)
     alphas = np.empty((width, rows, k))
     for t in range(width):
-        a = model.emit[segments[:, t]] * (alphas[t - 1] @ model.move if t else model.start)
+        a = model.emit[s.table[:, t]] * (alphas[t - 1] @ model.move if t else first)
         a /= a.sum(axis=1, keepdims=True)
-        alphas[t] = a if t == 0 or whole else np.where(live[:, t, None], a, alphas[t - 1])
+        alphas[t] = a if t == 0 else masked(a, inside(s.lengths, t), alphas[t - 1])
     beta = np.ones((rows, k))
     moves = np.zeros((k, k))
-    posterior = np.empty((width, rows, k))
-    for t in range(width - 1, -1, -1):
-        g = alphas[t] * beta
-        g /= g.sum(axis=1, keepdims=True)
-        posterior[t] = g if whole else np.where(live[:, t, None], g, 0.0)
+    most = int(s.counted.max())
+    posterior = np.empty((most - s.lead, rows, k))
+    for t in range(width - 1, s.lead - 1, -1):
+        if t < most:
+            g = alphas[t] * beta
+            g /= g.sum(axis=1, keepdims=True)
+            posterior[t - s.lead] = masked(g, inside(s.counted, t), 0.0)
         if t:
-            ahead = model.emit[segments[:, t]] * beta
+            live = inside(s.lengths, t)
+            ahead = model.emit[s.table[:, t]] * beta
             back = ahead @ model.move.T
             total = (alphas[t - 1] * back).sum(axis=1, keepdims=True)
-            seen = ahead / total if whole else np.where(live[:, t, None], ahead / total, 0.0)
-            moves += alphas[t - 1].T @ seen
-            beta = back / total if whole else np.where(live[:, t, None], back / total, 1.0)
-    flat = segments.T.ravel()
-    emitted = np.stack([np.bincount(flat, weights=posterior[:, :, s].ravel(), minlength=len(model.emit)) for s in range(k)])
-    return posterior[0].sum(axis=0), moves * model.move, emitted
+            if t < most:
+                moves += alphas[t - 1].T @ masked(ahead / total, inside(s.counted, t), 0.0)
+            beta = masked(back / total, live, 1.0)
+    flat = s.table[:, s.lead : most].T.ravel()
+    emitted = np.stack([np.bincount(flat, weights=posterior[:, :, x].ravel(), minlength=len(model.emit)) for x in range(k)])
+    return np.zeros(k) if s.lead else posterior[0].sum(axis=0), moves * model.move, emitted
+
+
+def long_run(move: np.ndarray) -> np.ndarray:
+    """Shares of the states after very many moves."""
+    return np.linalg.matrix_power(move, 1 << 12).mean(axis=0)
 
 
 def updated(start: np.ndarray, moves: np.ndarray, emitted: np.ndarray, shares: np.ndarray) -> Model:
@@ -202,17 +226,19 @@ def updated(start: np.ndarray, moves: np.ndarray, emitted: np.ndarray, shares: n
     return Model(start / start.sum(), moves / moves.sum(axis=1, keepdims=True), np.ascontiguousarray((emitted / emitted.sum(axis=1, keepdims=True)).T))
 
 
-def in_segments(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The texts cut into segments, in groups of about ``TOGETHER`` tokens."""
-    parts = sorted((t[i : i + SEGMENT] for t in texts for i in range(0, len(t), SEGMENT)), key=len)
+def in_segments(texts: list[np.ndarray]) -> Iterator[Segments]:
+    """The texts cut into segments, in groups of about a quarter of ``TOGETHER`` tokens of equal lead."""
     group = max(1, TOGETHER // SEGMENT // 4)
-    for i in range(0, len(parts), group):
-        some = parts[i : i + group]
-        lengths = np.array([len(p) for p in some])
-        table = np.zeros((len(some), int(lengths.max())), dtype=np.int64)
-        for r, p in enumerate(some):
-            table[r, : len(p)] = p
-        yield table, lengths
+    for lead in (0, CONTEXT):
+        starts = [(t, i) for t in texts for i in ((0,) if not lead else range(SEGMENT, len(t), SEGMENT))]
+        parts = sorted(((t[i - lead : i + SEGMENT + CONTEXT], lead + min(SEGMENT, len(t) - i)) for t, i in starts if len(t)), key=lambda x: (len(x[0]), x[1]))
+        for i in range(0, len(parts), group):
+            some = parts[i : i + group]
+            lengths = np.array([len(p) for p, _ in some])
+            table = np.zeros((len(some), int(lengths.max())), dtype=np.int64)
+            for r, (p, _) in enumerate(some):
+                table[r, : len(p)] = p
+            yield Segments(table, lengths, np.array([n for _, n in some]), lead)
 
 
 def gathered(batches: Iterator[pd.DataFrame], together: int = TOGETHER) -> Iterator[pd.DataFrame]:
@@ -241,7 +267,7 @@ def first_model(sample: list[np.ndarray], size: int, shares: np.ndarray, states:
     emit = shares * rng.gamma(1.0, size=(states, size)) + 0.1 * shares
     model = Model(np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), np.ascontiguousarray((emit / emit.sum(axis=1, keepdims=True)).T))
     for _ in range(rounds):
-        sums = [expected_counts(model, *g) for g in in_segments(sample)]
+        sums = [expected_counts(model, g) for g in in_segments(sample)]
         if not sums:
             break
         model = updated(*(sum(x) for x in zip(*sums, strict=True)), shares)
@@ -250,7 +276,7 @@ def first_model(sample: list[np.ndarray], size: int, shares: np.ndarray, states:
 
 def train(rows: DataFrame, size: int, shares: np.ndarray, states: int, rounds: int, sample_rows: int, seed: int) -> Model:
     """Baum-Welch over all rows (ids): ``rounds`` passes, started from ``first_model`` on the ``sample_rows`` rows that
-    come first by a hash. A pass sums the expected counts of every segment of every row: tasks hand on a row
+    come first by a hash. A pass sums the expected counts of every token of every row: tasks hand on a row
     for each id that they met, which are summed by id; ``size`` rows come to the driver."""
     # only rows whose hash is among about three times as many are sorted, so what tasks hand on does not grow with the input
     share = min(1.0, 3 * sample_rows / max(1, rows.count()))
@@ -266,7 +292,7 @@ def train(rows: DataFrame, size: int, shares: np.ndarray, states: int, rounds: i
             start, moves, emitted = np.zeros(states), np.zeros((states, states)), np.zeros((states, size))
             for b in gathered(batches):
                 for g in in_segments(_texts(b["ids"])):
-                    x, y, z = expected_counts(current, *g)
+                    x, y, z = expected_counts(current, g)
                     start, moves, emitted = start + x, moves + y, emitted + z
             met = np.flatnonzero(emitted.sum(axis=0))
             ids = np.concatenate([[-1], np.arange(-1 - states, -1), met])
@@ -293,8 +319,10 @@ def score_documents(docs: DataFrame, held_out: Column, states: int = 8, rounds:
     alone; repeated rows are scored, and learnt from, each; an empty table gives no rows; with no training rows all
     words are unknown. Other columns are left out.
 
-    Counts of all words and expected counts of all segments are summed over the whole training rows. Only the ``KNOWN``
-    most frequent words go to the workers; the counts of all others are joined to the texts that hold them.
+    Counts of all words and expected counts of all texts are summed over the whole training rows; training reads texts in segments
+    with context (see ``expected_counts``), scoring goes through whole texts, whatever their length, and holds one row of states
+    a text. Only the ``KNOWN`` most frequent words go to the workers; the counts of all others are joined to the texts that hold
+    them. Over all known words and one unknown word a class, a state's emissions sum to 1.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, kept, stored
+from .common import WORD, fresh, kept, stored
 
 #: Halvings of the exponent's interval.
 STEPS = 40
@@ -78,7 +78,7 @@ def mix(docs: DataFrame, max_repeats: float = 2.0, target_entropy: float | None
     Returns key, doc_id, source, tokens, copies, epoch (from 0), block (from 0), slot (from 0 in its block).
 
     Repeated rows (same doc_id, source and text) are one record with ``copies`` of them. A null source is a source.
-    Records without words go with the first epoch, in block 0 if their source has no tokens at all. An empty
+    Records without words go with the first epoch, in a block that their digest decides. An empty
     table gives no rows. Other columns are left out. Positions within an epoch come from ranges of digests that
     are summed on their own, so a source with a third of the rows is never in one task; texts are not shuffled.
     """
@@ -101,12 +101,15 @@ def mix(docs: DataFrame, max_repeats: float = 2.0, target_entropy: float | None
     at = F.col("epoch") * F.col("all_tokens") + F.col("start") + F.coalesce(F.col("within"), F.lit(0))
     placed = read.withColumn("within", within).join(starts, ["_source", "epoch", "range"]).withColumn("at", at)
     placed = placed.filter((F.col("at") < F.col("quota")) | ((F.col("epoch") == 0) & (F.col("tokens") == 0)))
-    block = F.least(F.floor(F.col("at") * F.col("blocks") / F.greatest(F.col("quota"), F.lit(1))), F.col("blocks") - 1).cast("long")
+    # records without words take up no room: any block will do
+    block = F.when(F.col("tokens") == 0, F.pmod(F.conv(F.substring("order", 1, 8), 16, 10).cast("long"), "blocks")).otherwise(F.least(F.floor(F.col("at") * F.col("blocks") / F.greatest(F.col("quota"), F.lit(1))), F.col("blocks") - 1)).cast("long")
     slot = F.row_number().over(Window.partitionBy("block").orderBy(F.reverse("order"), "key")) - 1
     return placed.withColumn("block", block).select("key", "doc_id", "source", "tokens", "copies", "epoch", "block", slot.cast("long").alias("slot"))
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs``, with all their columns, as often as ``mix`` takes them."""
-    taken = mix(docs, **how).select(F.col("key").alias("__record_key"))
-    return docs.withColumn("__record_key", record_key(docs)).join(taken, "__record_key").drop("__record_key")
+    """The rows of ``docs`` (doc_id, source, text and any others), with all their columns, as often as ``mix`` takes them: repeated
+    rows each as often as their record, null sources as a source, rows without words once; an empty table gives no rows."""
+    key = fresh(docs, "record_key")
+    taken = mix(docs, **how).select(F.col("key").alias(key))
+    return docs.withColumn(key, record_key(docs)).join(taken, key).select(*(F.col(f"`{c}`") for c in docs.columns))

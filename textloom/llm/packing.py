@@ -109,7 +109,9 @@ def best_two_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
             have[small] += 1
             fits = longest(have)
             a = np.flatnonzero(have[: room + 1] > 0)
-            a = a[2 * a >= room] if len(a) and 2 * a[-1] >= room else a
+            # the longer one of the pair is at least half of the room, or else both are less: then the longest such is best
+            below = a[2 * a < room]
+            a = np.concatenate([below[-1:], a[2 * a >= room]])
             # the partner of each, the longest that fits beside it; of its own length only if there are two
             b = fits[room - a]
             same = (b == a) & (have[a] < 2)

@@ -7,25 +7,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stored, with_pair_blocks
+from .common import bounded_batches, fresh, portions, stored, with_pair_blocks
 from .components import connected_components
 from .forest import Forest
 from .grouping import map_groups
 
 #: Words of the shingles, and of the shortest paragraph that is compared.
 SHINGLE, MIN_WORDS = 5, 20
-#: A pair at the similarity asked for, 0.8, shares one of the bands with probability 1 - (1 - 0.8**3)**6 = 0.986.
-BANDS, ROWS = 6, 3
+#: A pair at the similarity asked for, 0.8, shares one of the bands with probability 1 - (1 - 0.8**4)**10 = 0.995, one at 0.1 with 0.001.
+BANDS, ROWS = 10, 4
 #: Words of a window, and windows in a row of which one at least is taken: two texts that share 51 words or more,
 #: wherever these stand in them, take one window of their common words at least.
 WINDOW, REACH = 20, 32
 #: Words of the shortest passage that is looked for inside of paragraphs, and across them.
 PASSAGE = WINDOW + REACH - 1
-#: Bytes of text that are hashed together, and distinct paragraphs of a bucket that meet in one group, twice.
-PORTION, BLOCK_ROWS = 1 << 19, 512
+#: Distinct paragraphs of a bucket that meet in one group, twice.
+BLOCK_ROWS = 512
 #: Bits of the table that says which paragraphs' texts may be wanted.
 MARKS = 1 << 26
 #: Odd multipliers of the polynomial hashes and of the mixing steps.
@@ -60,7 +61,8 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
 
 @dataclass
 class Parsed:
-    """Words of several texts: their two hashes, places in code points, text and line (numbered through all texts)."""
+    """Words of several texts: their two hashes, places in code points, text and line (numbered through all texts); the lower-cased
+    bytes of all texts and the words' places in them."""
 
     h1: np.ndarray
     h2: np.ndarray
@@ -68,11 +70,15 @@ class Parsed:
     end: np.ndarray
     doc: np.ndarray
     line: np.ndarray
+    data: bytes
+    first: np.ndarray
+    last: np.ndarray
 
 
 def parse(texts: list[str]) -> Parsed:
     raw = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
-    data = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
+    joined = b"\n".join(raw) + b"\n"
+    data = np.frombuffer(joined, dtype=np.uint8)
     first = np.cumsum([0, *(len(r) + 1 for r in raw)])
     space = _SPACE[data]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space])))
@@ -83,17 +89,29 @@ def parse(texts: list[str]) -> Parsed:
     values = data.astype(np.uint64) + np.uint64(1)
     base = places[first[doc]]
     hashes = [span_hashes(values, starts, ends, b) for b in BASES]
-    return Parsed(hashes[0], hashes[1], places[starts] - base, places[ends] - base, doc, line)
+    return Parsed(hashes[0], hashes[1], places[starts] - base, places[ends] - base, doc, line, joined, starts, ends)
 
 
-def paragraphs(p: Parsed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word and last word + 1 of each line of ``MIN_WORDS`` words or more, and its hash."""
+def paragraphs(p: Parsed) -> tuple[np.ndarray, np.ndarray]:
+    """First word and last word + 1 of each line of ``MIN_WORDS`` words or more."""
     n = len(p.line)
     begin = np.flatnonzero(np.concatenate([[True], p.line[1:] != p.line[:-1]])) if n else np.zeros(0, dtype=np.int64)
     stop = np.concatenate([begin[1:], [n]]) if n else begin
     long = stop - begin >= MIN_WORDS
-    begin, stop = begin[long], stop[long]
-    return begin, stop, span_hashes(p.h1, begin, stop, BASES[0])
+    return begin[long], stop[long]
+
+
+def digests(p: Parsed, begin: np.ndarray, stop: np.ndarray) -> list[bytes]:
+    """The XXH3 of 128 bits of each span's words with one blank between them: what the same words are told by."""
+    return [xxhash.xxh3_128_digest(b" ".join(p.data[a:b].split())) for a, b in zip(p.first[begin].tolist(), p.last[stop - 1].tolist(), strict=True)] if len(begin) else []
+
+
+def mark_of(node: Column) -> Column:
+    return F.conv(F.hex(F.substring(node, 1, 4)), 16, 10).cast("long")
+
+
+def marks_of(nodes: list[bytes]) -> np.ndarray:
+    return np.array([int.from_bytes(x[:4], "big") for x in nodes], dtype=np.int64)
 
 
 def band_keys(p: Parsed, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -162,32 +180,23 @@ def thinned(at: np.ndarray, around: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return ~go_on | np.append(~go_on[1:], True) | np.concatenate([[True], step[1:] != step[:-1]])
 
 
-def _portions(b: pd.DataFrame) -> Iterator[tuple[np.ndarray, list[str]]]:
-    """Row numbers and texts, about ``PORTION`` characters together; a longer text is a portion of its own."""
-    rows, texts, n = [], [], 0
-    for k, t in enumerate(b["text"]):
-        rows.append(k)
-        texts.append(t or "")
-        n += len(texts[-1])
-        if n >= PORTION:
-            yield np.array(rows), texts
-            rows, texts, n = [], [], 0
-    if rows:
-        yield np.array(rows), texts
-
-
 def _signed(h: np.ndarray) -> np.ndarray:
     return h.astype(np.uint64).view(np.int64)
 
 
 def _units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Paragraphs (window false) with their places, and windows with the places of all that they are taken for. ``at`` gives the
-    order in a text: a paragraph's start or the number of a window's first word."""
+    """Paragraphs (window false) with their places, digest (``line``) and, the first time in a portion, band keys; and windows with the
+    places of all that they are taken for. ``at`` gives the order in a text: a paragraph's start or the number of a window's first word."""
     for b in batches:
         ids, row_keys = b["doc_id"].to_numpy(), b["row_key"].to_numpy()
-        for rows, texts in _portions(b):
+        for rows, texts in portions(b):
             p = parse(texts)
-            begin, stop, node = paragraphs(p)
+            begin, stop = paragraphs(p)
+            node = digests(p, begin, stop)
+            keys: list = [None] * len(node)
+            once = list({x: k for k, x in reversed(list(enumerate(node)))}.values())  # the first of each in the portion
+            for k, x in zip(once, _signed(band_keys(p, begin[once], stop[once])), strict=True):
+                keys[k] = x
             at, low, high = seeds(p)
             around = surroundings(p, at)
             some = thinned(at, around, p.doc[at])
@@ -205,7 +214,9 @@ def _units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     "start": start,
                     "end": p.end[last].astype(np.int64),
                     "n_words": (last - first + 1).astype(np.int64),
-                    "node": _signed(np.concatenate([node, span_hashes(p.h1, at, at + WINDOW, BASES[0])])),
+                    "line": pd.Series([*node, *([None] * len(at))], dtype=object),
+                    "keys": pd.Series([*keys, *([None] * len(at))], dtype=object),
+                    "node": _signed(np.concatenate([np.zeros(len(node), dtype=np.uint64), span_hashes(p.h1, at, at + WINDOW, BASES[0])])),
                     "around": _signed(np.concatenate([np.zeros(len(node), dtype=np.uint64), around])),
                     "at": np.concatenate([start[: len(begin)], at - base]).astype(np.int64),
                     "lead": np.concatenate([np.zeros(len(begin), dtype=np.int64), at - low]).astype(np.int64),
@@ -220,14 +231,14 @@ def _wanted(marks: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             row_keys = b["row_key"].to_numpy()
-            for rows, texts in _portions(b):
+            for rows, texts in portions(b):
                 p = parse(texts)
                 at, low, high = seeds(p)
                 around = surroundings(p, at)
                 word = at - np.searchsorted(p.doc, p.doc[at], side="left")
                 of = row_keys[rows[p.doc[at]]] if len(at) else row_keys[:0]
-                place = (around ^ of.astype(np.int64).view(np.uint64) ^ word.astype(np.uint64)) & np.uint64(MARKS - 1)
-                set_ = (marks[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                place = ((around >> np.uint64(8)) ^ (marks_of(list(of)) ^ word).astype(np.uint64)).astype(np.int64) & (MARKS - 1)
+                set_ = marked(marks, place)
                 at, low, high, around, word, of = at[set_], low[set_], high[set_], around[set_], word[set_], of[set_]
                 size = high - low + 1
                 cut = np.cumsum(size)
@@ -241,51 +252,41 @@ def _wanted(marks: np.ndarray):
     return run
 
 
-def _banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        for _, texts in _portions(b):
-            p = parse(texts)
-            begin, stop, node = paragraphs(p)
-            node, some = np.unique(node, return_index=True)
-            keys = band_keys(p, begin, stop)[some]
-            yield pd.DataFrame({"key": _signed(keys.ravel()), "node": _signed(np.repeat(node, BANDS))})
-
-
-def _marks(nodes: DataFrame) -> np.ndarray:
-    """A table of ``MARKS`` bits of which those of the ``nodes`` are set: of one size whatever the input's."""
-    at = F.pmod("node", F.lit(MARKS))
-    parts = nodes.groupBy(F.shiftright(at, 15).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.pmod(at, F.lit(1 << 15)) + 1)).alias("bits")).collect()
+def _marks(places: DataFrame) -> np.ndarray:
+    """A table of ``MARKS`` bits of which those at ``places`` (at) are set: of one size whatever the input's. The fuller it is, the more
+    is fetched that nobody asked for, up to all; what was asked for is joined to it by key, so results don't depend on it."""
+    at = F.pmod("at", F.lit(MARKS))
+    parts = places.groupBy(F.shiftright(at, 15).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.pmod(at, F.lit(1 << 15)) + 1)).alias("bits")).collect()
     out = np.zeros((MARKS >> 15, 4096), dtype=np.uint8)
     for r in parts:
         out[r["part"]] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
     return out.ravel()
 
 
+def marked(marks: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (marks[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+
+
 def _line_texts(marks: np.ndarray):
     """Texts of the paragraphs whose mark is set: all that are asked for, and few others while the table is not full."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for out in _marked(b, marks):
-                yield out
+            keys = b["row_key"].to_numpy()
+            for rows, texts in portions(b):
+                p = parse(texts)
+                begin, stop = paragraphs(p)
+                node = digests(p, begin, stop)
+                set_ = marked(marks, marks_of(node) & (MARKS - 1))
+                begin, stop, node = begin[set_], stop[set_], [x for x, yes in zip(node, set_.tolist(), strict=True) if yes]
+                doc = p.doc[begin] if len(begin) else np.zeros(0, dtype=np.int64)
+                start, end = (p.start[begin], p.end[stop - 1]) if len(begin) else (doc, doc)
+                lines = [texts[d][s:e] for d, s, e in zip(doc.tolist(), start.tolist(), end.tolist(), strict=True)]
+                yield pd.DataFrame({"row_key": keys[rows[doc]] if len(doc) else keys[:0], "start": start.astype(np.int64), "node": pd.Series(node, dtype=object), "line": pd.Series(lines, dtype=object)})
 
     return run
 
 
-def _marked(b: pd.DataFrame, marks: np.ndarray) -> Iterator[pd.DataFrame]:
-    ids = b["doc_id"].to_numpy()
-    for rows, texts in _portions(b):
-        p = parse(texts)
-        begin, stop, node = paragraphs(p)
-        place = node & np.uint64(MARKS - 1)
-        set_ = (marks[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
-        begin, stop, node = begin[set_], stop[set_], node[set_]
-        doc = p.doc[begin] if len(begin) else np.zeros(0, dtype=np.int64)
-        start, end = (p.start[begin], p.end[stop - 1]) if len(begin) else (doc, doc)
-        lines = [texts[d][s:e] for d, s, e in zip(doc.tolist(), start.tolist(), end.tolist(), strict=True)]
-        yield pd.DataFrame({"doc_id": ids[rows[doc]] if len(doc) else ids[:0], "start": start.astype(np.int64), "node": _signed(node), "line": pd.Series(lines, dtype=object)})
-
-
 def shingle_set(line: str) -> frozenset:
     words = line.encode("utf-8", "surrogatepass").lower().split()
     return frozenset(zip(*(words[k:] for k in range(SHINGLE)), strict=False))
@@ -316,9 +317,10 @@ def _ready(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), row_key(docs).alias("row_key"))
 
 
-def row_key(docs: DataFrame):
-    """Rows with one doc_id and text are one record."""
-    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.coalesce("text", F.lit("")))
+def row_key(docs: DataFrame) -> Column:
+    """128 bits of doc_id and text: rows with one doc_id and text are one record."""
+    name = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("~"))
+    return F.unhex(F.md5(F.concat_ws("|", name, F.md5(F.coalesce("text", F.lit(""))))))
 
 
 def _windowed(ready: DataFrame, units: DataFrame, place: Column) -> DataFrame:
@@ -330,11 +332,11 @@ def _windowed(ready: DataFrame, units: DataFrame, place: Column) -> DataFrame:
     a window does not share is found among the others.
     """
     again = units.filter("window").groupBy("node").agg((F.min("around") != F.max("around")).alias("differ"), (F.min(place) != F.max(place)).alias("twice")).filter("twice").drop("twice")
-    taken = stored(units.filter("window").drop("window").join(again, "node"))
+    taken = stored(units.filter("window").drop("window", "line", "keys").join(again, "node"))
     same = stored(taken.groupBy("node", "around", "differ").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("own"), (F.min(place) != F.max(place)).alias("twice"), F.first("n_words").alias("n_words"), F.first(F.col("end") - F.col("start")).alias("length")))
     odd = same.filter("differ").select("node", "around", "n", "own", "twice", F.col("own.row_key").alias("row_key"), F.col("own.at").alias("at"))
-    marks = _marks(odd.select(F.col("around").bitwiseXOR(F.col("row_key")).bitwiseXOR(F.col("at")).alias("node")))
-    asked = ready.select("text", "row_key").mapInPandas(_wanted(marks), "row_key long, at long, node long, around long, hashes array<long>, starts array<long>, ends array<long>")
+    marks = _marks(odd.select(F.shiftrightunsigned("around", 8).bitwiseXOR(mark_of(F.col("row_key"))).bitwiseXOR(F.col("at")).alias("at")))
+    asked = ready.select("text", "row_key").mapInPandas(_wanted(marks), "row_key binary, at long, node long, around long, hashes array<long>, starts array<long>, ends array<long>")
     asked = asked.join(odd, ["node", "around", "row_key", "at"]).dropDuplicates(["node", "around"])
     each = stored(asked.select("node", "around", "n", "own", "twice", F.posexplode(F.arrays_zip("hashes", "starts", "ends"))).select("node", "around", "n", "own", "twice", F.col("pos").alias("k"), "col.*"))
     met = each.groupBy("node", "hashes").agg(F.sum("n").alias("total"), F.min("own").alias("first"), (F.bool_or("twice") | (F.min("own") != F.max("own"))).alias("again")).filter("again")
@@ -397,25 +399,25 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     bounded_batches(docs.sparkSession)
     ready = _ready(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    units = stored(ready.mapInPandas(_units, f"doc_id {kind}, row_key long, window boolean, start long, end long, n_words long, node long, around long, at long, lead long"))
+    units = stored(ready.mapInPandas(_units, f"doc_id {kind}, row_key binary, window boolean, start long, end long, n_words long, line binary, keys array<long>, node long, around long, at long, lead long"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "at", "row_key")
     count = [F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), (F.min(place) != F.max(place)).alias("twice")]
     # equal ones are one node; those that stand once stay in, for they may be near others
-    lines = units.filter("not window").groupBy("node").agg(*count)
-    banded = ready.mapInPandas(_banded, "key long, node long")
+    found = units.filter("not window").drop("node").withColumnRenamed("line", "node")
+    lines = found.groupBy("node").agg(*count)
+    banded = found.filter("keys is not null").select("node", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg((F.min("node") != F.max("node")).alias("shared")).filter("shared").select("key")
     dealt = stored(with_pair_blocks(banded.join(shared, "key").distinct(), ["key"], "node", BLOCK_ROWS))
     asked = dealt.select("node").distinct()
-    met = asked.join(lines, "node").select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.at").alias("start"))
-    fetched = ready.select("doc_id", "text").mapInPandas(_line_texts(_marks(asked)), f"doc_id {kind}, start long, node long, line string")
-    same = fetched["doc_id"].eqNullSafe(met["doc_id"]) & (fetched["start"] == met["start"]) & (fetched["node"] == met["node"])
-    texts = fetched.join(met, same, "left_semi").select("node", "line").dropDuplicates(["node"])
-    pairs = map_groups(dealt.join(texts, "node"), ["key", "lo_block", "hi_block"], _verified(similarity), "a long, b long")
+    met = asked.join(lines, "node").select("node", F.col("first.row_key").alias("row_key"), F.col("first.at").alias("start"))
+    fetched = ready.select("row_key", "text").mapInPandas(_line_texts(_marks(asked.select(mark_of(F.col("node")).alias("at")))), "row_key binary, start long, node binary, line string")
+    texts = fetched.join(met, ["row_key", "start", "node"], "left_semi").select("node", "line").dropDuplicates(["node"])
+    pairs = map_groups(dealt.join(texts, "node"), ["key", "lo_block", "hi_block"], _verified(similarity), "a binary, b binary")
     roots = connected_components(pairs)
     classed = lines.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "n", "first", "twice", F.coalesce("component", "node").alias("class_id"))
     totals = classed.groupBy("class_id").agg(F.sum("n").alias("occurrences"), F.min("first").alias("first"), (F.bool_or("twice") | (F.count(F.lit(1)) > 1)).alias("twice")).filter("twice")
     line_classes = classed.select("node", "class_id").join(totals.drop("twice"), "class_id")
-    lined = units.filter("not window").join(line_classes, "node")
+    lined = found.join(line_classes, "node")
     runs = _windowed(ready, units, place)
     return lined.select(
         "row_key",
@@ -424,7 +426,7 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
         "start",
         "end",
         "n_words",
-        "class_id",
+        F.lower(F.hex("class_id")).alias("class_id"),
         "occurrences",
         F.col("first.doc_id").alias("first_doc_id"),
         (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") == F.col("first.at")) & (F.col("row_key") == F.col("first.row_key"))).alias("kept"),
@@ -436,7 +438,7 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
             "start",
             "end",
             "n_words",
-            F.col("head.node").alias("class_id"),
+            F.lower(F.hex("head.node")).alias("class_id"),
             F.col("head.n").alias("occurrences"),
             F.col("head.first.doc_id").alias("first_doc_id"),
             "kept",
@@ -455,13 +457,18 @@ def _without(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def without_repeats(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """``docs`` (doc_id, text and any others) with every occurrence of a repeated passage but the first cut out of the texts. All
-    rows stay; a text that is all repeats becomes white space or empty, a null stays null."""
-    cut = repeated_passages(docs, similarity).filter("not kept").groupBy("row_key").agg(F.collect_set(F.struct("start", "end")).alias("__cut")).withColumnRenamed("row_key", "__cut_key")
+    """``docs`` (doc_id, text and any others) with every occurrence of a repeated passage but the first cut out of the texts.
+
+    All rows and columns stay; a text that is all repeats becomes white space or empty, a null stays null. The first is that of the
+    least doc_id, then the earliest in the text, then the least row key, so ties are decided; rows that agree in doc_id and text are
+    one record and are cut alike, each. An empty table gives no rows. A text is held whole by the task that cuts it."""
+    key, cut = fresh(docs, "row_key"), fresh(docs, "cut")
+    spans = repeated_passages(docs, similarity).filter("not kept").groupBy(F.col("row_key").alias(key)).agg(F.collect_set(F.struct("start", "end")).alias(cut))
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if s is None or t is None else _without(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    keyed = docs.withColumn("__row_key", row_key(docs)).join(cut, F.col("__row_key") == F.col("__cut_key"), "left")
-    return keyed.withColumn("text", F.when(F.col("__cut").isNull(), F.col("text")).otherwise(without("text", "__cut"))).select(*docs.columns)
+    text = F.when(F.col(cut).isNull(), F.col("text")).otherwise(without("text", cut))
+    whole = docs.withColumn(key, row_key(docs)).join(spans, key, "left").withColumn("text", text)
+    return whole.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -16,6 +16,8 @@ SKETCH_K = 2048
 MEASURES = {"word_length": True, "symbol_odds": False, "dup_line_odds": False, "repeat_odds": False}
 #: Interquartile ranges from a quartile to its bound: the outer fence of box plots, beyond which values count as far out.
 REACH = 3.0
+#: Parts that the sketches of a group are merged in.
+PARTS = 16
 #: Rows' worth of its parent (language, then all rows) that a group's quartiles are blended with.
 PRIOR_ROWS = 8
 
@@ -56,9 +58,11 @@ def thresholds(measured: DataFrame, reach: float = REACH, prior_rows: float = PR
     quartiles of the group. A group of ``n`` rows weighs ``n / (n + prior_rows)`` in its quartiles, its language the rest, which is
     blended with all rows alike; so a small group leans on its parent, without a size at which that changes. Each level
     merges the sketches of the level below. Nothing but the rows' own values sets a bound."""
-    sketches = measured.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(m, F.lit(SKETCH_K)).alias(m) for m in MEASURES))
-    sketches = stored(sketches)
+    # each task hands on a sketch a group: those of one group are merged in parts first, however many tasks there are
+    parts = measured.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(PARTS))).groupBy("lang", "source", "part")
+    parts = parts.agg(F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(m, F.lit(SKETCH_K)).alias(m) for m in MEASURES))
     merged = [F.sum("n").alias("n"), *(F.kll_merge_agg_double(m, F.lit(SKETCH_K)).alias(m) for m in MEASURES)]
+    sketches = stored(parts.groupBy("lang", "source").agg(*merged))
     langs = sketches.groupBy("lang").agg(*merged)
     # all rows: from the languages' sketches, of which there are few
     every = langs.agg(*merged)

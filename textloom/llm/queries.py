@@ -45,9 +45,9 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held_out = common.crc32_text(F.col("doc_id")) % 4 == 2
+    held_out = F.coalesce(common.crc32_text(F.col("doc_id")) % 4 == 2, F.lit(False))
     model = langid.fit(docs, ~held_out)
-    return langid.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+    return langid.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score", "accepted")
 
 
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,7 +58,7 @@ def _shard(n: int) -> str:
 
 OP3 = f"""WITH RECURSIVE {CRC}, d AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS key, coalesce(text, '') AS text, hex(coalesce(text, '')) AS h FROM documents),
 s AS (SELECT doc_id, key, CAST(octet_length(encode(text)) + 1 AS BIGINT) AS size, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {BYTES}), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]))) AS text_crc32, CAST({_shard(8)} AS INT) AS shard, CAST({_shard(9)} AS INT) AS grown_shard FROM d, crc)
-SELECT doc_id, size, text_crc32, 'key' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY md5(key), size, text_crc32) - 1 AS BIGINT) AS slot, grown_shard FROM s"""
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY md5(key || '|' || size || '|' || text_crc32), doc_id) - 1 AS BIGINT) AS slot, grown_shard FROM s"""
 
 OP4 = f"""WITH RECURSIVE rows AS (SELECT md5(coalesce(CAST(doc_id AS VARCHAR), '~') || '|' || coalesce(source, '~') || '|' || md5(coalesce(text, '~'))) AS key, doc_id, source, coalesce(source, '~') AS s, CAST(len({_words("coalesce(text, '')")}) AS BIGINT) AS tokens FROM documents),
 rec AS (SELECT key, any_value(doc_id) AS doc_id, any_value(source) AS source, any_value(s) AS s, any_value(tokens) AS tokens, CAST(count(*) AS BIGINT) AS copies FROM rows GROUP BY key), tot AS (SELECT s, CAST(sum(tokens * copies) AS BIGINT) AS n FROM rec GROUP BY s),
@@ -66,7 +66,7 @@ ends AS (SELECT min(n) / max(n) AS least, max(n) AS most FROM tot WHERE n > 0),
 x AS (SELECT CASE WHEN pow(least, -1) <= 2 THEN 0 ELSE round(hi, 9) END AS x, most FROM b, ends WHERE i = {mixing.STEPS}), q AS (SELECT s, n, CASE WHEN n > 0 THEN greatest(CAST(round(most * pow(n / most, x)) AS BIGINT), n) ELSE 0 END AS quota FROM tot, x),
 shape AS (SELECT greatest(1, CAST(ceil(sum(quota) / 1048576.0) AS BIGINT)) AS blocks FROM q), e AS (SELECT rec.*, n, quota, unnest(range(0, greatest(1, CAST(ceil(quota / greatest(n, 1)) AS BIGINT)))) AS epoch FROM rec JOIN q USING (s)),
 o AS (SELECT *, md5('mix|' || epoch || '|' || key) AS ord FROM e), p AS (SELECT *, epoch * n + coalesce(sum(tokens * copies) OVER (PARTITION BY s, epoch ORDER BY ord, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM o),
-k AS (SELECT *, CAST(least(floor(pos * blocks / greatest(quota, 1)), blocks - 1) AS BIGINT) AS block FROM p, shape WHERE pos < quota OR (epoch = 0 AND tokens = 0))
+k AS (SELECT *, CAST(CASE WHEN tokens = 0 THEN CAST('0x' || substr(ord, 1, 8) AS BIGINT) % blocks ELSE least(floor(pos * blocks / greatest(quota, 1)), blocks - 1) END AS BIGINT) AS block FROM p, shape WHERE pos < quota OR (epoch = 0 AND tokens = 0))
 SELECT doc_id, source, tokens, copies, CAST(epoch AS INT) AS epoch, block, CAST(row_number() OVER (PARTITION BY block ORDER BY reverse(ord), key) - 1 AS BIGINT) AS slot FROM k"""
 
 OP7 = f"""WITH r(action, host, path) AS (VALUES {', '.join(map(str, queries.RULES))}), u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),

@@ -9,8 +9,8 @@ from pyspark.sql.window import Window
 from .common import lower_ascii
 
 RULE = "struct<host:string,path:string,action:string>"
-#: Rows of pages in a group of the sweep.
-GROUP_ROWS = 1024
+#: Rows of pages in a group of the sweep, and parts that the pages of a hot pair of labels are joined in.
+GROUP_ROWS, PARTS = 1024, 64
 
 
 def url_host(url: Column) -> Column:
@@ -47,7 +47,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     apart, so the rules that hold from each bound on, its stack, are known from the bound alone. Pages and bounds
     are sorted together and each page takes the stack of the last bound before it. The sweep runs by the first
     two labels, which begin with the stack of the rules for the top level, and a pair of labels with many pages is
-    swept in several groups, each with all of its bounds: no host, however frequent, ends in one task.
+    swept in several groups, each with all of its bounds: no host, however frequent, ends in one task. Pages with equal page_id,
+    host and path go to one group.
     """
     r = rules.select(F.coalesce(lower_ascii(F.col("host")), F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "action").filter("host <> ''").distinct()
     r = r.withColumn("key", host_key(F.col("host")))
@@ -67,15 +68,20 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     p = p.withColumn("two", _labels(F.col("at"), F.lit(2)))
     sizes = p.groupBy("two").agg(F.count(F.lit(1)).alias("rows")).join(bounds.groupBy("two").agg(F.count(F.lit(1)).alias("bounds")), "two", "left")
     sizes = sizes.select("two", F.ceil(F.col("rows") / F.greatest(F.lit(GROUP_ROWS), 4 * F.coalesce("bounds", F.lit(0)))).cast("int").alias("groups"))
+    # only pairs of labels with several groups need to be joined to their pages, each in parts
+    hot = sizes.filter("groups > 1").select("two", "groups", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
     first = sizes.withColumn("key", F.concat(F.substring_index("two", ",", 1), F.lit(","))).join(chain.filter(top).select("key", "active"), "key", "left")
     first = first.select("two", F.col("two").alias("at"), F.lit(-1).alias("kind"), F.coalesce("active", F.array().cast(f"array<{RULE}>")).alias("stack"))
     # the opening stack sorts before every key of its pair of labels
     opening = first.withColumn("at", F.lit(""))
     swept = opening.unionByName(bounds).join(sizes, "two").withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
     swept = swept.select("two", "group", "at", "kind", "stack", F.lit(None).cast(pages.schema["page_id"].dataType).alias("page_id"), F.lit("").alias("host"), F.lit("").alias("path"))
-    dealt = p.join(sizes, "two").select("two", F.pmod(F.xxhash64("page_id", "path"), "groups").cast("int").alias("group"), "at", F.lit(2).alias("kind"), F.lit(None).cast(f"array<{RULE}>").alias("stack"), "page_id", "host", "path")
+    spread = F.xxhash64("page_id", "path", "host")
+    dealt = p.withColumn("part", F.pmod(F.shiftrightunsigned(spread, 32), F.lit(PARTS)).cast("int")).join(hot, ["two", "part"], "left")
+    dealt = dealt.select("two", F.pmod(spread, F.coalesce("groups", F.lit(1))).cast("int").alias("group"), "at", F.lit(2).alias("kind"), F.lit(None).cast(f"array<{RULE}>").alias("stack"), "page_id", "host", "path")
     last = F.last("stack", ignorenulls=True).over(Window.partitionBy("two", "group").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
-    found = swept.unionByName(dealt).withColumn("active", last).filter("kind = 2")
+    # dealt out by both keys: by the pair of labels alone all of its groups would meet again
+    found = swept.unionByName(dealt).repartition("two", "group").withColumn("active", last).filter("kind = 2")
     fits = F.filter("active", lambda x: F.startswith(F.col("path"), x["path"]))
     best = F.array_max(F.transform(fits, lambda x: F.struct((F.length(x["host"]) + F.length(x["path"])).alias("n"), F.length(x["host"]).alias("h"), F.concat(x["host"], x["path"]).alias("rule"), x["action"].alias("action"))))
     return found.withColumn("best", best).select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
