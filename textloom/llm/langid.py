@@ -157,7 +157,7 @@ def calibrated(model: LanguageModel, texts: list[str], langs: list[str], rejecte
     truth: list[int] = []
     cuts: list[float] = []
     for k in range(LONGEST.bit_length()):
-        parts = [(x, model.labels.index(y)) for t, y in zip(texts, langs, strict=True) for x in _pieces(t, 1 << k)[: max(1, 4096 >> k)] if len(x) == 1 << k and has_letter(x.decode("utf-8", "ignore"))]
+        parts = [(x, model.labels.index(y)) for t, y in zip(texts, langs, strict=True) for x in _pieces(t, 1 << k)[:64] if len(x) == 1 << k and has_letter(x.decode("utf-8", "ignore"))]
         told = [model.told(x) for x, _ in parts]
         # those named wrongly are no measure of how surely the others are named
         margins = sorted(m for (label, _, m), (_, y) in zip(told, parts, strict=True) if label == y)
