@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from textloom.operators import experiment
+from textloom.operators import designs, experiment, validation
 from textloom.operators.report import write_report
 from textloom.operators.runs import RUN_RECORD, first_tasks, run_frame
-from textloom.sources import client, corpus, generator, tables
+from textloom.sources import cache, client, corpus, generator, tables
 from textloom.sources.config import Config, load_config
-from textloom.sources.jsonl import append_jsonl
+from textloom.sources.jsonl import append_jsonl, read_jsonl
 
 
 def _spark(folder: str) -> SparkSession:
@@ -25,8 +25,13 @@ def _spark(folder: str) -> SparkSession:
     return spark
 
 
-def _runs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(StructType.fromDDL(RUN_RECORD)).json(path)
+def _runs(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
+    """The run records below ``path``. With ``check``, a row that is no record, a last line that was cut off, and records that break a rule
+    raise before anything is made of them."""
+    made = read_jsonl(spark, path, StructType.fromDDL(RUN_RECORD), check)
+    if check and (bad := validation.run_violations(made).take(5)):
+        raise ValueError("; ".join(f"{r['rule']}: {r['key']}" for r in bad))
+    return made
 
 
 def _model(config: Config) -> client.Model:
@@ -34,7 +39,16 @@ def _model(config: Config) -> client.Model:
         return client.KnowsTheAnswer()
     if config.model.provider != "openai_compatible":
         raise ValueError("the provider must be mock or openai_compatible")
-    return client.Http(config.model.base_url or "", config.model.api_key or "", config.model.model, temperature=config.model.temperature)
+    m = config.model
+    return client.Http(m.base_url or "", m.api_key or "", m.model, temperature=m.temperature, top_p=m.top_p, seed=m.seed)
+
+
+def _kept(model: client.Model, config: Config, folder: str | None) -> client.Model:
+    """The model with its responses kept in ``folder``, which all executors have to see."""
+    if folder is None:
+        return model
+    m = config.model
+    return cache.Cached(model, folder, {"provider": m.provider, "model": m.model, "base_url": m.base_url, "temperature": m.temperature, "top_p": m.top_p, "seed": m.seed})
 
 
 def generate(a: argparse.Namespace) -> int:
@@ -52,8 +66,15 @@ def run(a: argparse.Namespace) -> int:
     config = load_config(a.config, {"model": {"provider": a.provider}} if a.provider else None)
     bundle = corpus.load_bundle(spark, f"{a.corpus}/corpus.jsonl", f"{a.corpus}/tasks.jsonl", config.chunking.size_tokens, config.chunking.overlap_tokens)
     tasks = first_tasks(bundle.tasks, a.split, a.task_limit)
-    done = _runs(spark, f"{a.runs}/runs").select("run_key") if a.resume and Path(f"{a.runs}/runs").exists() else None
-    made = experiment.run_experiment(bundle.documents, tasks, config, _model(config), done).checkpoint()
+    done = None
+    if a.resume and Path(f"{a.runs}/runs").exists():
+        done = _runs(spark, f"{a.runs}/runs")
+        expected = {"experiment_id": designs.experiment_id(config.experiment.experiment_id, config.sha256, config.experiment.seed)}
+        if version := tasks.select("corpus_version").first():
+            expected["corpus_version"] = version["corpus_version"]
+        if other := designs.provenance_mismatches(done, expected).select("run_key").take(3):
+            raise ValueError("runs of another configuration or corpus cannot be resumed: " + ", ".join(r["run_key"] for r in other))
+    made = experiment.run_experiment(bundle.documents, tasks, config, _kept(_model(config), config, a.cache), done).checkpoint()
     append_jsonl(made, f"{a.runs}/runs")
     print(f"{made.count()} runs")
     return 0
@@ -101,6 +122,7 @@ def main(argv: list[str] | None = None) -> int:
     c.add_argument("--split", default="eval")
     c.add_argument("--task-limit", type=int, default=1 << 30)
     c.add_argument("--resume", action="store_true")
+    c.add_argument("--cache")
     c = sub.add_parser("evaluate")
     c.add_argument("runs")
     c.add_argument("output")

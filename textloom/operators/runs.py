@@ -9,6 +9,8 @@ from textloom.operators.designs import CELLS, CONDITIONS
 
 IDS = "array<string>"
 RANGE = "struct<path:string,start_line:int,end_line:int>"
+#: A call of a model: what it was booked with, and what the provider counted (null where it did not say).
+TURNS = "array<struct<turn:int,input_tokens:long,output_tokens:long,provider_input:long,provider_output:long>>"
 #: A run as it is stored, nested.
 RUN_RECORD = f"""
 run_key string, experiment_id string, task_id string, condition string, design_cell string, condition_order int, question string, corpus_version string,
@@ -21,7 +23,7 @@ evidence_metrics struct<final_recall:double,precision:double,distinct_gold_facts
 tool_trace array<struct<request_id:string,call_ordinal:int,tool:string,arguments:string,ok:boolean,error_code:string,line_ranges:array<{RANGE}>,repeated:boolean,latency_ms:double>>,
 tool_call_count int, max_tool_calls_permitted int, tool_calls_by_type struct<grep:int,read:int,cat:int,list:int>, successful_tool_calls int, invalid_tool_calls int, repeated_tool_calls int,
 unique_files_read {IDS}, unique_line_ranges_accessed array<{RANGE}>, time_to_first_gold_fact_ms double, calls_to_complete_gold_coverage int,
-token_accounting struct<limit:long,input_tokens_estimated:long,output_tokens_estimated:long,total_tokens_estimated:long,turns:array<struct<turn:int,input_tokens:long,output_tokens:long>>>,
+token_accounting struct<limit:long,input_tokens_estimated:long,output_tokens_estimated:long,total_tokens_estimated:long,input_tokens_provider:long,output_tokens_provider:long,turns:{TURNS}>,
 latency struct<wall_ms:double,model_ms:double,retrieval_ms:double,tool_ms:double>, estimated_cost_usd double, hop_count int, category string, distractor_count int,
 errors array<struct<stage:string,code:string,message:string>>
 """

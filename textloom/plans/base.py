@@ -70,7 +70,7 @@ def nested_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The runs as nested records (see ``operators.runs.RUN_RECORD``)."""
     from pyspark.sql.types import StructType
 
-    from textloom.operators.runs import RUN_RECORD
+    from textloom.operators.runs import RUN_RECORD, TURNS
 
     r = flat_runs(spark, sf_dir)
     c = F.col
@@ -83,7 +83,7 @@ def nested_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "evidence_metrics": F.struct(c("final_recall").alias("final_recall"), c("precision").alias("precision"), c("gold_facts").alias("distinct_gold_facts"), c("all_required").alias("all_required_accessed"), c("cite_precision").alias("citation_precision"), c("cite_recall").alias("citation_recall")),
         "tool_call_count": c("calls"), "max_tool_calls_permitted": c("permitted"), "successful_tool_calls": c("calls") - F.least("invalid", "calls"), "invalid_tool_calls": c("invalid"), "repeated_tool_calls": c("repeated"),
         "tool_calls_by_type": F.struct(c("calls").alias("grep"), F.lit(0).alias("read"), F.lit(0).alias("cat"), F.lit(0).alias("list")),
-        "token_accounting": F.struct(c("token_limit").alias("limit"), c("input_tokens").alias("input_tokens_estimated"), c("output_tokens").alias("output_tokens_estimated"), (c("input_tokens") + c("output_tokens")).alias("total_tokens_estimated"), F.array().cast("array<struct<turn:int,input_tokens:long,output_tokens:long>>").alias("turns")),
+        "token_accounting": F.struct(c("token_limit").alias("limit"), c("input_tokens").alias("input_tokens_estimated"), c("output_tokens").alias("output_tokens_estimated"), (c("input_tokens") + c("output_tokens")).alias("total_tokens_estimated"), F.lit(None).cast("long").alias("input_tokens_provider"), F.lit(None).cast("long").alias("output_tokens_provider"), F.array().cast(TURNS).alias("turns")),
         "latency": F.struct("wall_ms", "model_ms", "retrieval_ms", "tool_ms"), "estimated_cost_usd": c("cost"), "hop_count": c("hops"), "category": c("category"), "distractor_count": c("distractors"),
     }
     return r.select(*(made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(RUN_RECORD)))
