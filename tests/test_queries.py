@@ -8,6 +8,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
+from textloom.plans import more  # noqa: F401  registers its queries
 from textloom.plans.queries import QUERIES, SQL
 
 

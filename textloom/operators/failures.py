@@ -76,5 +76,8 @@ def trace_examples(runs: DataFrame) -> DataFrame:
 
 def public_payload(runs: DataFrame) -> DataFrame:
     """What of a run may be shown: example runs as JSON of their public fields."""
-    shown = ["run_key", "task_id", "condition", "design_cell", "question", "final_answer", "parsed_answer", "correctness", "citations", "termination_reason", "tool_trace", "accessed_evidence", "retrieval_metrics", "evidence_metrics", "token_accounting", "errors"]
+    shown = [
+        "run_key", "task_id", "condition", "design_cell", "question", "final_answer", "parsed_answer", "correctness", "citations", "termination_reason", "initial_retrieved_documents", "initial_retrieved_chunks", "gold_evidence", "tool_trace", "tool_call_count",
+        "tool_calls_by_type", "successful_tool_calls", "invalid_tool_calls", "repeated_tool_calls", "accessed_evidence", "retrieval_metrics", "evidence_metrics", "token_accounting", "latency", "errors",
+    ]
     return runs.select("run_key", F.to_json(F.struct(*sorted(shown)), {"ignoreNullFields": "false"}).alias("payload"))

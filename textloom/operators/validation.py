@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textloom.functions.text import lines
+from textloom.functions.text import lines, normal_form
 
 SLUG = r"^[a-z0-9]+(?:-[a-z0-9]+)*$"
 DOC_ID = r"^doc-[a-z0-9]+(?:-[a-z0-9]+)*-\d{4,}$"
@@ -81,6 +81,25 @@ def task_violations(tasks: DataFrame, docs: DataFrame, chunks: DataFrame) -> Dat
     ])
 
 
+def leakage_violations(tasks: DataFrame, docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Ways in which tasks could be solved too easily or splits know of each other. ``tasks``: task_id, split, question, required_fact_ids,
+    gold_document_ids, distractor_document_ids; ``docs``: doc_id, facts; ``chunks``: chunk_id, doc_id, start_line, end_line.
+
+    A task's facts stand in two documents at least, no chunk holds all of them, no document serves both splits (its key is the
+    document's), and no question is asked twice (its key is the least task's)."""
+    need = tasks.select("task_id", F.explode("required_fact_ids").alias("fact_id"))
+    spans = docs.select("doc_id", F.explode("facts").alias("f")).select("doc_id", "f.fact_id", "f.line_start", "f.line_end")
+    at = need.join(spans, "fact_id", "left")
+    few = at.groupBy("task_id").agg(F.count_distinct("doc_id").alias("n")).filter("n < 2").select(F.lit("facts_in_two_documents").alias("rule"), F.col("task_id").alias("key"))
+    held = at.join(chunks.select("chunk_id", "doc_id", "start_line", "end_line"), "doc_id").filter((F.col("line_start") <= F.col("end_line")) & (F.col("line_end") >= F.col("start_line")))
+    most = held.groupBy("task_id", "chunk_id").agg(F.count_distinct("fact_id").alias("n")).groupBy("task_id").agg(F.max("n").alias("n"))
+    whole = need.groupBy("task_id").agg(F.count_distinct("fact_id").alias("all")).join(most, "task_id").filter("n = all").select(F.lit("no_chunk_holds_all_facts").alias("rule"), F.col("task_id").alias("key"))
+    uses = tasks.select("split", F.explode(F.concat("gold_document_ids", "distractor_document_ids")).alias("doc_id"))
+    both = uses.groupBy("doc_id").agg(F.count_distinct("split").alias("n")).filter("n > 1").select(F.lit("splits_apart").alias("rule"), F.col("doc_id").alias("key"))
+    asked = tasks.groupBy(normal_form(F.col("question")).alias("q")).agg(F.count(F.lit(1)).alias("n"), F.min("task_id").alias("key")).filter("n > 1").select(F.lit("questions_unique").alias("rule"), "key")
+    return few.unionByName(whole).unionByName(both).unionByName(asked)
+
+
 def leaks(tasks: DataFrame, docs: DataFrame) -> DataFrame:
     """task_id, doc_id where a document holds a task's question. The questions go to the documents, in blocks if they are many."""
     asked = tasks.select("task_id", "question").filter("question <> ''")

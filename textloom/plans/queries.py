@@ -109,14 +109,6 @@ def chunks(spark, d):
     return chunking.chunk_documents(base.files(spark, d)).select("doc_id", "chunk_index", "start_line", "end_line", "token_count")
 
 
-@query()
-def chunk_facts(spark, d):
-    """Fact ids of chunks: two spans a document stand in for facts."""
-    docs = base.files(spark, d)
-    spans = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.explode(F.array(F.lit(1), F.lit(3))).alias("line_start")).select(F.concat(F.lit("fact-"), "doc_id", F.lit("-"), "line_start").alias("fact_id"), "doc_id", "line_start", F.col("line_start").alias("line_end"))
-    return chunking.with_fact_ids(chunking.chunk_documents(docs), spans).select("chunk_id", "start_line", "end_line", "fact_ids")
-
-
 # Retrieval
 
 BM25 = f"""words AS (SELECT c.chunk_id, c.doc_id, c.path, unnest({terms_sql('c.text')}) AS term FROM c), lens AS (SELECT c.chunk_id, c.doc_id, c.path, CAST(len({terms_sql('c.text')}) AS BIGINT) AS length FROM c),
@@ -295,12 +287,6 @@ def evidence_metrics(spark, d):
     return need.join(shown, "run_id", "left").select("run_id", m.alias("m")).select("run_id", "m.*")
 
 
-@query()
-def accessed_evidence(spark, d):
-    chunk = base.facts(spark, d).select(F.concat("fact_id", F.lit("::c0000")).alias("chunk_id"), F.col("fact_id").alias("doc_id"), "path", F.col("line_start").alias("start_line"), F.col("line_end").alias("end_line"))
-    return evidence.accessed_evidence(_shown(spark, d), base.facts(spark, d), chunk)
-
-
 # Answers
 
 

@@ -27,12 +27,18 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` and read it back, so that it is computed once however often it is read. The table goes with ``drop`` or the process."""
     spark = df.sparkSession
+    path = folder(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder's path there, for files of any kind; it goes like a stored table."""
     path = f"{shared_dir(spark)}/textloom-tables/{uuid.uuid4().hex}"
     if not _STANDING:
         atexit.register(drop)
     _STANDING[path] = spark
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def drop() -> None:
