@@ -103,7 +103,9 @@ def test_regression_recovers_coefficients(spark):
     n = 1500
     x = np.stack([np.ones(n), rng.standard_normal(n), rng.standard_normal(n)], axis=1)
     y = (rng.random(n) < 1 / (1 + np.exp(-(x @ [0.3, 1.0, -0.5])))).astype(float)
-    beta, cov = statistics.fit_logit(x, y)
+    parts = [(x[k::4], y[k::4]) for k in range(4)]  # sums over parts, as over partitions
+    total = lambda got: tuple(sum(v) for v in zip(*got, strict=True))
+    beta, cov = statistics.fit_logit(lambda b: total([statistics.logit_sums(*part, b) for part in parts]), lambda b, bread: sum(statistics.meat_sums(*part, b, bread) for part in parts))
     mean = 1 / (1 + np.exp(-(x @ beta)))
     assert np.abs(x.T @ (y - mean)).max() < 1e-5  # the score is zero at the estimate
     assert np.allclose(beta, [0.3, 1.0, -0.5], atol=0.2) and (np.diag(cov) > 0).all()
@@ -112,8 +114,44 @@ def test_regression_recovers_coefficients(spark):
 def test_regression_says_why_not(frame):
     got = statistics.within_vfs_regression(frame).collect()
     assert [(r["term"], r["status"]) for r in got] == [("__status__", "error")] and "too few" in got[0]["error"]
-    g = pd.DataFrame({"task_id": ["a", "a"], "success": [True, False]})
-    assert "twice" in statistics.regression_rows(g)["error"][0]
+    twice = frame.union(frame.filter("condition = 'vfs'").limit(1))
+    assert "twice" in statistics.within_vfs_regression(twice).first()["error"]
+
+
+def test_regression_over_partitions(spark):
+    """On runs spread over partitions: the score is zero at the estimates, and the covariance is that of the plain formula."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(600):
+        calls, recall, hops, tokens, far, cat = int(rng.integers(0, 9)), float(rng.integers(0, 5)) / 4, int(rng.integers(2, 5)), int(rng.integers(300, 4000)), int(rng.integers(0, 7)), f"c{rng.integers(0, 3)}"
+        p = 1 / (1 + np.exp(-(-1 + 0.3 * calls + recall - 0.0003 * tokens + (cat == "c1"))))
+        rows.append((f"t{i:04d}", bool(rng.random() < p), calls, recall, hops, tokens, far, cat, "primary", "vfs"))
+    runs_ = spark.createDataFrame(rows, "task_id string, success boolean, tool_call_count int, initial_recall double, hop_count int, total_tokens long, distractor_count int, category string, design_cell string, condition string").repartition(5)
+    got = {r["term"]: r for r in statistics.within_vfs_regression(runs_).collect()}
+    terms = [*statistics.TERMS, "category_c1", "category_c2"]
+    assert got["__status__"]["status"] == "converged" and set(got) == {*terms, "__status__"}
+    x, y = statistics.design(pd.DataFrame(rows, columns=runs_.columns), ["c0", "c1", "c2"])
+    beta = np.array([got[t]["coefficient"] for t in terms])
+    mean = 1 / (1 + np.exp(-(x @ beta)))
+    assert np.abs((x.T @ (y - mean)) / np.abs(x).sum(axis=0)).max() < 1e-6
+    bread = np.linalg.inv(x.T @ (x * (mean * (1 - mean))[:, None]))
+    hat = mean * (1 - mean) * np.einsum("ij,jk,ik->i", x, bread, x)
+    part = x * ((y - mean) / (1 - hat))[:, None]
+    want = np.sqrt(np.diag(bread @ part.T @ part @ bread))
+    assert np.allclose([got[t]["std_error"] for t in terms], want, rtol=1e-4)
+
+
+def test_bootstrap_from_counts_has_the_same_law():
+    d = np.array([-1] * 20 + [0] * 50 + [1] * 30, dtype=float)
+    a, b = statistics.bootstrap_interval(d, 4000), statistics.interval_from_counts(20, 50, 30, 4000)
+    assert np.allclose(a, b, atol=0.025)
+
+
+def test_leaks_are_found_by_their_rarest_part(spark):
+    docs = spark.createDataFrame([("a", "xx what is the answer to this yy"), ("b", "what is the answer to that"), ("c", "pre-what is the answer to this-post"), ("d", "short q here"), ("e", "")], "doc_id string, content string")
+    tasks = spark.createDataFrame([("1", "what is the answer to this"), ("2", "rt q"), ("3", "no such question at all"), ("4", ""), ("5", "is the")], "task_id string, question string")
+    got = sorted((r["task_id"], r["doc_id"]) for r in validation.leaks(tasks, docs).collect())
+    assert got == [("1", "a"), ("1", "c"), ("2", "d"), ("5", "a"), ("5", "b"), ("5", "c")]
 
 
 def record(spark, **given):
@@ -146,7 +184,7 @@ def test_excessive_repeats(spark, calls, repeats, want):
 
 
 def test_run_frame_derives_what_is_missing(spark):
-    r = record(spark, design_cell="max_calls_4", gold_evidence=(["fact-1", "fact-2"], ["doc-data-systems-0001"], []), token_accounting=(100, 20, 10, None, []), tool_call_count=None, tool_trace=[("a", 1, "read", "{}", True, None, [], False, 1.0)])
+    r = record(spark, design_cell="max_calls_4", gold_evidence=(["fact-1", "fact-2"], ["doc-data-systems-0001"], []), token_accounting=(100, 20, 10, None, None, None, []), tool_call_count=None, tool_trace=[("a", 1, "read", "{}", True, None, [], False, 1.0)])
     got = runs.run_frame(r).first()
     assert (got["split"], got["hop_count"], got["category"], got["total_tokens"], got["budget_bucket"], got["tool_call_count"], got["max_tool_calls_permitted"]) == ("eval", 2, "data-systems", 30, "25-50%", 1, 4)
     assert len(got) == 80
@@ -235,7 +273,7 @@ def test_order_checks_cross_their_parts(spark):
 
 
 def test_run_rules(spark):
-    bad = record(spark, condition="snippets", tool_call_count=1, tool_calls_by_type=(0, 0, 0, 0), token_accounting=(10, 8, 4, 13, []), tool_trace=[("a", 2, "read", "{}", True, None, [], False, 1.0)])
+    bad = record(spark, condition="snippets", tool_call_count=1, tool_calls_by_type=(0, 0, 0, 0), token_accounting=(10, 8, 4, 13, None, None, []), tool_trace=[("a", 2, "read", "{}", True, None, [], False, 1.0)])
     assert {r["rule"] for r in validation.run_violations(bad).collect()} == {"token_total", "token_limit", "calls_by_type", "snippets_without_trace", "ordinals"}
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -10,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.operators.aggregates import paired
+from textloom.sources.scratch import stored
 
 RESAMPLES, SEED, CONFIDENCE = 10_000, 20250308, 0.95
 #: Bytes of the index matrix that a bootstrap holds at once.
@@ -51,17 +54,32 @@ def bootstrap_interval(differences: np.ndarray, resamples: int = RESAMPLES, seed
     return float(low), float(high)
 
 
-def paired_summary(frame: DataFrame, resamples: int = RESAMPLES, seed: int = SEED, confidence: float = CONFIDENCE) -> DataFrame:
-    """One row: ``paired_rates`` of all primary pairs with ci_lower and ci_upper, resamples and seed. The bootstrap's rows are the tasks' single
-    differences in the order of their ids; they are read by one task, one byte each."""
+def interval_from_counts(lost: int, same: int, won: int, resamples: int = RESAMPLES, seed: int = SEED, confidence: float = CONFIDENCE) -> tuple[float, float]:
+    """The interval that ``bootstrap_interval`` estimates, from the numbers of differences -1, 0 and 1 alone: a resample's counts are
+    multinomial. Other random numbers, the same law."""
+    n = lost + same + won
+    drawn = np.random.default_rng(seed).multinomial(n, [lost / n, same / n, won / n], size=resamples)
+    edge = 50 * (1 - confidence)
+    low, high = np.percentile((drawn[:, 2] - drawn[:, 0]) / n, (edge, 100 - edge))
+    return float(low), float(high)
+
+
+def paired_summary(frame: DataFrame, resamples: int = RESAMPLES, seed: int = SEED, confidence: float = CONFIDENCE, by_index: bool = True) -> DataFrame:
+    """One row: ``paired_rates`` of all primary pairs with ci_lower and ci_upper, resamples and seed. With ``by_index`` the bootstrap
+    draws rows by their places in the order of ids, as one seeded matrix would: for that one task reads all differences, a byte each.
+    Without, it draws the three counts, which any number of pairs allows."""
     if resamples < 1:
         raise ValueError("resamples must be positive")
     pairs = paired(frame).select("task_id", "s_success", "v_success").filter("s_success is not null and v_success is not null")
     d = pairs.select("task_id", (F.col("v_success").cast("tinyint") - F.col("s_success").cast("tinyint")).cast("tinyint").alias("d"))
+    if not by_index:
+        d = d.groupBy().agg(*(F.count_if(F.col("d") == k).alias(name) for k, name in ((-1, "lost"), (0, "same"), (1, "won"))))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g[["task_id", "d"]]
-        low, high = bootstrap_interval(g.sort_values("task_id")["d"].to_numpy().astype(float), resamples, seed, confidence)
+        if by_index:
+            low, high = bootstrap_interval(g.sort_values("task_id")["d"].to_numpy().astype(float), resamples, seed, confidence)
+        else:
+            low, high = interval_from_counts(*(int(g[c].iat[0]) for c in ("lost", "same", "won")), resamples, seed, confidence)
         return pd.DataFrame({"ci_lower": [low], "ci_upper": [high]})
 
     interval = d.groupBy().applyInPandas(run, "ci_lower double, ci_upper double")
@@ -108,72 +126,125 @@ TERMS = ("intercept", "calls", "calls_squared", "initial_recall", "hops", "token
 FITTED = "term string, coefficient double, std_error double, ci_lower double, ci_upper double, p_value double, converged boolean, error string, n long, reference_category string, status string"
 
 
-def fit_logit(x: np.ndarray, y: np.ndarray, most: int = 100, tolerance: float = 1e-8) -> tuple[np.ndarray, np.ndarray]:
-    """Coefficients and HC3 covariance of a binomial model with logit link, by reweighted least squares."""
-    beta = np.zeros(x.shape[1])
-    mean = (y + 0.5) / 2
-    old = np.inf
-    for _ in range(most):
+def logit_sums(x: np.ndarray, y: np.ndarray, beta: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, float]:
+    """One part's share of a step of reweighted least squares at ``beta`` (None: the usual start): XᵀWX, XᵀWz and the deviance."""
+    if beta is None:
+        mean = (y + 0.5) / 2
+        eta = np.log(mean / (1 - mean))
+    else:
+        eta = x @ beta
+        mean = np.clip(1 / (1 + np.exp(-eta)), 1e-12, 1 - 1e-12)
         eta = np.log(mean / (1 - mean))
-        w = mean * (1 - mean)
-        beta = np.linalg.pinv(x * np.sqrt(w)[:, None]) @ (np.sqrt(w) * (eta + (y - mean) / w))
-        mean = np.clip(1 / (1 + np.exp(-(x @ beta))), 1e-12, 1 - 1e-12)
-        deviance = -2 * float(np.sum(y * np.log(mean) + (1 - y) * np.log(1 - mean)))
-        if abs(old - deviance) < tolerance:
+    w = mean * (1 - mean)
+    z = eta + (y - mean) / w
+    return x.T @ (x * w[:, None]), x.T @ (w * z), -2 * float(np.sum(y * np.log(mean) + (1 - y) * np.log(1 - mean)))
+
+
+def meat_sums(x: np.ndarray, y: np.ndarray, beta: np.ndarray, bread: np.ndarray) -> np.ndarray:
+    """One part's share of the middle of the HC3 covariance."""
+    mean = np.clip(1 / (1 + np.exp(-(x @ beta))), 1e-12, 1 - 1e-12)
+    hat = mean * (1 - mean) * np.einsum("ij,jk,ik->i", x, bread, x)
+    part = x * ((y - mean) / np.maximum(1e-12, 1 - hat))[:, None]
+    return part.T @ part
+
+
+def fit_logit(sums: Callable[[np.ndarray | None], tuple[np.ndarray, np.ndarray, float]], meat: Callable[[np.ndarray, np.ndarray], np.ndarray], most: int = 100, tolerance: float = 1e-8) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients and HC3 covariance of a binomial model with logit link, by reweighted least squares on sums over all rows
+    (``logit_sums``, ``meat_sums``), wherever these lie."""
+    beta, old = None, np.inf
+    for _ in range(most + 1):
+        gram, right, deviance = sums(beta)
+        if beta is not None and abs(old - deviance) < tolerance:
             break
-        old = deviance
+        old = deviance if beta is not None else np.inf
+        # columns of very different size, as calls and tokens, are brought to one before the inverse is taken
+        scale = 1 / np.sqrt(np.maximum(np.diag(gram), 1e-300))
+        beta = scale * (np.linalg.pinv(gram * np.outer(scale, scale), rcond=1e-12, hermitian=True) @ (scale * right))
     else:
         raise RuntimeError("did not converge")
-    w = mean * (1 - mean)
-    bread = np.linalg.pinv(x.T @ (x * w[:, None]))
-    hat = w * np.einsum("ij,jk,ik->i", x, bread, x)
-    meat = (x * ((y - mean) / np.maximum(1e-12, 1 - hat))[:, None]).T
-    return beta, bread @ (meat @ meat.T) @ bread
-
-
-def regression_rows(g: pd.DataFrame, confidence: float = CONFIDENCE) -> pd.DataFrame:
-    """Terms of the model for one frame of runs, or one status row that says why there is none."""
-
-    def failed(why: str, n: int, reference: str | None = None) -> pd.DataFrame:
-        return pd.DataFrame([("__status__", *[None] * 5, False, why, n, reference, "error")], columns=[c.split()[0] for c in FITTED.split(", ")])
-
-    g = g.sort_values("task_id")
-    if g["task_id"].duplicated().any():
-        return failed("a task stands twice", len(g))
-    need = {"success": "correctness", "tool_call_count": "calls", "initial_recall": "initial recall", "hop_count": "hops", "total_tokens": "tokens", "distractor_count": "distractors", "category": "category"}
-    if lacking := [name for c, name in need.items() if g[c].isna().any()]:
-        return failed("covariates are missing: " + ", ".join(lacking), len(g))
-    y = g["success"].astype(float).to_numpy()
-    names = sorted(set(g["category"].str.strip()))
-    terms = [*TERMS, *(f"category_{c}" for c in names[1:])]
-    if not ((g["initial_recall"] >= 0) & (g["initial_recall"] <= 1)).all():
-        return failed("initial recall is out of range", len(g), names[0])
-    if len(set(y)) < 2:
-        return failed("both outcomes are needed", len(g), names[0])
-    if len(g) <= len(terms):
-        return failed("too few runs for the terms", len(g), names[0])
+    bread = np.outer(scale_ := 1 / np.sqrt(np.maximum(np.diag(gram), 1e-300)), scale_) * np.linalg.pinv(gram * np.outer(scale_, scale_), rcond=1e-12, hermitian=True)
+    return beta, bread @ meat(beta, bread) @ bread
+
+
+NEED = {"success": "correctness", "tool_call_count": "calls", "initial_recall": "initial recall", "hop_count": "hops", "total_tokens": "tokens", "distractor_count": "distractors", "category": "category"}
+
+
+def design(g: pd.DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
     calls = g["tool_call_count"].astype(float).to_numpy()
-    columns = [np.ones(len(g)), calls, calls**2, *(g[c].astype(float).to_numpy() for c in ("initial_recall", "hop_count", "total_tokens", "distractor_count")), *((g["category"].str.strip() == c).astype(float).to_numpy() for c in names[1:])]
-    try:
-        beta, cov = fit_logit(np.stack(columns, axis=1), y)
-        error = np.sqrt(np.diag(cov))
-        if not np.isfinite(beta).all() or not np.isfinite(error).all() or (error == 0).any():
-            raise ValueError("an estimate is not finite")
-    except (ValueError, RuntimeError, np.linalg.LinAlgError) as e:
-        return failed(f"{type(e).__name__}: {e}", len(g), names[0])
-    from statistics import NormalDist
+    category = g["category"].str.strip()
+    columns = [np.ones(len(g)), calls, calls**2, *(g[c].astype(float).to_numpy() for c in ("initial_recall", "hop_count", "total_tokens", "distractor_count")), *((category == c).astype(float).to_numpy() for c in names[1:])]
+    return np.stack(columns, axis=1), g["success"].astype(float).to_numpy()
 
-    z = NormalDist().inv_cdf((1 + confidence) / 2)
-    rows = [(t, b, s, b - z * s, b + z * s, math.erfc(abs(b / s) / math.sqrt(2)), True, None, len(g), names[0], "coefficient") for t, b, s in zip(terms, beta, error, strict=True)]
-    rows.append(("__status__", *[None] * 5, True, None, len(g), names[0], "converged"))
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in FITTED.split(", ")])
+
+def _status(why: str | None, n: int, reference: str | None, status: str) -> tuple:
+    return ("__status__", None, None, None, None, None, why is None, why, n, reference, status)
 
 
 def within_vfs_regression(frame: DataFrame, confidence: float = CONFIDENCE) -> DataFrame:
     """Success on calls, their square, recall, hops, tokens, distractors and category over the primary file-system runs; an association, not a
-    cause. One fit reads all of them, one row of seven numbers each."""
+    cause. Every step sums small matrices over the partitions; no task holds all runs, and a row a partition comes to the driver. Where there
+    is no model a status row says why."""
     if not 0 < confidence < 1:
         raise ValueError("confidence must be between zero and one")
-    rows = frame.filter((F.col("design_cell") == "primary") & (F.col("condition") == "vfs")).select("task_id", "success", "tool_call_count", "initial_recall", "hop_count", "total_tokens", "distractor_count", "category")
-    fitted = rows.groupBy().applyInPandas(lambda g: regression_rows(g, confidence), FITTED)
-    return fitted.withColumns({"associative": F.lit(True), "covariance_type": F.lit("HC3")})
+    rows = frame.filter((F.col("design_cell") == "primary") & (F.col("condition") == "vfs")).select("task_id", *NEED)
+    rows = stored(rows.withColumns({"success": F.col("success").cast("int"), "category": F.btrim("category")}))
+    again = rows.groupBy("task_id").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("again"))
+    about = rows.agg(
+        F.count(F.lit(1)).alias("n"), *(F.count_if(F.col(c).isNull()).alias(f"no_{c}") for c in NEED), F.array_sort(F.collect_set("category")).alias("names"), F.count_distinct("success").alias("outcomes"),
+        F.count_if(~F.coalesce(F.col("initial_recall").between(0, 1), F.lit(True))).alias("outside"),
+    ).crossJoin(F.broadcast(again)).first()  # fmt: skip  one row each
+    n, names = about["n"], list(about["names"])
+    terms = [*TERMS, *(f"category_{c}" for c in names[1:])]
+    lacking = [name for c, name in NEED.items() if about[f"no_{c}"]]
+    if about["again"] > 1:
+        out = [_status("a task stands twice", n, None, "error")]
+    elif lacking:
+        out = [_status("covariates are missing: " + ", ".join(lacking), n, None, "error")]
+    elif about["outside"]:
+        out = [_status("initial recall is out of range", n, names[0], "error")]
+    elif about["outcomes"] < 2:
+        out = [_status("both outcomes are needed", n, names[0] if names else None, "error")]
+    elif n <= len(terms):
+        out = [_status("too few runs for the terms", n, names[0], "error")]
+    else:
+        out = _estimates(rows, terms, names, n, confidence)
+    made = frame.sparkSession.createDataFrame(out, FITTED)
+    return made.withColumns({"associative": F.lit(True), "covariance_type": F.lit("HC3")})
+
+
+def _summed(rows: DataFrame, names: list[str], part: Callable[[np.ndarray, np.ndarray], list[np.ndarray]]) -> np.ndarray:
+    """The sum over all partitions of the numbers that ``part`` makes of a batch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for g in batches:
+            if len(g):
+                flat = np.concatenate([np.ravel(v) for v in part(*design(g, names))])
+                total = flat if total is None else total + flat
+        if total is not None:
+            yield pd.DataFrame({"k": np.arange(len(total)), "v": total})
+
+    got = rows.mapInPandas(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").toPandas()
+    return got["v"].to_numpy()
+
+
+def _estimates(rows: DataFrame, terms: list[str], names: list[str], n: int, confidence: float) -> list[tuple]:
+    k = len(terms)
+
+    def sums(beta: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, float]:
+        v = _summed(rows, names, lambda x, y: list(logit_sums(x, y, beta)))
+        return v[: k * k].reshape(k, k), v[k * k : k * k + k], float(v[-1])
+
+    def meat(beta: np.ndarray, bread: np.ndarray) -> np.ndarray:
+        return _summed(rows, names, lambda x, y: [meat_sums(x, y, beta, bread)]).reshape(k, k)
+
+    try:
+        beta, cov = fit_logit(sums, meat)
+        error = np.sqrt(np.diag(cov))
+        if not np.isfinite(beta).all() or not np.isfinite(error).all() or (error == 0).any():
+            raise ValueError("an estimate is not finite")
+    except (ValueError, RuntimeError, np.linalg.LinAlgError) as e:
+        return [_status(f"{type(e).__name__}: {e}", n, names[0], "error")]
+    z = NormalDist().inv_cdf((1 + confidence) / 2)
+    out = [(t, b, s, b - z * s, b + z * s, math.erfc(abs(b / s) / math.sqrt(2)), True, None, n, names[0], "coefficient") for t, b, s in zip(terms, beta.tolist(), error.tolist(), strict=True)]
+    return [*out, _status(None, n, names[0], "converged")]

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.functions.text import lines, normal_form
+from textloom.sources.scratch import stored
 
+#: Questions without an inner word that are sent to all documents at most.
+SHORT_QUESTIONS = 10_000
 SLUG = r"^[a-z0-9]+(?:-[a-z0-9]+)*$"
 DOC_ID = r"^doc-[a-z0-9]+(?:-[a-z0-9]+)*-\d{4,}$"
 CHUNK_ID = r"^doc-[a-z0-9-]+::c\d{4,}$"
@@ -101,9 +104,26 @@ def leakage_violations(tasks: DataFrame, docs: DataFrame, chunks: DataFrame) ->
 
 
 def leaks(tasks: DataFrame, docs: DataFrame) -> DataFrame:
-    """task_id, doc_id where a document holds a task's question. The questions go to the documents, in blocks if they are many."""
-    asked = tasks.select("task_id", "question").filter("question <> ''")
-    return docs.select("doc_id", "content").join(asked, F.contains("content", "question")).select("task_id", "doc_id")
+    """task_id, doc_id where a document (doc_id, content) holds a task's question, character by character. Empty questions stand in none.
+
+    A document that holds a question holds all of its parts between blanks, the first and the last perhaps as parts of longer ones.
+    So a question meets only documents with its rarest inner part, and these are searched. The few questions without an inner part
+    are looked for in all documents, if they are ``SHORT_QUESTIONS`` at most; more are refused."""
+    asked = tasks.select("task_id", "question", F.split("question", " ").alias("parts")).filter("question <> ''")
+    inner = asked.select("task_id", F.explode(F.slice("parts", 2, F.greatest(F.size("parts") - 2, F.lit(0)))).alias("part")).distinct()
+    wanted = inner.select("part").distinct()
+    have = docs.select("doc_id", F.explode(F.array_distinct(F.split("content", " "))).alias("part")).join(wanted, "part", "left_semi")
+    have = stored(have)
+    rare = inner.join(have.groupBy("part").agg(F.count(F.lit(1)).alias("n")), "part", "left")
+    anchors = rare.groupBy("task_id").agg(F.min_by("part", F.struct(F.coalesce("n", F.lit(0)), "part")).alias("part"))
+    near = have.join(anchors, "part").select("task_id", "doc_id").distinct().join(asked.select("task_id", "question"), "task_id")
+    found = docs.select("doc_id", "content").join(near, "doc_id").filter(F.contains("content", "question")).select("task_id", "doc_id")
+    short = stored(asked.join(inner.select("task_id").distinct(), "task_id", "left_anti").select("task_id", "question"))
+    if (n := short.count()) > SHORT_QUESTIONS:
+        raise ValueError(f"{n} questions of one or two words: too many to look for in every document")
+    if n:
+        found = found.unionByName(docs.select("doc_id", "content").join(F.broadcast(short), F.contains("content", "question")).select("task_id", "doc_id"))
+    return found
 
 
 def run_violations(runs: DataFrame) -> DataFrame:

@@ -390,12 +390,18 @@ def _frame(spark, d) -> DataFrame:
     return runs.run_frame(base.nested_runs(spark, d))
 
 
-SHOW = ("run_key", "task_id", "split", "condition", "design_cell", "success", "initial_recall", "final_recall", "tool_call_count", "max_tool_calls_permitted", "total_tokens", "token_limit", "hop_count", "category", "budget_bucket")
+_NOTHING = ("final_answer", "question", "parsed_answer", "parsed_answer_json", "parsed_answer_text", "parsed_answer_justification", "initial_retrieved_documents_json", "initial_retrieved_chunks_json", "accessed_evidence_json", "tool_trace_json", "errors_json")
+#: The frame's columns that ``FLAT`` has not.
+BESIDE = {
+    "experiment_id": "'exp'", "condition_order": "CAST(NULL AS INT)", "corpus_version": "'v1'", "correctness": "f.success", "citations": "'[]'", "citations_json": "'[]'", "termination_reason": "r.termination", "gold_fact_count": "2", "gold_document_count": "1", "gold_chunk_count": "1",
+    "calls": "f.tool_call_count", "permitted_tool_calls": "f.max_tool_calls_permitted", "tokens": "f.total_tokens", "hops": "f.hop_count", "task_category": "f.category", "distractors": "f.distractor_count", "token_budget_bucket": "f.budget_bucket",
+    "gold_evidence_json": """'{"fact_ids":["fact-000001","fact-000002"],"doc_ids":["doc-a-0001"],"chunk_ids":["doc-a-0001::c0000"]}'""", "token_turns_json": "'[]'", "status": "'ok'", **dict.fromkeys(_NOTHING, "CAST(NULL AS VARCHAR)"),
+}
 
 
-@query(f"SELECT {', '.join(SHOW)} FROM {FLAT} f")
+@query(f"SELECT f.*, {', '.join(f'{v} AS {k}' for k, v in BESIDE.items())} FROM {FLAT} f JOIN ({RUNS}) r USING (run_key)")
 def run_frame(spark, d):
-    return _frame(spark, d).select(*SHOW)
+    return _frame(spark, d)
 
 
 @query(f"SELECT condition, design_cell, {M} FROM {FLAT} f GROUP BY condition, design_cell")
@@ -581,7 +587,7 @@ def generated_tasks(spark, d):
 
 @query()
 def harness_mock_runs(spark, d):
-    """Both conditions over generated tasks, asked of a model that knows the answers."""
+    """The snippets condition over generated tasks, asked of a model that knows the answers; ``experiment_outcomes`` runs both."""
     from textloom.operators.harness import run_snippets
     from textloom.sources import generator
     from textloom.sources.client import KnowsTheAnswer
