@@ -299,3 +299,16 @@ def test_trace_examples(spark):
             made = r if made is None else made.unionByName(r)
     assert {r["example"]: r["run_key"] for r in failures.trace_examples(made).collect()} == {"vfs_win": "t1:vfs", "snippet_win": "t3:snippets", "both_fail": "t4:vfs", "excessive_tool_use": "t4:vfs"}
     assert list(itertools.islice(failures.CLASSES, 1)) == ["initial_retrieval_miss"]
+
+
+def test_a_report_of_model_runs(spark, sf_dir):
+    from textloom.plans.base import nested_runs
+
+    made = nested_runs(spark, sf_dir).cache()
+    text = report.write_report(made, runs.run_frame(made), 200)
+    titles = [line for line in text.split("\n") if line.startswith("## ")]
+    assert titles == ["## By condition", "## Paired test", "## Pairs by stratum", "## By hops and category", "## By share of the budget", "## Intervention", "## Within the file system", "## Failures", "## Examples", "## What this does not say"]
+    n = statistics.paired_rates(aggregates.paired(runs.run_frame(made)).select("s_success", "v_success")).first()["n"]
+    assert f"[observed] {n} paired tasks" in text and "[inferred]" in text and "vfs_win" in text
+    assert report.write_report(made.filter("design_cell = 'primary'"), runs.run_frame(made.filter("design_cell = 'primary'")), 50).count("Not run — no run had a limit") == 1
+    assert report.paired_lines({"n": 0, "status": "incomplete_pairs"}) == ["Not run — no complete pairs (incomplete_pairs)."]

@@ -41,23 +41,72 @@ def table(df: DataFrame, most: int = 200) -> str:
     return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns), *("| " + " | ".join(map(cell, r)) + " |" for r in rows)])
 
 
-def write_report(runs: DataFrame, frame: DataFrame) -> str:
-    """The report's text. Runs of a mock and of a model together are refused; on a mock alone the paired test is left out, for it would say
-    nothing of a model."""
-    from textloom.operators import aggregates
+NO_MODEL = "all runs are by a mock, which says nothing of a model"
+
+
+def not_run(why: str) -> str:
+    return f"Not run — {why}."
+
+
+def rows_or_reason(df: DataFrame, columns: tuple[str, ...], order: tuple[str, ...], none: str) -> str:
+    """The table of a summary, or why there is none: no rows, or a status that says so."""
+    states = {r["status"] for r in df.select("status").distinct().collect()} if "status" in df.columns else {"ok"}
+    if not states or states <= {"not_run"}:
+        return not_run(none)
+    if all((x or "").startswith("error") for x in states):
+        return not_run("; ".join(sorted(states)))
+    return table(df.orderBy(*order).select(*columns))
+
+
+def paired_lines(outcome: dict) -> list[str]:
+    """What the pairs show, and what follows from that."""
+    if not outcome.get("n"):
+        return [not_run(f"no complete pairs ({outcome.get('status')})")]
+    seen = f"[observed] {outcome['n']} paired tasks: {percent(outcome['snippets_success_rate'])} right with snippets, {percent(outcome['vfs_success_rate'])} with the file system, a difference of {percent(outcome['difference'])}."
+    return [seen, f"[inferred] The difference lies between {percent(outcome['ci_lower'])} and {percent(outcome['ci_upper'])}; exact paired test p = {number(outcome['mcnemar_p_value'], 4)}."]
+
+
+def write_report(runs: DataFrame, frame: DataFrame, resamples: int | None = None) -> str:
+    """The report's text. Runs of a mock and of a model together are refused; on a mock alone whatever would speak of a model is left out,
+    with the reason. Statements are marked as observed or inferred."""
+    from textloom.operators import aggregates, failures, statistics
 
     about = run_set(runs).first()
     if about["mock_state"] == "mixed":
         raise ValueError("runs of a mock and of a model cannot be reported together")
-    parts = ["# Run report", f"[observed] {about['n_runs']} runs over {about['n_tasks']} tasks; conditions {', '.join(about['conditions'])}; corpus {', '.join(about['corpus_versions'])}."]
-    parts += ["## By condition", table(aggregates.condition_summary(frame).select("condition", "design_cell", "n", "success_rate", "total_tokens_mean", "success_per_1000_tokens").orderBy("condition", "design_cell"))]
-    if about["mock_state"] == "all":
-        parts += ["## Paired test", "Not run — all runs are by a mock."]
+    mock = about["mock_state"] == "all"
+    parts = ["# Run report", f"[observed] {about['n_runs']} runs over {about['n_tasks']} tasks; conditions {', '.join(about['conditions'])}; cells {', '.join(about['design_cells'])}; corpus {', '.join(about['corpus_versions'])}."]
+    if mock:
+        parts.append("[observed] Every run is by a mock that knows the answers: rates below are no measure of a model.")
+    cost = frame.agg(F.sum("estimated_cost_usd").alias("cost"), F.avg("wall_ms").alias("wall"), F.sum("total_tokens").alias("tokens")).first()
+    parts.append(f"[observed] {number(cost['tokens'] and float(cost['tokens']))} tokens and {number(cost['cost'], 4)} USD by the configured prices; {number(cost['wall'], 1)} ms a run.")
+    rates = ("n", "success_rate", "total_tokens_mean", "actual_tool_calls_mean", "success_per_1000_tokens")
+    parts += ["## By condition", rows_or_reason(aggregates.condition_summary(frame), ("condition", "design_cell", *rates), ("condition", "design_cell"), "there are no runs")]
+    if mock:
+        parts += ["## Paired test", not_run(NO_MODEL)]
+    else:
+        outcome = aggregates.paired_outcomes(frame, *([resamples] if resamples else [])).first()
+        parts += ["## Paired test", *paired_lines(outcome.asDict() if outcome else {"n": 0, "status": "no task has both sides"})]
+    strata = statistics.stratified(frame).filter("n > 0")
+    parts += ["## Pairs by stratum", not_run(NO_MODEL) if mock else rows_or_reason(strata, ("stratum", "band", "n", "snippets_success_rate", "vfs_success_rate", "difference"), ("stratum", "band"), "no pair has both sides in one band")]
+    parts += ["## By hops and category", rows_or_reason(aggregates.subgroup_summary(frame), ("subgroup", "level", "condition", "design_cell", *rates), ("subgroup", "level", "condition", "design_cell"), "no run names hops or a category")]
+    if top := hardest_category(frame).first():
+        parts.append(f"[observed] Most primary runs went wrong in {top['category']} ({top['n']}).")
+    parts += ["## By share of the budget", rows_or_reason(aggregates.efficiency_summary(frame), ("condition", "budget_bucket", *rates), ("condition", "budget_bucket"), "there are no runs")]
+    parts += ["## Intervention", rows_or_reason(aggregates.or_not_run(aggregates.intervention_summary(frame)), ("permitted_call_limit", "design_cell", *rates), ("permitted_call_limit",), "no run had a limit of calls of its own")]
+    fit = statistics.within_vfs_regression(frame)
+    status = fit.filter("term = '__status__'").first()
+    if mock:
+        parts += ["## Within the file system", not_run(NO_MODEL)]
+    elif status is None or status["error"]:
+        parts += ["## Within the file system", not_run(status["error"] if status else "there are no runs")]
     else:
-        parts += ["## Paired test", table(aggregates.paired_outcomes(frame))]
-    failures = aggregates.failure_summary(runs)
-    parts += ["## Failures", table(failures.orderBy("condition", "design_cell", "failure_class"))]
-    if top := most_recorded_failure(failures).first():
-        parts.append(f"[observed] Most recorded: {top['failure_class']} ({top['count']}).")
-    parts += ["## Intervention", table(aggregates.or_not_run(aggregates.intervention_summary(frame)).select("permitted_call_limit", "n", "success_rate", "status").orderBy("permitted_call_limit"))]
+        parts += ["## Within the file system", f"[inferred] Association over {status['n']} runs, not a cause; reference category {status['reference_category']}.", table(fit.filter("term <> '__status__'").select("term", "coefficient", "std_error", "ci_lower", "ci_upper", "p_value"))]
+    lost = aggregates.failure_summary(runs)
+    parts += ["## Failures", rows_or_reason(lost, ("condition", "design_cell", "failure_class", "count", "n", "rate"), ("condition", "design_cell", "failure_class"), "no run has a failure class")]
+    if top := most_recorded_failure(lost).first():
+        parts.append(f"[observed] Most recorded: {top['failure_class']} ({top['count']}). Classes overlap, so rates do not add up.")
+    shown = failures.trace_examples(runs)
+    parts += ["## Examples", table(shown.orderBy("example")) if shown.take(1) else not_run("no pair of runs fits an example")]
+    parts += ["## What this does not say", "Token counts are estimates by one tokenizer unless a provider counted; latencies hold the waiting for other runs of a turn; strata and subgroups are looked at without a correction for their number."]
     return "\n\n".join(parts) + "\n"
