@@ -442,9 +442,23 @@ def paired_rates(spark, d):
     return p.withColumn("mcnemar_p_value", F.round(F.col("mcnemar_p_value") + OFF_TIES, 7))
 
 
-@query()
+PAIRED_STATE = f"(SELECT CASE WHEN max(greatest(s, v)) > 1 THEN 'duplicate_primary_record' WHEN min(least(s, v)) = 0 THEN 'incomplete_pairs' ELSE 'ok' END FROM (SELECT task_id, count(*) FILTER (WHERE condition = 'snippets') AS s, count(*) FILTER (WHERE condition = 'vfs') AS v FROM {FLAT} f WHERE design_cell = 'primary' GROUP BY task_id) x)"
+
+
+@query(f"""WITH {PAIRS}, k AS (SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE s) AS BIGINT) AS snippets_successes, CAST(count(*) FILTER (WHERE v) AS BIGINT) AS vfs_successes, CAST(count(*) FILTER (WHERE s AND NOT v) AS BIGINT) AS snippets_only, CAST(count(*) FILTER (WHERE v AND NOT s) AS BIGINT) AS vfs_only FROM pairs)
+SELECT outcome, CAST(c AS BIGINT) AS count, n, c / n AS rate, snippets_successes, vfs_successes, snippets_only, vfs_only, snippets_successes / n AS snippets_success_rate, vfs_successes / n AS vfs_success_rate, (vfs_successes - snippets_successes) / n AS difference, {MCNEMAR.format(b='snippets_only', c='vfs_only')} AS mcnemar_p_value, {PAIRED_STATE} AS status
+FROM (SELECT o.outcome, count(p.task_id) AS c FROM (SELECT unnest(['both_succeed', 'snippets_only', 'vfs_only', 'both_fail']) AS outcome) o LEFT JOIN (SELECT *, {OUTCOME} AS outcome FROM pairs) p USING (outcome) GROUP BY o.outcome) x CROSS JOIN k""")
 def paired_outcomes(spark, d):
-    return aggregates.paired_outcomes(_frame(spark, d))
+    """All but the bootstrap's interval, which ``paired_interval`` has."""
+    p = aggregates.paired_outcomes(_frame(spark, d)).drop("ci_lower", "ci_upper")
+    return p.withColumn("mcnemar_p_value", F.round(F.col("mcnemar_p_value") + OFF_TIES, 7))
+
+
+@query()
+def paired_interval(spark, d):
+    """The interval by drawn rows and by drawn counts."""
+    by_rows = statistics.paired_summary(_frame(spark, d)).select(F.lit("rows").alias("drawn"), "n", "difference", "ci_lower", "ci_upper")
+    return by_rows.unionByName(statistics.paired_summary(_frame(spark, d), by_index=False).select(F.lit("counts").alias("drawn"), "n", "difference", "ci_lower", "ci_upper"))
 
 
 @query(f"SELECT l_orderkey, CAST(max(l_linenumber) AS INT) AS b, CAST(min(l_suppkey) % 40 AS INT) AS c, {MCNEMAR.format(b='max(l_linenumber)', c='(min(l_suppkey) % 40)')} AS p_value FROM lineitem GROUP BY l_orderkey")
@@ -518,9 +532,10 @@ for _name, (_f, _x, _where) in POINTS.items():
     SQL[_name] = f"SELECT CAST({_x} AS DOUBLE) AS x, condition, CAST(count(*) AS BIGINT) AS n, avg(CAST(success AS INT)) AS success_rate FROM {FLAT} f WHERE {_where} AND {_x} IS NOT NULL GROUP BY ALL"
 
 
-@query()
+@query(f"WITH {PAIRS} SELECT condition, CAST(count(*) AS BIGINT) AS n, avg(CAST(success AS INT)) AS success_rate, (SELECT (count(*) FILTER (WHERE v) - count(*) FILTER (WHERE s)) / count(*) FROM pairs) AS difference FROM {FLAT} f WHERE design_cell = 'primary' GROUP BY condition")
 def figure_success_by_condition(spark, d):
-    return plots.success_by_condition(_frame(spark, d))
+    """The figure's points; the interval is that of ``paired_interval``."""
+    return plots.success_by_condition(_frame(spark, d)).drop("ci_lower", "ci_upper")
 
 
 @query(f"SELECT condition, avg(wall_ms) AS wall_ms_mean, avg(model_ms) AS model_ms_mean, avg(retrieval_ms) AS retrieval_ms_mean, avg(tool_ms) AS tool_ms_mean, avg(estimated_cost_usd) AS estimated_cost_usd_mean FROM {FLAT} f WHERE design_cell = 'primary' GROUP BY condition")
