@@ -205,6 +205,18 @@ def path_forms(spark, d):
     return o.select("o_orderkey", vfs.path_error(raw).alias("error_code"), vfs.canonical_path(raw).alias("canonical"))
 
 
+@query(f"""WITH f AS (SELECT doc_id, category AS source, path FROM ({FILES}) x), r AS (SELECT doc_id, source, path, doc_id % 6 AS k FROM f)
+SELECT doc_id AS request_id, CASE k WHEN 0 THEN path WHEN 1 THEN path WHEN 2 THEN '/' || source WHEN 3 THEN '/' || source WHEN 4 THEN path || '/more.md' ELSE '/' || source || '/none.md' END AS path,
+CASE k WHEN 1 THEN 'NOT_A_DIRECTORY' WHEN 2 THEN 'NOT_A_FILE' WHEN 4 THEN 'NOT_A_DIRECTORY' WHEN 5 THEN 'NOT_FOUND' END AS error_code FROM r""")
+def vfs_resolve(spark, d):
+    """Files and directories asked for as what they are and as what they are not, paths through files, and paths that lead nowhere."""
+    docs = base.files(spark, d)
+    k, folder = F.col("doc_id") % 6, F.concat(F.lit("/"), "category")
+    path = F.when(k < 2, F.col("path")).when(k < 4, folder).when(k == 4, F.concat("path", F.lit("/more.md"))).otherwise(F.concat(folder, F.lit("/none.md")))
+    kind = F.when(k.isin(0, 2, 4, 5), "file").otherwise("directory")
+    return vfs.resolve(docs, docs.select(F.col("doc_id").alias("request_id"), path.alias("path"), kind.alias("kind")))
+
+
 #: Requests and the code that refuses them.
 REQUESTS = (
     ("grep", {"query": "x", "max_results": "5"}, None),
