@@ -148,6 +148,15 @@ def crc32_text(column: Column) -> Column:
     return F.crc32(column.cast("string").cast("binary"))
 
 
+def different_buckets(members: DataFrame, key: str, node: str) -> DataFrame:
+    """``members`` (distinct pairs of ``key`` and ``node``) without keys of one node, and with one key of those whose nodes are the same:
+    pairs that meet under one need not meet under the other. Sets are told apart by their number and 128 bits of their nodes' hashes."""
+    xor = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), F.col(node)))
+    sets = members.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), xor(1).alias("_a"), xor(2).alias("_b")).filter("_n > 1")
+    once = sets.groupBy("_n", "_a", "_b").agg(F.min(key).alias(key)).select(key)
+    return members.join(once, key, "left_semi")
+
+
 def with_pair_blocks(df: DataFrame, key: list[str], spread: str, block_rows: int) -> DataFrame:
     """Deal the rows of each key into blocks such that every pair of rows meets in one group.
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, stored, with_pair_blocks
 from .components import connected_components
+from .forest import joined, roots_of
 
 #: Distinct vectors that meet in one group at most, twice, and pairs that are estimated at once.
 BLOCK_ROWS, PAIRS = 1024, 1 << 18
@@ -241,22 +242,6 @@ def _linked(threshold: float, width: int, bands: int, seed: int, kind: str):
     return run
 
 
-def roots_of(up: np.ndarray) -> np.ndarray:
-    while (up[up] != up).any():
-        up = up[up]
-    return up
-
-
-def joined(up: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """Join the sets of ``i`` and ``j`` in the forest ``up``, where a row hangs on a lesser one, for all pairs at once."""
-    while len(i):
-        up[:] = roots_of(up)
-        a, b = up[i], up[j]
-        apart = a != b
-        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-        np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
-
-
 def similar_vectors(vectors: DataFrame, threshold: float = 0.95, miss: float = MISS, seed: int = 9) -> DataFrame:
     """Links of every row of ``vectors`` (vec_id, embedding) by cosine, in double precision, of at least ``threshold``.
 

@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import bounded_batches, fresh, portions, stored, with_pair_blocks
+from .common import bounded_batches, different_buckets, fresh, portions, stored, with_pair_blocks
 from .components import connected_components
-from .forest import Forest
+from .forest import ArrayForest, Forest
 from .grouping import map_groups
-from .paragraphs import BASES, SHINGLE, _signed, band_keys, digests, parse, row_key, span_hashes
+from .paragraphs import BASES, SHINGLE, _signed, band_keys, digests, parse, span_hashes
 from .xxh64 import span_digests
 
 BITS = 64
@@ -23,8 +23,12 @@ BITS = 64
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 #: Fingerprints that a cell of the upper trie should hold, and node pairs that a lower trie holds at once.
 CELL_ROWS, FRONTIER = 256, 1 << 16
+#: Fingerprints of a cell, guests included, that one task holds at most, twice.
+CELL_BLOCK = 1 << 13
 #: Distinct texts of a bucket of candidates that meet in one group, twice.
 COPIES_ROWS = 128
+#: The white space of words.
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 #: The digest of no words.
 EMPTY = bytes(16)
 
@@ -35,11 +39,19 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 
 def fingerprints_of(texts: list[str | None], shingle: int = 4) -> np.ndarray:
     """Majority bits of the XXH64 (seed 42) of all shingles of each text's lower-cased words, repeats included."""
-    words = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
-    count = np.array([len(w) for w in words])
-    data = b" ".join(x for w in words for x in w)
-    size = np.fromiter((len(x) for w in words for x in w), dtype=np.int64, count=int(count.sum()))
-    start = np.cumsum(size + 1) - size - 1
+    raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+    every = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
+    space = SPACE[every]
+    before = np.concatenate([[True], space[:-1]])
+    # one blank stays after each word
+    stays = ~(space & before)
+    data = np.where(space[stays], np.uint8(32), every[stays])
+    last_byte = np.flatnonzero(data == 32)
+    start = np.concatenate([[0], last_byte[:-1] + 1]) if len(last_byte) else last_byte
+    size = last_byte - start
+    begins = np.cumsum([0, *(len(r) + 1 for r in raw)])
+    count = np.bincount(np.searchsorted(begins, np.flatnonzero(~space & before), side="right") - 1, minlength=len(texts))
+    data = data.tobytes()
     n = np.where(count > 0, np.maximum(1, count - shingle + 1), 0)
     stop = np.cumsum(n)
     doc = np.repeat(np.arange(len(texts)), n)
@@ -73,7 +85,7 @@ def _rotated(fps: np.ndarray, start: int) -> np.ndarray:
     return (fps << np.uint64(start)) | (fps >> np.uint64(BITS - start)) if start else fps
 
 
-def trie_links(home: np.ndarray, guests: np.ndarray | None, depth: int, segment: int, errors: int, forest: Forest) -> None:
+def trie_links(home: np.ndarray, guests: np.ndarray | None, depth: int, segment: int, errors: int, forest: ArrayForest) -> None:
     """Join all pairs within ``errors`` bits of two sorted arrays of rotated fingerprints (or of one with itself).
 
     An array is a trie: a node is a range of values that agree in their first bits. From the roots, which agree
@@ -139,8 +151,7 @@ def _leaves(a, b, pairs, same, segment, errors, forest) -> None:
         i, j = i[i < j], j[i < j]
     differ = a[i] ^ b[j]
     near = np.bitwise_count(differ) <= errors
-    for x, y in zip(a[i[near]].tolist(), b[j[near]].tolist(), strict=True):
-        forest.join(x, y)
+    forest.join(a[i[near]], b[j[near]])
 
 
 def _cells(prefix: int, errors: int):
@@ -161,18 +172,27 @@ def _cells(prefix: int, errors: int):
 
 
 def _joined(prefix: int, errors: int):
+    """Links within a cell, or between two blocks of one: of its own fingerprints with each other and with guests."""
+
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         start, length = SEGMENTS[key[0]]
         r = _rotated(group["fp"].to_numpy().astype(np.uint64), start)
-        home, guests = np.sort(r[~group["guest"].to_numpy()]), np.sort(r[group["guest"].to_numpy()])
-        forest = Forest()
-        if len(home):
-            trie_links(home, None, prefix, length, errors, forest)
+        guest, first = group["guest"].to_numpy(), (group["block"] == key[2]).to_numpy()
+        crossed = key[2] != key[3]
+        forest = ArrayForest(r)
+
+        def visits(home: np.ndarray, guests: np.ndarray) -> None:
             # guests' first bits differ from the cell's in one bit, which may stand at any place of the prefix
-            for bit in range(prefix):
+            for bit in range(prefix if len(home) else 0):
                 of = guests[((guests ^ home[0]) >> np.uint64(BITS - prefix)) == np.uint64(1 << bit)]
                 trie_links(home, of, prefix, length, errors, forest)
-        edges = np.array(list(forest.edges()), dtype=np.uint64).reshape(-1, 2)
+
+        home, guests = ([np.sort(r[(guest == g) & (first == f)]) for f in (True, False)] for g in (False, True))
+        trie_links(home[0], home[1] if crossed else None, prefix, length, errors, forest)
+        visits(home[0], guests[1] if crossed else guests[0])
+        if crossed:
+            visits(home[1], guests[0])
+        edges = forest.edges()
         back = _rotated(edges, BITS - start) if start else edges
         return pd.DataFrame({"a": back[:, 0].astype(np.int64), "b": back[:, 1].astype(np.int64)})
 
@@ -185,14 +205,16 @@ def fingerprint_links(distinct: DataFrame, errors: int = 4) -> DataFrame:
     The upper levels of the trie are walked by the shuffle: a fingerprint goes to the cell of its first bits and to
     the cells that a pair of nodes with one differing bit leads to; the lower levels are walked in the cells. This is
     done for three orders of the bits, since every pair within four bits differs in at most one bit of one of the
-    segments 0-20, 21-41, 42-63. Cells are the smaller the more fingerprints there are.
+    segments 0-20, 21-41, 42-63. Cells are the smaller the more fingerprints there are; one with very many all the same, as near copies
+    give, is dealt in blocks, each of which meets each other.
     """
     if errors > 2 * len(SEGMENTS) - 1:
         raise ValueError("errors: more than the segments allow")
     n = distinct.count()
     prefix = min(SEGMENTS[0][1], max(0, int(np.ceil(np.log2(max(1, n) / CELL_ROWS)))))
     cells = distinct.mapInPandas(_cells(prefix, errors), "segment int, cell long, guest boolean, fp long")
-    return cells.groupBy("segment", "cell").applyInPandas(_joined(prefix, errors), "a long, b long")
+    dealt = with_pair_blocks(cells, ["segment", "cell"], "fp", CELL_BLOCK)
+    return dealt.groupBy("segment", "cell", "lo_block", "hi_block").applyInPandas(_joined(prefix, errors), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, errors: int = 4, shingle: int = 4) -> DataFrame:
@@ -280,7 +302,9 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, errors: int = 4) -> Da
     """
     bounded_batches(docs.sparkSession)
     name = fresh(docs, "row")
-    keyed = docs.withColumn(name, row_key(docs))
+    # 128 bits of doc_id and text
+    own = F.md5(F.concat_ws("|", F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("~")), F.md5(F.coalesce("text", F.lit("")))))
+    keyed = docs.withColumn(name, F.unhex(own))
     ready = keyed.select(F.coalesce("text", F.lit("")).alias("text"), F.col(name).alias("row"), "doc_id")
     kind = docs.schema["doc_id"].dataType.simpleString()
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
@@ -289,7 +313,7 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, errors: int = 4) -> Da
     roots = connected_components(fingerprint_links(nodes.filter("keys is not null").select("fp").distinct(), errors)).withColumnRenamed("node", "fp")
     alike = nodes.filter("keys is not null").select("node", "fp").join(roots, "fp", "left").select("node", F.xxhash64(F.lit("fp"), F.coalesce("component", "fp")).alias("key"))
     banded = nodes.select("node", F.explode("keys").alias("key")).unionByName(alike)
-    dealt = stored(with_pair_blocks(banded.distinct(), ["key"], "node", COPIES_ROWS))
+    dealt = stored(with_pair_blocks(different_buckets(stored(banded.distinct()), "key", "node"), ["key"], "node", COPIES_ROWS))
     asked = dealt.select("node").distinct().join(nodes, "node").select("node", F.col("least.row").alias("row"))
     sets = ready.join(asked, "row").dropDuplicates(["node"]).select("node", "text").mapInPandas(_shingles, "node binary, shingles array<long>")
     pairs = map_groups(dealt.join(sets, "node"), ["key", "lo_block", "hi_block"], _verified(similarity), "a binary, b binary")
