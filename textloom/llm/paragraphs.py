@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh, portions, stored, with_pair_blocks
+from .common import bounded_batches, different_buckets, fresh, kept, portions, stored, with_pair_blocks
 from .components import connected_components
 from .forest import Forest
 from .grouping import map_groups
@@ -237,7 +237,7 @@ def _wanted(marks: np.ndarray):
                 around = surroundings(p, at)
                 word = at - np.searchsorted(p.doc, p.doc[at], side="left")
                 of = row_keys[rows[p.doc[at]]] if len(at) else row_keys[:0]
-                place = ((around >> np.uint64(8)) ^ (marks_of(list(of)) ^ word).astype(np.uint64)).astype(np.int64) & (MARKS - 1)
+                place = ((around >> np.uint64(8)) ^ (of.astype(np.int64).view(np.uint64) >> np.uint64(8)) ^ word.astype(np.uint64)).astype(np.int64) & (MARKS - 1)
                 set_ = marked(marks, place)
                 at, low, high, around, word, of = at[set_], low[set_], high[set_], around[set_], word[set_], of[set_]
                 size = high - low + 1
@@ -318,12 +318,17 @@ def _ready(docs: DataFrame) -> DataFrame:
 
 
 def row_key(docs: DataFrame) -> Column:
-    """128 bits of doc_id and text: rows with one doc_id and text are one record."""
-    name = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("~"))
-    return F.unhex(F.md5(F.concat_ws("|", name, F.md5(F.coalesce("text", F.lit(""))))))
+    """A hash of doc_id and text. With the doc_id beside it, it tells rows apart: rows with one doc_id and text are one record."""
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.coalesce("text", F.lit("")))
 
 
-def _windowed(ready: DataFrame, units: DataFrame, place: Column) -> DataFrame:
+def _seen_again(windows: DataFrame) -> DataFrame:
+    """The windows that stand more than once. Most stand once: these go by their number alone, before anything else of them is gathered."""
+    often = windows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("node")
+    return stored(windows.join(often, "node", "left_semi"))
+
+
+def _windowed(ready: DataFrame, seen: DataFrame, place: Column) -> DataFrame:
     """The maximal runs of words of which every ``PASSAGE`` in a row stand elsewhere too.
 
     Equal passages of ``PASSAGE`` words have the same window taken, so only windows that stand twice are looked at. Those with
@@ -331,18 +336,19 @@ def _windowed(ready: DataFrame, units: DataFrame, place: Column) -> DataFrame:
     each is asked for the hashes of its passages. So nothing is compared in pairs, and a passage that the first text with
     a window does not share is found among the others.
     """
-    again = units.filter("window").groupBy("node").agg((F.min("around") != F.max("around")).alias("differ"), (F.min(place) != F.max(place)).alias("twice")).filter("twice").drop("twice")
-    taken = stored(units.filter("window").drop("window", "line", "keys").join(again, "node"))
+    again = seen.groupBy("node").agg((F.min("around") != F.max("around")).alias("differ"), (F.min(place) != F.max(place)).alias("twice")).filter("twice").drop("twice")
+    taken = seen.join(again, "node")
     same = stored(taken.groupBy("node", "around", "differ").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("own"), (F.min(place) != F.max(place)).alias("twice"), F.first("n_words").alias("n_words"), F.first(F.col("end") - F.col("start")).alias("length")))
     odd = same.filter("differ").select("node", "around", "n", "own", "twice", F.col("own.row_key").alias("row_key"), F.col("own.at").alias("at"))
-    marks = _marks(odd.select(F.shiftrightunsigned("around", 8).bitwiseXOR(mark_of(F.col("row_key"))).bitwiseXOR(F.col("at")).alias("at")))
-    asked = ready.select("text", "row_key").mapInPandas(_wanted(marks), "row_key binary, at long, node long, around long, hashes array<long>, starts array<long>, ends array<long>")
+    marks = _marks(odd.select(F.shiftrightunsigned("around", 8).bitwiseXOR(F.shiftrightunsigned("row_key", 8)).bitwiseXOR(F.col("at")).alias("at")))
+    asked = ready.select("text", "row_key").mapInPandas(_wanted(marks), "row_key long, at long, node long, around long, hashes array<long>, starts array<long>, ends array<long>")
     asked = asked.join(odd, ["node", "around", "row_key", "at"]).dropDuplicates(["node", "around"])
     each = stored(asked.select("node", "around", "n", "own", "twice", F.posexplode(F.arrays_zip("hashes", "starts", "ends"))).select("node", "around", "n", "own", "twice", F.col("pos").alias("k"), "col.*"))
-    met = each.groupBy("node", "hashes").agg(F.sum("n").alias("total"), F.min("own").alias("first"), (F.bool_or("twice") | (F.min("own") != F.max("own"))).alias("again")).filter("again")
-    each = each.join(met, ["node", "hashes"])
+    alone = Window.partitionBy("node", "hashes")
+    each = each.withColumns({"total": F.sum("n").over(alone), "first": F.min("own").over(alone), "again": F.bool_or("twice").over(alone) | (F.min("own").over(alone) != F.max("own").over(alone))}).filter("again")
     # a passage that overlaps the first one in its own text goes on with it
-    apart = lambda one, other: ~one["row_key"].eqNullSafe(other["row_key"]) | (one["at"] - other["at"] >= PASSAGE)
+    alike = lambda one, other: one["row_key"].eqNullSafe(other["row_key"]) & one["doc_id"].eqNullSafe(other["doc_id"])
+    apart = lambda one, other: ~alike(one, other) | (one["at"] - other["at"] >= PASSAGE)
     is_first = F.col("first") == F.col("own")
     ends = ((F.min, "starts", "start"), (F.max, "ends", "end"), (F.min, "k", "low"), (F.max, "k", "high"), (F.max, "total", "n"), (F.min, "first", "first"))
     span = lambda cond: F.struct(*(f(F.when(cond, F.col(c))).alias(name) for f, c, name in ends))
@@ -351,8 +357,8 @@ def _windowed(ready: DataFrame, units: DataFrame, place: Column) -> DataFrame:
     none = F.lit(None).cast(told.schema["met"].dataType)
     plain = same.filter("not differ").select("node", "around", whole.alias("begun"), none.alias("met"), whole.alias("all"), "own")
     spread = taken.drop("differ").join(told.unionByName(plain), ["node", "around"])
-    here = F.struct("row_key", "at")
-    own = (F.col("row_key") == F.col("own.row_key")) & (F.col("at") == F.col("own.at"))
+    here = F.struct("doc_id", "row_key", "at")
+    own = alike(here, F.col("own")) & (F.col("at") == F.col("own.at"))
     later = F.when(apart(here, F.col("own")), F.col("all")).otherwise(F.col("met"))
     part = lambda kept, s: F.struct(F.lit(kept).alias("kept"), s.alias("s"))
     both = F.when(own, F.array(part(True, F.col("begun")), part(False, F.col("met")))).otherwise(F.array(part(False, later)))
@@ -369,11 +375,10 @@ def _windowed(ready: DataFrame, units: DataFrame, place: Column) -> DataFrame:
         F.col("p.s.n").alias("n"),
         F.col("p.s.first").alias("first"),
     )
-    order = Window.partitionBy("row_key", "kept").orderBy("low", "high", "node")
+    order = Window.partitionBy("doc_id", "row_key", "kept").orderBy("low", "high", "node")
     before = F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = parts.withColumn("new", F.when(F.col("low") <= before, 0).otherwise(1)).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("row_key", "kept", "run").agg(
-        F.first("doc_id").alias("doc_id"),
+    return runs.groupBy("doc_id", "row_key", "kept", "run").agg(
         F.min("start").alias("start"),
         F.max("end").alias("end"),
         (F.max("high") - F.min("low")).cast("long").alias("n_words"),
@@ -399,18 +404,26 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     bounded_batches(docs.sparkSession)
     ready = _ready(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    units = stored(ready.mapInPandas(_units, f"doc_id {kind}, row_key binary, window boolean, start long, end long, n_words long, line binary, keys array<long>, node long, around long, at long, lead long"))
+    units = kept(ready.mapInPandas(_units, f"doc_id {kind}, row_key long, window boolean, start long, end long, n_words long, line binary, keys array<long>, node long, around long, at long, lead long"))
+    found = stored(units.filter("not window").select("doc_id", "row_key", "start", "end", "n_words", F.col("line").alias("node"), "keys", "at"))
+    seen = _seen_again(units.filter("window").drop("window", "line", "keys"))
+    units.unpersist()  # what is wanted of it is stored
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "at", "row_key")
     count = [F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), (F.min(place) != F.max(place)).alias("twice")]
     # equal ones are one node; those that stand once stay in, for they may be near others
-    found = units.filter("not window").drop("node").withColumnRenamed("line", "node")
-    lines = found.groupBy("node").agg(*count)
-    banded = found.filter("keys is not null").select("node", F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg((F.min("node") != F.max("node")).alias("shared")).filter("shared").select("key")
-    dealt = stored(with_pair_blocks(banded.join(shared, "key").distinct(), ["key"], "node", BLOCK_ROWS))
-    asked = dealt.select("node").distinct()
+    lines = stored(found.groupBy("node").agg(*count))
+    # a short name of each node travels with the keys; whatever nodes share one are all looked at
+    short = F.xxhash64("node").alias("short")
+    banded = found.filter("keys is not null").select(short, F.explode("keys").alias("key"))
+    # a window, so that keys are dealt out once: for telling which several have, and for those that have them
+    same_key = Window.partitionBy("key")
+    members = banded.withColumn("shared", F.min("short").over(same_key) != F.max("short").over(same_key)).filter("shared")
+    members = stored(members.select("key", "short").distinct())
+    named = found.select("node", short).join(members.select("short").distinct(), "short", "left_semi").distinct()
+    dealt = stored(with_pair_blocks(different_buckets(members, "key", "short").join(named, "short").select("key", "node"), ["key"], "node", BLOCK_ROWS))
+    asked = named.select("node")
     met = asked.join(lines, "node").select("node", F.col("first.row_key").alias("row_key"), F.col("first.at").alias("start"))
-    fetched = ready.select("row_key", "text").mapInPandas(_line_texts(_marks(asked.select(mark_of(F.col("node")).alias("at")))), "row_key binary, start long, node binary, line string")
+    fetched = ready.select("row_key", "text").mapInPandas(_line_texts(_marks(asked.select(mark_of(F.col("node")).alias("at")))), "row_key long, start long, node binary, line string")
     texts = fetched.join(met, ["row_key", "start", "node"], "left_semi").select("node", "line").dropDuplicates(["node"])
     pairs = map_groups(dealt.join(texts, "node"), ["key", "lo_block", "hi_block"], _verified(similarity), "a binary, b binary")
     roots = connected_components(pairs)
@@ -418,7 +431,7 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     totals = classed.groupBy("class_id").agg(F.sum("n").alias("occurrences"), F.min("first").alias("first"), (F.bool_or("twice") | (F.count(F.lit(1)) > 1)).alias("twice")).filter("twice")
     line_classes = classed.select("node", "class_id").join(totals.drop("twice"), "class_id")
     lined = found.join(line_classes, "node")
-    runs = _windowed(ready, units, place)
+    runs = _windowed(ready, seen, place)
     return lined.select(
         "row_key",
         "doc_id",
@@ -462,13 +475,14 @@ def without_repeats(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     All rows and columns stay; a text that is all repeats becomes white space or empty, a null stays null. The first is that of the
     least doc_id, then the earliest in the text, then the least row key, so ties are decided; rows that agree in doc_id and text are
     one record and are cut alike, each. An empty table gives no rows. A text is held whole by the task that cuts it."""
-    key, cut = fresh(docs, "row_key"), fresh(docs, "cut")
-    spans = repeated_passages(docs, similarity).filter("not kept").groupBy(F.col("row_key").alias(key)).agg(F.collect_set(F.struct("start", "end")).alias(cut))
+    key, of, cut, owner = (fresh(docs, x) for x in ("row_key", "of_key", "cut", "owner"))
+    spans = repeated_passages(docs, similarity).filter("not kept").groupBy(F.col("doc_id").alias(owner), F.col("row_key").alias(of)).agg(F.collect_set(F.struct("start", "end")).alias(cut))
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if s is None or t is None else _without(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
     text = F.when(F.col(cut).isNull(), F.col("text")).otherwise(without("text", cut))
-    whole = docs.withColumn(key, row_key(docs)).join(spans, key, "left").withColumn("text", text)
+    whole = docs.withColumn(key, row_key(docs))
+    whole = whole.join(spans, (F.col(key) == F.col(of)) & F.col("doc_id").eqNullSafe(F.col(owner)), "left").withColumn("text", text)
     return whole.select(*(F.col(f"`{c}`") for c in docs.columns))
