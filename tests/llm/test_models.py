@@ -104,6 +104,14 @@ def test_scores(docs):
         assert r["score"] < 0 and math.isfinite(r["score"])
 
 
+def test_words_that_workers_hold_change_no_result(spark, docs):
+    held = F.coalesce(F.col("doc_id"), F.lit(1)) % 4 == 0
+    few, many = (sorted(map(tuple, hmm.score_documents(docs, held, states=2, rounds=1, top_words=2, held_words=k).collect()), key=repr) for k in (2, 1000))
+    assert len(few) == len(many) and all(a[:5] == b[:5] and a[5:] == pytest.approx(b[5:]) for a, b in zip(few, many, strict=True))
+    with pytest.raises(ValueError):
+        hmm.score_documents(docs, held, top_words=1 << 16)
+
+
 def test_all_words_share_one_probability(spark, monkeypatch):
     """With one state a text's probability is a product over its words: it is computed here from the counts, and the shares of all
     known words and one unknown word a class add to 1."""

@@ -86,13 +86,13 @@ def _cut(steps: dict[int, tuple[int, int]], most: int) -> int:
     return least
 
 
-def vocabulary(counts: DataFrame) -> tuple[Vocabulary, int, int]:
-    """The most frequent words of ``counts`` (word, c): at most ``KNOWN``, of them at most ``TOP`` with ids besides the end. Words
+def vocabulary(counts: DataFrame, own: int, held: int) -> tuple[Vocabulary, int, int]:
+    """The most frequent words of ``counts`` (word, c): at most ``held``, of them at most ``own`` with ids besides the end. Words
     as frequent, to an eighth of a doubling, are taken or left together. Also the least counts of both."""
     whole = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
     step = F.floor(8 * F.log2("c")).cast("int")
     steps = {r["step"]: (r["words"], r["least"]) for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words"), F.min("c").alias("least")).collect()}
-    top, known = _cut(steps, TOP), _cut(steps, KNOWN)
+    top, known = _cut(steps, own), _cut(steps, max(own, held))
     rows = counts.filter((F.col("c") >= known) | (F.col("word") == F.lit(END))).toPandas()
     have = dict(sorted((bytes(w), int(c)) for w, c in zip(rows["word"], rows["c"], strict=True)))
     ids: dict[bytes, int] = {END: 0}
@@ -309,11 +309,11 @@ def train(rows: DataFrame, size: int, shares: np.ndarray, states: int, rounds: i
     return model
 
 
-def score_documents(docs: DataFrame, held_out: Column, states: int = 8, rounds: int = 3, sample_rows: int = 400, seed: int = 1) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Column, states: int = 8, rounds: int = 3, sample_rows: int = 400, top_words: int | None = None, held_words: int | None = None, seed: int = 1) -> DataFrame:
     """Train on the rows of ``docs`` (doc_id, text) that are not ``held_out`` and score all.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (unigrams with 0.1 added) and score, the log10
-    probability of the text's tokens, end included, under the model. A state emits one of the ``TOP`` most frequent words, the
+    probability of the text's tokens, end included, under the model. A state emits one of the ``top_words`` (``TOP``) most frequent words, the
     end, or one of ``CLASSES`` classes of other words; a word's share of its class is its count less a discount, and what the
     discounts leave is the share of any word that training did not have. Null texts are empty, which is the end
     alone; repeated rows are scored, and learnt from, each; an empty table gives no rows; with no training rows all
@@ -321,13 +321,16 @@ def score_documents(docs: DataFrame, held_out: Column, states: int = 8, rounds:
 
     Counts of all words and expected counts of all texts are summed over the whole training rows; training reads texts in segments
     with context (see ``expected_counts``), scoring goes through whole texts, whatever their length, and holds one row of states
-    a text. Only the ``KNOWN`` most frequent words go to the workers; the counts of all others are joined to the texts that hold
+    a text. Only the ``held_words`` (``KNOWN``) most frequent words go to the workers, which changes no result; the counts of all others are joined to the texts that hold
     them. Over all known words and one unknown word a class, a state's emissions sum to 1.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
     counts = stored(word_counts(rows.filter("not held_out")))
-    vocab, top, known = vocabulary(counts)
+    own = TOP if top_words is None else top_words
+    if not 0 <= own <= (1 << 16) - CLASSES - 1:
+        raise ValueError("top_words: emission ids have 16 bits")
+    vocab, top, known = vocabulary(counts, own, KNOWN if held_words is None else held_words)
     other = (F.col("word") != F.lit(END)) & (F.col("c") < top)
     group = F.pmod(F.crc32(F.when(F.octet_length("word") > SUFFIX, F.substring("word", -SUFFIX, SUFFIX)).otherwise(F.col("word"))), F.lit(CLASSES)).cast("int")
     others = counts.filter(other)
