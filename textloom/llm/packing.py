@@ -31,7 +31,7 @@ def _encoder(vocabulary: str):
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": 50256})
 
 
-def _vocabulary() -> str:
+def public_vocabulary() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -52,7 +52,7 @@ def pieces(docs: DataFrame, capacity: int = 1024, end: int = 2, vocabulary: str
     from_path = vocabulary
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        path = from_path or _vocabulary()
+        path = from_path or public_vocabulary()
         for b in batches:
             at, rows = [], []
             for k, text in enumerate(b["text"]):

@@ -79,5 +79,39 @@ l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec
 n AS (SELECT a, count(*) AS n FROM l GROUP BY a) SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, min(b) AS component_id, vec_id = min(b) AS kept FROM v JOIN reach ON vec_id = reach.a LEFT JOIN n ON vec_id = n.a GROUP BY vec_id, n"""
 
 
+OP11 = r"""WITH d AS (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents WHERE text IS NOT NULL),
+e AS (SELECT doc_id, row, CAST(len(t) AS BIGINT) AS n, unnest(t) AS term FROM d), tf AS (SELECT doc_id, row, n, term, count(*) AS tf FROM e GROUP BY ALL), tot AS (SELECT count(*) AS documents, CAST(sum(len(t)) AS BIGINT) AS l FROM d WHERE len(t) > 0),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * documents + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term) x, tot), i AS (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL),
+q AS (SELECT item_id, text, term, count(*) AS times FROM (SELECT item_id, text, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM i) y GROUP BY ALL),
+s AS (SELECT item_id, q.text, doc_id, row, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * documents) // l)))) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN tf USING (term), tot GROUP BY ALL)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) r WHERE rank <= 10"""
+
+
+def _encoded(column: str, value: str | None = None) -> str:
+    v = f"CAST({value or column} AS VARCHAR)"
+    return f"CASE WHEN {column} IS NULL THEN '-' ELSE CAST(octet_length(encode({v})) AS VARCHAR) || ':' || {v} END"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_encoded(c, text if c == "text" else None) for c in ("doc_id", "source", "lang", "n_chars", "text")) + ")"
+
+
+def _beside(table: str, group: str) -> str:
+    part = f"PARTITION BY {group}, level, idx // 3 ORDER BY idx ROWS BETWEEN"
+    return f"SELECT {group}, level, idx, coalesce(string_agg(digest, '') OVER ({part} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before, coalesce(string_agg(digest, '') OVER ({part} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after FROM {table} WHERE n > 1"
+
+
+OP13 = f"""WITH RECURSIVE {CRC}, f AS (SELECT row_number() OVER () AS row, doc_id, coalesce('=' || source, '') AS g, {_leaf('text')} AS leaf, {_leaf("replace(text, chr(10), '')")} AS changed FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf, row) - 1 AS idx, count(*) OVER (PARTITION BY g) AS n FROM f),
+u AS (SELECT g, 0 AS level, idx, leaf AS digest, n FROM l UNION ALL SELECT g, level + 1, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)), (n + 2) // 3 FROM u WHERE n > 1 GROUP BY g, level, idx // 3, n),
+s AS (SELECT g, digest AS subroot, row_number() OVER (ORDER BY g) - 1 AS idx, count(*) OVER () AS n FROM u WHERE n = 1),
+v AS (SELECT 0 AS one, 0 AS level, idx, subroot AS digest, n FROM s UNION ALL SELECT one, level + 1, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)), (n + 2) // 3 FROM v WHERE n > 1 GROUP BY one, level, idx // 3, n),
+ub AS ({_beside('u', 'g')}), vb AS ({_beside('v', 'one')}),
+c AS (SELECT row, doc_id IS NOT NULL AND xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]))) % 2 = 0 AS tampered FROM l, crc),
+p AS (SELECT row, g, 0 AS level, idx, n, '' AS proof, CASE WHEN tampered THEN changed ELSE leaf END AS fold FROM l JOIN c USING (row) UNION ALL SELECT row, p.g, p.level + 1, p.idx // 3, (n + 2) // 3, proof || before || after, sha256(before || fold || after) FROM p JOIN ub ON p.g = ub.g AND p.level = ub.level AND p.idx = ub.idx WHERE n > 1),
+r AS (SELECT row, subroot, 0 AS level, s.idx, s.n, proof, fold FROM p JOIN s USING (g) WHERE p.n = 1 UNION ALL SELECT row, subroot, r.level + 1, r.idx // 3, (n + 2) // 3, proof || before || after, sha256(before || fold || after) FROM r JOIN vb ON r.level = vb.level AND r.idx = vb.idx WHERE n > 1)
+SELECT doc_id, leaf, subroot, v.digest AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = v.digest AS verified FROM r JOIN l USING (row), v WHERE r.n = 1 AND v.n = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2, "op3_sharding": OP3, "op4_mixing": OP4, "op7_url_filters": OP7, "op9_embedding_near_dedup": OP9}
+    return {"op2_quality_rules": OP2, "op3_sharding": OP3, "op4_mixing": OP4, "op7_url_filters": OP7, "op9_embedding_near_dedup": OP9, "op11_bit_sliced_search": OP11, "op13_merkle_manifest": OP13}
