@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from textloom import cli
-from textloom.operators import experiment, validation
+from textloom.operators import experiment, validation, vfs
 from textloom.sources import client, corpus, generator
 from textloom.sources.config import load_config
 
@@ -71,5 +71,5 @@ def test_the_tool_loop_reads_compatibility_forms(spark):
     chunks = docs.select(F.concat("doc_id", F.lit("::c0000")).alias("chunk_id"), "doc_id", "path", F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), "text")
     index = bm25.build_index(chunks, exact=True)
     asked = spark.createDataFrame([("r1", "grep", {"query": "file foo", "max_results": "5"})], "run_key string, tool string, arguments map<string,string>")
-    got = harness.tool_results(asked, docs, chunks, index).first()
+    got = harness.tool_results(asked, docs, vfs.build_tree(docs), vfs.build_lines(docs, chunks, index.exact), index).first()
     assert "/a/d.md:1-2" in got["content"] and len(got["line_ranges"]) == 1

@@ -190,7 +190,7 @@ def vfs_grep_ranked(spark, d):
     scored = bm25.scores(index, asked).filter("score >= 0")
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")))
     whole = docs.select(F.col("doc_id").cast("string").alias("chunk_id"), "path", F.lit(1).alias("start_line"), "text")
-    return vfs.grep(docs, ranked, whole, asked).select("ordinal", "path", "start_line", "end_line")
+    return vfs.grep(vfs.build_lines(docs, whole), ranked, asked).select("ordinal", "path", "start_line", "end_line")
 
 
 #: Paths, what is wrong with them, and how they are written.
@@ -214,7 +214,15 @@ def vfs_resolve(spark, d):
     k, folder = F.col("doc_id") % 6, F.concat(F.lit("/"), "category")
     path = F.when(k < 2, F.col("path")).when(k < 4, folder).when(k == 4, F.concat("path", F.lit("/more.md"))).otherwise(F.concat(folder, F.lit("/none.md")))
     kind = F.when(k.isin(0, 2, 4, 5), "file").otherwise("directory")
-    return vfs.resolve(docs, docs.select(F.col("doc_id").alias("request_id"), path.alias("path"), kind.alias("kind")))
+    return vfs.resolve(vfs.build_tree(docs), docs.select(F.col("doc_id").alias("request_id"), path.alias("path"), kind.alias("kind")))
+
+
+@query(f"SELECT r.request_id, f.path FROM ({FILES}) f JOIN (SELECT '/' || category AS request_id FROM (SELECT category FROM ({FILES}) x GROUP BY category ORDER BY category LIMIT 3) y UNION ALL SELECT '/') r ON r.request_id = '/' OR starts_with(f.path, r.request_id || '/')")
+def vfs_files_below(spark, d):
+    """The files below three directories and below the root."""
+    tree = vfs.build_tree(base.files(spark, d))
+    asked = tree.nodes.filter("is_dir AND parent = '/'").orderBy("node").limit(3).select("node").unionByName(spark.range(1).select(F.lit("/").alias("node")))
+    return vfs.files_below(tree, asked.select(F.col("node").alias("request_id"), F.col("node").alias("path")))
 
 
 #: Requests and the code that refuses them.

@@ -133,7 +133,7 @@ def _lines(spark, d) -> DataFrame:
 def bm25_statistics(spark, d):
     index = bm25.build_index(_documents(spark, d))
     one = index.totals.select(F.col("n").alias("n_chunks"), F.round("mean_length", 6).alias("mean_length"))
-    return one.crossJoin(index.postings.agg(F.count(F.lit(1)).alias("n_postings"))).crossJoin(index.idf.agg(F.count(F.lit(1)).alias("n_terms")))  # one row each
+    return one.crossJoin(index.postings.agg(F.sum("n").alias("n_postings"))).crossJoin(index.idf.agg(F.count(F.lit(1)).alias("n_terms")))  # one row each
 
 
 @query(f"WITH {DOC_CHUNKS}, {BM25}, {RANKED.format('')} SELECT query_id, CAST(rank AS INT) AS rank, chunk_id, path, round(score, 6) AS score FROM ranked WHERE rank <= 8")
@@ -150,8 +150,7 @@ def bm25_padded_topk(spark, d):
 
 @query(f"WITH {DOC_CHUNKS}, {BM25}, {RANKED.format(" AND (starts_with(path, '/src1/') OR path = '/src2/2.md')")} SELECT query_id, CAST(rank AS INT) AS rank, chunk_id, round(score, 6) AS score FROM ranked WHERE rank <= 5")
 def bm25_path_filter(spark, d):
-    allowed = F.array(F.lit("/src1/"), F.lit("/src2/2.md"))
-    return bm25.search(bm25.build_index(_documents(spark, d)), base.asked(spark, d), 5, allowed, pad=False).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
+    return bm25.search(bm25.build_index(_documents(spark, d)), base.asked(spark, d), 5, ["/src1/", "/src2/2.md"], pad=False).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
 ROLLED = "rolled AS (SELECT query_id, doc_id, max(score) AS best_score, CAST(count(*) AS BIGINT) AS n_chunks, arg_min(chunk_id, rank) AS best_chunk_id FROM ranked WHERE rank <= 8 GROUP BY query_id, doc_id)"
@@ -215,7 +214,7 @@ def vfs_cat(spark, d):
 @query(f"SELECT 'root' AS request_id, category || '/' AS entry FROM ({FILES}) f GROUP BY category UNION ALL SELECT 'src3', CAST(doc_id AS VARCHAR) || '.md' FROM documents WHERE source = 'src3'")
 def vfs_list(spark, d):
     asked = spark.createDataFrame([("root", None), ("src3", "/src3/")], "request_id string, path string")
-    return vfs.list_directory(base.files(spark, d), asked)
+    return vfs.list_directory(vfs.build_tree(base.files(spark, d)), asked)
 
 
 GREPPED = f"""WITH l AS (SELECT doc_id, '/' || source || '/' || CAST(doc_id AS VARCHAR) || '.md' AS path, CAST(no AS INT) AS no, line, count(*) OVER (PARTITION BY doc_id) AS n FROM {LINES} x),
@@ -229,7 +228,7 @@ def vfs_grep(spark, d):
     whole = docs.select(F.col("doc_id").cast("string").alias("chunk_id"), "path", F.lit(1).alias("start_line"), "text")
     ranked = docs.select(F.lit(1).alias("query_id"), F.col("doc_id").alias("rank"), F.col("doc_id").cast("string").alias("chunk_id"))
     asked = spark.createDataFrame([(1, "License ouer", 50)], "query_id int, query string, max_results int")
-    return vfs.grep(docs, ranked, whole, asked)
+    return vfs.grep(vfs.build_lines(docs, whole), ranked, asked)
 
 
 @query("SELECT url, CASE WHEN contains(url, '://') THEN 'INVALID_PATH' END AS error_code FROM pages")

@@ -24,11 +24,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` and read it back, so that it is computed once however often it is read. The table goes with ``drop`` or the process."""
+def stored(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write ``df`` and read it back, so that it is computed once however often it is read; with ``by``, in a folder for each value of that
+    column, so that a filter on it reads no other. The table goes with ``drop`` or the process."""
     spark = df.sparkSession
     path = folder(spark)
-    df.write.parquet(path)
+    (df.write if by is None else df.write.partitionBy(by)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
