@@ -7,8 +7,10 @@ found from the highest bitmap of the sums down.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, count
 
 import numpy as np
 import pandas as pd
@@ -48,18 +50,19 @@ class Index:
     length: int
 
 
-def _block(block: int, ids: list[int | None], sizes: list[int], found: list[np.ndarray], vocabulary: list[bytes]) -> pa.RecordBatch:
+def _block(block: int, ids: list[int | None], sizes: list[int], found: list[list[int]], vocabulary: list[bytes]) -> pa.RecordBatch:
     """One row of COUNTED: documents by id (null last), terms in order, and of each term its documents in order with their tf."""
     order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0))
     place = np.empty(len(ids), np.int64)
     place[order] = np.arange(len(ids))
+    by_term = sorted(range(len(vocabulary)), key=vocabulary.__getitem__)
     rank = np.empty(len(vocabulary), np.int64)
-    rank[sorted(range(len(vocabulary)), key=vocabulary.__getitem__)] = np.arange(len(vocabulary))
-    code = np.concatenate([np.empty(0, np.int64), *(rank[f] * len(ids) + place[k] for k, f in enumerate(found))])
+    rank[by_term] = np.arange(len(vocabulary))
+    code = rank[np.fromiter(chain.from_iterable(found), np.int64, sum(sizes))] * len(ids) + np.repeat(place, sizes)
     code, tf = np.unique(code, return_counts=True)
     term, doc = np.divmod(code, len(ids))
     row = {
-        "block": block, "doc_ids": [ids[k] for k in order], "sizes": [sizes[k] for k in order], "terms": [v.decode() for v in sorted(vocabulary)],
+        "block": block, "doc_ids": [ids[k] for k in order], "sizes": np.array(sizes)[order], "terms": [vocabulary[k].decode() for k in by_term],
         "dfs": np.bincount(term, minlength=len(vocabulary)), "docs": doc, "tfs": tf,
     }
     types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.string()), *[pa.list_(pa.int32())] * 3]
@@ -68,18 +71,18 @@ def _block(block: int, ids: list[int | None], sizes: list[int], found: list[np.n
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     first, nth = TaskContext.get().partitionId() << 32, 0
-    ids, sizes, found, held, known = [], [], [], 0, {}
+    new = lambda: ([], [], [], defaultdict(count().__next__))
+    held, (ids, sizes, found, known) = 0, new()
     for b in batches:
         for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            words = split_terms(text)
+            found.append(list(map(known.__getitem__, split_terms(text))))
             ids.append(doc_id)
-            sizes.append(len(words))
-            found.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words)))
+            sizes.append(len(found[-1]))
             held += len(text or "")
             if len(ids) >= BLOCK_ROWS or held >= BLOCK_BYTES:
                 yield _block(first + nth, ids, sizes, found, list(known))
                 nth += 1
-                ids, sizes, found, held, known = [], [], [], 0, {}
+                held, (ids, sizes, found, known) = 0, new()
     if ids:
         yield _block(first + nth, ids, sizes, found, list(known))
 
@@ -90,47 +93,41 @@ def impacts(tf: np.ndarray, size: np.ndarray, documents: int, length: int) -> np
     return (1_000_000_000 * tf) // (1000 * tf + 8 * norm)
 
 
-def _slices(values: np.ndarray) -> list[np.ndarray]:
-    """The bits of numbers, least first, as many as the largest has."""
-    return [(values >> s) & 1 for s in range(int(values.max(initial=0)).bit_length())]
-
-
-def _sliced(row: dict, documents: int, length: int, most: int = 1 << 14) -> Iterator[pa.RecordBatch]:
-    """The rows of SLICED of one block. Of a term's bitmaps only bytes that hold a document are kept: ``at`` says which, in two bytes each,
-    and ``bits`` has them slice by slice."""
-    ids = row["doc_ids"]
-    known = np.array([i is not None for i in ids])
-    head = np.array([i or 0 for i in ids], "<i8")
-    rows: list[tuple] = [(row["block"], "", 0, head.tobytes(), np.packbits(known, bitorder="little").tobytes())]
-    docs, tfs, sizes = (np.array(row[c], np.int64) for c in ("docs", "tfs", "sizes"))
-    values = impacts(tfs, sizes[docs], documents, length) if len(docs) else docs
-    count = int(values.max(initial=0)).bit_length()
-    dfs = np.array(row["dfs"], np.int64)
-    terms = row["terms"]
+def _sliced(row: pa.RecordBatch, documents: int, length: int, most: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """The rows of SLICED of one block, a row of COUNTED. Of a term's bitmaps only bytes that hold a document are kept: ``at`` says which, in two
+    bytes each, and ``bits`` has the slices of one such byte after the other's, least first."""
+    block = row.column("block")[0].as_py()
+    ids = row.column("doc_ids").flatten()
+    docs, tfs, sizes, dfs = (row.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("docs", "tfs", "sizes", "dfs"))
+    known = np.packbits(ids.is_valid().to_numpy(zero_copy_only=False), bitorder="little")
+    head = ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")
+    yield _rows(block, pa.array([""]), 0, np.array([0, head.nbytes]), head, np.array([0, known.nbytes]), known)
+    if not len(docs):
+        return
+    values = impacts(tfs, sizes[docs], documents, length)
+    slices = max(1, int(values.max()).bit_length())
     # bytes that hold a document, term by term, and in each slice the bits of the documents that share a byte
-    new = np.ones(len(docs), bool)
     owner = np.repeat(np.arange(len(dfs)), dfs)
+    new = np.ones(len(docs), bool)
     new[1:] = (owner[1:] != owner[:-1]) | (docs[1:] >> 3 != docs[:-1] >> 3)
     starts = np.flatnonzero(new)
     at = (docs[starts] >> 3).astype("<u2")
     bit = (1 << (docs & 7)).astype(np.uint8)
-    plane = np.array([np.bitwise_or.reduceat(np.where(b, bit, 0).astype(np.uint8), starts) for b in _slices(values)], np.uint8).reshape(count, len(starts))
-    bounds = np.concatenate([[0], np.cumsum(np.bincount(owner[starts], minlength=len(dfs)))]).astype(np.int64)
-    for k, (lo, hi) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-        own = plane[:, lo:hi]
-        n = int(np.flatnonzero(own.any(axis=1)).max(initial=-1)) + 1
-        if n:
-            rows.append((row["block"], terms[k], n, at[lo:hi].tobytes(), own[:n].tobytes()))
-        if len(rows) >= most:
-            yield _batch(rows)
-            rows = []
-    yield _batch(rows)
+    plane = np.empty((len(starts), slices), np.uint8)
+    for s in range(slices):
+        plane[:, s] = np.bitwise_or.reduceat(np.where(values >> s & 1, bit, 0).astype(np.uint8), starts)
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(owner[starts], minlength=len(dfs)))])
+    terms = row.column("terms").flatten()
+    for lo in range(0, len(dfs), most):
+        own = bounds[lo : lo + most + 1]
+        yield _rows(block, terms.slice(lo, most), slices, (own - own[0]) * 2, at[own[0] : own[-1]], (own - own[0]) * slices, plane[own[0] : own[-1]])
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.binary()]
-    columns = list(zip(*rows, strict=True)) or [[]] * len(types)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["block", "term", "slices", "at", "bits"])
+def _rows(block: int, terms: pa.Array, slices: int, at_bounds: np.ndarray, at: np.ndarray, bit_bounds: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+    n = len(terms)
+    binary = lambda bounds, data: pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+    columns = [pa.array(np.full(n, block), pa.int64()), terms, pa.array(np.full(n, slices), pa.int32()), binary(at_bounds, at), binary(bit_bounds, bits)]
+    return pa.RecordBatch.from_arrays(columns, ["block", "term", "slices", "at", "bits"])
 
 
 def build_index(docs: DataFrame) -> Index:
@@ -152,7 +149,7 @@ def build_index(docs: DataFrame) -> Index:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                yield from _sliced(b.slice(k, 1).to_pylist()[0], documents, length)
+                yield from _sliced(b.slice(k, 1), documents, length)
 
     sliced = stored(counted.mapInArrow(run, SLICED).sortWithinPartitions("term"))
     return Index(sliced, weights, documents, length)
@@ -232,7 +229,7 @@ class Group:
         bounds = np.concatenate([[0], np.cumsum([len(a) for a in at])]).tolist()
         bits = np.zeros((int(own["slices"].max()), bounds[-1]), np.uint8)
         for lo, hi, n, b in zip(bounds[:-1], bounds[1:], own["slices"].tolist(), own["bits"], strict=True):
-            bits[:n, lo:hi] = np.frombuffer(b, np.uint8).reshape(n, hi - lo)
+            bits[:n, lo:hi] = np.frombuffer(b, np.uint8).reshape(hi - lo, n).T
         weight = np.repeat([self.weights[t] for t in own["term"]], [len(a) for a in at])
         worth = weighted(bits, weight)
         where = {t: i for i, t in enumerate(own["term"])}
