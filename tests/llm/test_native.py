@@ -213,3 +213,29 @@ def test_pair_blocks_meet_every_pair_once(spark):
                 if x < y and {a, b} == {low, high}:
                     met[k, x, y] += 1
     assert set(met.values()) == {1} and len(met) == 23 * 22 // 2 + 1
+
+
+MARKED = [(1, "a b c", None), (1, "a b c", "~"), (1, "a b c", "-"), (1, "a b c", "1:~"), (1, None, "~"), (1, "~", "~"), (None, "x y", "a|b"), (2, "x y", "a|b"), (None, None, None), (None, "", None), (1, "a b c", "~")]
+
+
+def test_null_and_its_marks_are_different_sources(spark):
+    docs = spark.createDataFrame(MARKED, "doc_id long, text string, source string")
+    made = mixing.mix(docs).filter("epoch = 0").collect()
+    got = collections.Counter({(r["doc_id"], r["source"], r["tokens"]): r["copies"] for r in made})
+    want = collections.Counter((i, s, len((t or "").split())) for i, t, s in MARKED)
+    assert sum(r["copies"] for r in made) == len(MARKED) and {r["source"] for r in made} == {s for _, _, s in MARKED}
+    assert {k for k in got} == set(want) and len(made) == len(set(MARKED))
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(i, f"{text} {i} " + ("# " * 30 if i % 2 else ""), lang, source) for i in range(120) for lang, source in ((None, "~") if i % 2 else ("~", None), )]
+    judged = quality.judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    assert judged.filter("kept").count() == len(rows)  # two groups, each alike in itself
+    assert judged.select("doc_id").distinct().count() == len(rows)
+
+
+def test_records_without_words_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_RECORDS", 10)
+    docs = spark.createDataFrame([(i, None if i % 2 else " ", "s") for i in range(300)], "doc_id long, text string, source string")
+    made = mixing.mix(docs).collect()
+    blocks = collections.Counter(r["block"] for r in made)
+    assert len(made) == 300 and len(blocks) > 20 and max(blocks.values()) < 30
+    assert all(sorted(r["slot"] for r in made if r["block"] == b) == list(range(n)) for b, n in blocks.items())

@@ -59,8 +59,9 @@ def _own_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
-#: Tables written by ``stored`` that still stand, by path.
+#: Tables written by ``stored`` that still stand, by path, and frames that ``kept`` holds on the executors' disks.
 _STANDING: dict[str, SparkSession] = {}
+_HELD: list[DataFrame] = []
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -75,8 +76,11 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(before: frozenset[str] = frozenset()) -> None:
-    """Remove all tables that ``stored`` has written, but those named. Frames that read them cannot be read any more."""
+def drop_stored(before: frozenset[str] = frozenset(), held: int = 0) -> None:
+    """Remove all tables that ``stored`` has written, but those named, and give back what ``kept`` holds, but the first ``held``. Frames
+    that read the tables cannot be read any more."""
+    while len(_HELD) > held:
+        _release(_HELD.pop())
     for path in [p for p in _STANDING if p not in before]:
         _forget(_STANDING.pop(path), path)
 
@@ -85,13 +89,13 @@ def drop_stored(before: frozenset[str] = frozenset()) -> None:
 def scratch(keep: int = 0) -> Iterator[None]:
     """Tables stored inside go when the block ends, also on failure; all but the last ``keep`` of them where it ends well. What is
     wanted afterwards has to be written inside, as the last."""
-    before, keeps = frozenset(_STANDING), 0
+    before, held, keeps = frozenset(_STANDING), len(_HELD), 0
     try:
         yield
         keeps = keep
     finally:
         new = [p for p in _STANDING if p not in before]
-        drop_stored(before | frozenset(new[len(new) - keeps :]))
+        drop_stored(before | frozenset(new[len(new) - keeps :]), held)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -104,8 +108,17 @@ def fresh(df: DataFrame, name: str) -> str:
 
 def kept(df: DataFrame) -> DataFrame:
     """``df`` for several uses in one operator, on the executors' disks. What a lost executor held is computed again; nothing
-    is written to the shared folder, so use it where lineage is short. ``spark.catalog.clearCache()`` frees it."""
-    return df.persist(StorageLevel.DISK_ONLY)
+    is written to the shared folder, so use it where lineage is short. It is given back with ``scratch`` or ``drop_stored``, after which frames
+    that read it compute it again."""
+    _HELD.append(df.persist(StorageLevel.DISK_ONLY))
+    return df
+
+
+def _release(df: DataFrame) -> None:
+    try:
+        df.unpersist()
+    except Exception:  # noqa: BLE001  the session has ended already
+        return
 
 
 def _forget(spark: SparkSession, path: str) -> None:
@@ -144,6 +157,12 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
+def told(column: Column) -> Column:
+    """A value as text that no other value has: ``-`` for null, else its length, a colon and the value, so that several stay apart in a row."""
+    text = column.cast("string")
+    return F.when(text.isNull(), "-").otherwise(F.concat(F.length(text).cast("string"), F.lit(":"), text))
+
+
 def crc32_text(column: Column) -> Column:
     return F.crc32(column.cast("string").cast("binary"))
 

@@ -6,18 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, fresh, kept, stored
+from .common import WORD, fresh, kept, stored, told
 
 #: Halvings of the exponent's interval.
 STEPS = 40
 #: Hex digits of a record's digest that cut an epoch into ranges.
 RANGE_DIGITS = 3
+#: Records without words that share a block, at most on average; where there are more, they get further blocks.
+BLOCK_RECORDS = 1 << 16
 
 
 def record_key(docs: DataFrame) -> Column:
-    """Rows that agree in doc_id, source and text are one record; nulls count as values."""
-    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("~"))
-    return F.md5(F.concat_ws("|", part("doc_id"), part("source"), F.md5(part("text"))))
+    """Rows that agree in doc_id, source and text are one record; a null is a value of its own, which no text is."""
+    return F.md5(F.concat(told(F.col("doc_id")), told(F.col("source")), told(F.md5(F.col("text").cast("string")))))
 
 
 def source_weights(totals: DataFrame, max_repeats: float = 2.0, target_entropy: float | None = None, budget: int | None = None) -> DataFrame:
@@ -78,16 +79,17 @@ def mix(docs: DataFrame, max_repeats: float = 2.0, target_entropy: float | None
     Returns key, doc_id, source, tokens, copies, epoch (from 0), block (from 0), slot (from 0 in its block).
 
     Repeated rows (same doc_id, source and text) are one record with ``copies`` of them. A null source is a source.
-    Records without words go with the first epoch, in a block that their digest decides. An empty
+    Records without words go with the first epoch, in a block that their digest decides; very many of them get blocks of their own. An empty
     table gives no rows. Other columns are left out. Positions within an epoch come from ranges of digests that
     are summed on their own, so a source with a third of the rows is never in one task; texts are not shuffled.
     """
-    source = F.coalesce(F.col("source").cast("string"), F.lit("~"))
-    rows = docs.select(record_key(docs).alias("key"), "doc_id", "source", source.alias("_source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("tokens"))
+    rows = docs.select(record_key(docs).alias("key"), "doc_id", "source", told(F.col("source")).alias("_source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("tokens"))
     records = kept(rows.groupBy("key").agg(*(F.first(c).alias(c) for c in ("doc_id", "source", "_source", "tokens")), F.count(F.lit(1)).alias("copies")))
     totals = records.groupBy(F.col("_source").alias("source")).agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"))
     weights = stored(source_weights(totals, max_repeats, target_entropy, budget))
     shape = weights.agg(F.greatest(F.lit(1), F.ceil(F.sum("quota") / F.lit(float(block_tokens)))).cast("long").alias("blocks"))
+    rooms = F.greatest(F.lit(1), F.ceil(F.count_if(F.col("tokens") == 0) / F.lit(float(BLOCK_RECORDS)))).cast("long")
+    shape = shape.crossJoin(F.broadcast(records.agg(rooms.alias("rooms"))))  # one row
     # a row a source: where these are few, the join knows their size and leaves the records in their places
     w = stored(weights.select(F.col("source").alias("_source"), F.col("tokens").alias("all_tokens"), "quota").crossJoin(F.broadcast(shape)))  # one row
     epochs = F.greatest(F.lit(1), F.ceil(F.col("quota") / F.greatest(F.col("all_tokens"), F.lit(1)))).cast("int")
@@ -101,8 +103,8 @@ def mix(docs: DataFrame, max_repeats: float = 2.0, target_entropy: float | None
     at = F.col("epoch") * F.col("all_tokens") + F.col("start") + F.coalesce(F.col("within"), F.lit(0))
     placed = read.withColumn("within", within).join(starts, ["_source", "epoch", "range"]).withColumn("at", at)
     placed = placed.filter((F.col("at") < F.col("quota")) | ((F.col("epoch") == 0) & (F.col("tokens") == 0)))
-    # records without words take up no room: any block will do
-    block = F.when(F.col("tokens") == 0, F.pmod(F.conv(F.substring("order", 1, 8), 16, 10).cast("long"), "blocks")).otherwise(F.least(F.floor(F.col("at") * F.col("blocks") / F.greatest(F.col("quota"), F.lit(1))), F.col("blocks") - 1)).cast("long")
+    # records without words take up no room: any block will do, of as many as keep each bounded
+    block = F.when(F.col("tokens") == 0, F.pmod(F.conv(F.substring("order", 1, 8), 16, 10).cast("long"), F.greatest("blocks", "rooms"))).otherwise(F.least(F.floor(F.col("at") * F.col("blocks") / F.greatest(F.col("quota"), F.lit(1))), F.col("blocks") - 1)).cast("long")
     slot = F.row_number().over(Window.partitionBy("block").orderBy(F.reverse("order"), "key")) - 1
     return placed.withColumn("block", block).select("key", "doc_id", "source", "tokens", "copies", "epoch", "block", slot.cast("long").alias("slot"))
 

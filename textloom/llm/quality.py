@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, stored, words
+from .common import SPACE, let, stored, told, words
 
 SYMBOLS = "[#*$%&|<>]"
 #: Retained items at a sketch's lowest level: groups of up to so many rows have exact quantiles, larger ones
@@ -94,10 +94,10 @@ def judge_quality(docs: DataFrame, reach: float = REACH, prior_rows: float = PRI
     bounds of its language and source (see ``thresholds``), and outside: the names of the measures beyond their bounds, empty
     if base_failed. Rows that fail the base rule do not enter the sketches, and rows of a group that agree in all counts enter
     them once. Null texts are empty; null lang or
-    source are groups; a group of equal rows keeps them; repeated rows are judged alike; an empty table gives no rows;
+    source are groups of their own, whatever texts name; a group of equal rows keeps them; repeated rows are judged alike; an empty table gives no rows;
     other columns are left out.
     """
-    c = docs.select("doc_id", F.coalesce("lang", F.lit("~")).alias("lang"), F.coalesce("source", F.lit("~")).alias("source"), text_counts(F.col("text")).alias("c"))
+    c = docs.select("doc_id", told(F.col("lang")).alias("lang"), told(F.col("source")).alias("source"), text_counts(F.col("text")).alias("c"))
     c = c.select("doc_id", "lang", "source", "c.w.n_words", "c.word_chars", "c.n_symbols", F.col("c.l.n").alias("n_lines"), F.col("c.l.dup").alias("n_dup_lines"), "c.w.n_repeat_words")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     c = stored(c.withColumn("base_failed", failed))

@@ -34,13 +34,13 @@ def _outside() -> str:
     return f"concat_ws(',', {', '.join(rule(m, below) for m, below in quality.MEASURES.items())})"
 
 
-OP2 = f"""WITH d AS (SELECT doc_id, coalesce(lang, '~') AS lang, coalesce(source, '~') AS source, coalesce(text, '') AS text, row_number() OVER () AS row FROM documents),
+OP2 = f"""WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, row_number() OVER () AS row FROM documents),
 w AS (SELECT row, {_words('text')} AS w FROM d), i AS (SELECT row, w, unnest(range(1, len(w) - 1)) AS i FROM w), k AS (SELECT row, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM i),
 r AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, k) AS n FROM k) x WHERE n > 1), p AS (SELECT row, count(DISTINCT pos) AS n FROM (SELECT row, unnest([i, i + 1, i + 2]) AS pos FROM r) y GROUP BY row),
 c AS (SELECT d.*, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w.w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
 CAST(len({_lines('text')}) AS BIGINT) AS n_lines, CAST(len({_lines('text')}) - len(list_distinct({_lines('text')})) AS BIGINT) AS n_dup_lines, CAST(coalesce(p.n, 0) AS BIGINT) AS n_repeat_words FROM d JOIN w USING (row) LEFT JOIN p USING (row)),
 m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(word_chars / nullif(n_words, 0), 0) AS word_length, ln((n_symbols + 0.5::DOUBLE) / (word_chars + 1.0::DOUBLE)) AS symbol_odds, ln((n_dup_lines + 0.5::DOUBLE) / (n_lines + 1.0::DOUBLE)) AS dup_line_odds, ln((n_repeat_words + 0.5::DOUBLE) / (n_words + 1.0::DOUBLE)) AS repeat_odds FROM c),
-u AS (SELECT DISTINCT * EXCLUDE (doc_id, text, row) FROM m WHERE NOT base_failed), o AS ({_quartiles('lang, source')}), g AS ({_quartiles('lang')}), a AS ({_quartiles('1 AS one')}), j AS (SELECT m.*, {_outside()} AS outside FROM m LEFT JOIN o USING (lang, source) LEFT JOIN g USING (lang) LEFT JOIN a ON true)
+u AS (SELECT DISTINCT * EXCLUDE (doc_id, text, row) FROM m WHERE NOT base_failed), o AS ({_quartiles('lang, source')}), g AS ({_quartiles('lang')}), a AS ({_quartiles('1 AS one')}), j AS (SELECT m.*, {_outside()} AS outside FROM m LEFT JOIN o ON m.lang IS NOT DISTINCT FROM o.lang AND m.source IS NOT DISTINCT FROM o.source LEFT JOIN g ON m.lang IS NOT DISTINCT FROM g.lang LEFT JOIN a ON true)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND outside = '' AS kept, outside FROM j"""
 
 #: CRC-32 by its table: 256 entries of eight steps each, then one step a byte.
@@ -60,13 +60,17 @@ OP3 = f"""WITH RECURSIVE {CRC}, d AS (SELECT doc_id, coalesce(CAST(doc_id AS VAR
 s AS (SELECT doc_id, key, CAST(octet_length(encode(text)) + 1 AS BIGINT) AS size, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {BYTES}), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]))) AS text_crc32, CAST({_shard(8)} AS INT) AS shard, CAST({_shard(9)} AS INT) AS grown_shard FROM d, crc)
 SELECT doc_id, size, text_crc32, 'key' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY md5(key || '|' || size || '|' || text_crc32), doc_id) - 1 AS BIGINT) AS slot, grown_shard FROM s"""
 
-OP4 = f"""WITH RECURSIVE rows AS (SELECT md5(coalesce(CAST(doc_id AS VARCHAR), '~') || '|' || coalesce(source, '~') || '|' || md5(coalesce(text, '~'))) AS key, doc_id, source, coalesce(source, '~') AS s, CAST(len({_words("coalesce(text, '')")}) AS BIGINT) AS tokens FROM documents),
-rec AS (SELECT key, any_value(doc_id) AS doc_id, any_value(source) AS source, any_value(s) AS s, any_value(tokens) AS tokens, CAST(count(*) AS BIGINT) AS copies FROM rows GROUP BY key), tot AS (SELECT s, CAST(sum(tokens * copies) AS BIGINT) AS n FROM rec GROUP BY s),
+def _told(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL THEN '-' ELSE length(CAST({x} AS VARCHAR)) || ':' || CAST({x} AS VARCHAR) END"
+
+
+OP4 = f"""WITH RECURSIVE rec AS (SELECT md5({_told('doc_id')} || {_told('source')} || {_told('md5(text)')}) AS key, doc_id, source, {_told('source')} AS s, CAST(coalesce(len({_words('text')}), 0) AS BIGINT) AS tokens, CAST(count(*) AS BIGINT) AS copies FROM documents GROUP BY doc_id, source, text),
+tot AS (SELECT s, CAST(sum(tokens * copies) AS BIGINT) AS n FROM rec GROUP BY s),
 ends AS (SELECT min(n) / max(n) AS least, max(n) AS most FROM tot WHERE n > 0), b AS (SELECT 0 AS i, CAST(0 AS DOUBLE) AS lo, CAST(1 AS DOUBLE) AS hi UNION ALL SELECT i + 1, CASE WHEN pow(least, (lo + hi) / 2 - 1) <= 2 THEN lo ELSE (lo + hi) / 2 END, CASE WHEN pow(least, (lo + hi) / 2 - 1) <= 2 THEN (lo + hi) / 2 ELSE hi END FROM b, ends WHERE i < {mixing.STEPS}),
 x AS (SELECT CASE WHEN pow(least, -1) <= 2 THEN 0 ELSE round(hi, 9) END AS x, most FROM b, ends WHERE i = {mixing.STEPS}), q AS (SELECT s, n, CASE WHEN n > 0 THEN greatest(CAST(round(most * pow(n / most, x)) AS BIGINT), n) ELSE 0 END AS quota FROM tot, x),
-shape AS (SELECT greatest(1, CAST(ceil(sum(quota) / 1048576.0) AS BIGINT)) AS blocks FROM q), e AS (SELECT rec.*, n, quota, unnest(range(0, greatest(1, CAST(ceil(quota / greatest(n, 1)) AS BIGINT)))) AS epoch FROM rec JOIN q USING (s)),
+shape AS (SELECT greatest(1, CAST(ceil(sum(quota) / 1048576.0) AS BIGINT)) AS blocks, (SELECT greatest(1, CAST(ceil(count(*) FILTER (WHERE tokens = 0) / 65536.0) AS BIGINT)) FROM rec) AS rooms FROM q), e AS (SELECT rec.*, n, quota, unnest(range(0, greatest(1, CAST(ceil(quota / greatest(n, 1)) AS BIGINT)))) AS epoch FROM rec JOIN q USING (s)),
 o AS (SELECT *, md5('mix|' || epoch || '|' || key) AS ord FROM e), p AS (SELECT *, epoch * n + coalesce(sum(tokens * copies) OVER (PARTITION BY s, epoch ORDER BY ord, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM o),
-k AS (SELECT *, CAST(CASE WHEN tokens = 0 THEN CAST('0x' || substr(ord, 1, 8) AS BIGINT) % blocks ELSE least(floor(pos * blocks / greatest(quota, 1)), blocks - 1) END AS BIGINT) AS block FROM p, shape WHERE pos < quota OR (epoch = 0 AND tokens = 0))
+k AS (SELECT *, CAST(CASE WHEN tokens = 0 THEN CAST('0x' || substr(ord, 1, 8) AS BIGINT) % greatest(blocks, rooms) ELSE least(floor(pos * blocks / greatest(quota, 1)), blocks - 1) END AS BIGINT) AS block FROM p, shape WHERE pos < quota OR (epoch = 0 AND tokens = 0))
 SELECT doc_id, source, tokens, copies, CAST(epoch AS INT) AS epoch, block, CAST(row_number() OVER (PARTITION BY block ORDER BY reverse(ord), key) - 1 AS BIGINT) AS slot FROM k"""
 
 OP7 = f"""WITH r(action, host, path) AS (VALUES {', '.join(map(str, queries.RULES))}), u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
