@@ -335,3 +335,15 @@ def test_plan_does_not_grow_with_the_counts():
 
 def test_packing_nothing(docs):
     assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_rows_of_a_null_id_are_numbered_in_ranges(spark):
+    docs = spark.createDataFrame([(None, f"w{i}") for i in range(200)] + [(None, "same")] * 300 + [(1, None), (None, None)] * 50, "doc_id long, text string")
+    made = packing.pack(docs).collect()
+    assert len(made) == 600
+    places = {(r["sequence_id"], r["offset"]) for r in made}
+    assert len(places) == 600
+    held = collections.Counter()
+    for r in made:
+        held[r["sequence_id"]] += r["length"]
+    assert all(sorted(r["offset"] for r in made if r["sequence_id"] == q)[0] == 0 and n <= 1024 for q, n in held.items())

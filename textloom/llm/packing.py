@@ -150,16 +150,19 @@ def pack(docs: DataFrame, capacity: int = 1024, end: int = 2, vocabulary: str |
     finds its place by its number among those of its length; numbers come from ranges that are counted on
     their own, so a length that very many pieces have is in no one task.
     """
-    cut = kept(pieces(docs, capacity, end, vocabulary))
-    counts = {int(r["length"]): int(r["count"]) for r in cut.groupBy("length").count().collect()}
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    # pieces that agree in all columns are one record until they get their numbers
+    cut = kept(pieces(docs, capacity, end, vocabulary).groupBy(*columns).agg(F.count(F.lit(1)).alias("_rows")))
+    counts = {int(r["length"]): int(r["count"]) for r in cut.groupBy("length").agg(F.sum("_rows").alias("count")).collect()}
     plan = np.array(sorted(best_two_fit(counts, capacity)), dtype=np.int64).reshape(-1, 6)
     ranges = max(MIN_RANGES, -(-max(counts.values(), default=0) // RANGE_ROWS))
-    numbered = cut.withColumn("_range", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(ranges)).cast("int"))
+    numbered = cut.withColumn("_range", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(ranges)).cast("int"))
     before = F.sum("count").over(Window.partitionBy("length").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    starts = numbered.groupBy("length", "_range").count().select("length", "_range", F.coalesce(before, F.lit(0)).alias("_start"))
-    nth = F.row_number().over(Window.partitionBy("length", "_range").orderBy("doc_id", "piece", "ids_crc32"))
-    numbered = numbered.withColumn("_nth", nth).join(starts, ["length", "_range"])
-    numbered = numbered.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_start") + F.col("_nth") - 1).alias("_number"))
+    starts = numbered.groupBy("length", "_range").agg(F.sum("_rows").alias("count")).select("length", "_range", F.coalesce(before, F.lit(0)).alias("_start"))
+    within = F.sum("_rows").over(Window.partitionBy("length", "_range").orderBy("doc_id", "piece", "start", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1))
+    first = F.col("_start") + F.coalesce("_within", F.lit(0))
+    numbered = numbered.withColumn("_within", within).join(starts, ["length", "_range"])
+    numbered = numbered.select(*columns, F.explode(F.sequence(first, first + F.col("_rows") - 1)).alias("_number"))
     #: A length and a number within it as one key; numbers stay below 2^50.
     firsts = plan[:, 0] * (1 << 50) + plan[:, 1]
 
