@@ -2,14 +2,14 @@ from pyspark.sql import functions as F
 
 from textloom import cli
 from textloom.operators import experiment, validation, vfs
-from textloom.sources import client, corpus, generator
+from textloom.sources import client, corpus, derived
 from textloom.sources.config import load_config
 
 
-def test_both_conditions_end_to_end(spark, tmp_path):
+def test_both_conditions_end_to_end(spark, sf_dir, tmp_path):
     spark.sparkContext.setCheckpointDir(str(tmp_path / "state"))
-    docs = generator.documents(spark, entities=4, per_entity=8)
-    tasks = generator.with_gold_chunks(generator.tasks(spark, dev=3, evaluation=3, entities=4, distractors=2), docs).filter("split = 'eval'")
+    docs, tasks = derived.from_tables(spark, sf_dir)
+    tasks = tasks.filter("split = 'eval'").limit(3).cache()
     config = load_config(overrides={"experiment": {"experiment_id": "exp", "token_limit": 8192}}, environment={})
     made = experiment.run_experiment(docs, tasks, config, client.KnowsTheAnswer()).cache()
     assert experiment.smoke_violations(made, 3).collect() == [] and validation.run_violations(made).count() == 0
@@ -29,25 +29,24 @@ def test_both_conditions_end_to_end(spark, tmp_path):
     assert [r["condition"] for r in rest.select("condition").distinct().collect()] == ["snippets"]
 
 
-def test_commands(spark, tmp_path):
+def test_commands(spark, sf_dir, tmp_path):
     spark.sparkContext.setCheckpointDir(str(tmp_path / "state"))
     at = str(tmp_path)
-    small = ["--dev", "2", "--tasks", "2", "--entities", "4", "--distractors", "2"]
-    assert cli.main(["generate", f"{at}/corpus", *small]) == 0
-    assert cli.main(["generate", f"{at}/corpus", *small]) == 2
-    assert corpus.load_tasks(spark, f"{at}/corpus/tasks.jsonl").count() == 4
+    assert cli.main(["derive", sf_dir, f"{at}/corpus"]) == 0
+    assert cli.main(["derive", sf_dir, f"{at}/corpus"]) == 2
+    assert corpus.load_tasks(spark, f"{at}/corpus/tasks.jsonl").count() == 10
     assert cli.main(["run", f"{at}/corpus", f"{at}/out", "--split", "eval", "--task-limit", "1"]) == 0
     assert cli.main(["run", f"{at}/corpus", f"{at}/out", "--split", "eval", "--resume"]) == 0
-    assert cli._runs(spark, f"{at}/out/runs").agg(F.count_distinct("run_key"), F.count(F.lit(1))).first()[:] == (4, 4)
+    assert cli._runs(spark, f"{at}/out/runs").agg(F.count_distinct("run_key"), F.count(F.lit(1))).first()[:] == (10, 10)
     assert cli.main(["evaluate", f"{at}/out", f"{at}/tables"]) == 0 and cli.main(["report", f"{at}/out", f"{at}/report.md"]) == 0
     assert "# Run report" in (tmp_path / "report.md").read_text()
     assert cli.main(["run", f"{at}/corpus", f"{at}/out", "--provider", "nope"]) == 2
 
 
-def test_resuming_another_experiment_is_refused(spark, tmp_path):
+def test_resuming_another_experiment_is_refused(spark, sf_dir, tmp_path):
     spark.sparkContext.setCheckpointDir(str(tmp_path / "state"))
     at = str(tmp_path)
-    assert cli.main(["generate", f"{at}/corpus", "--dev", "2", "--tasks", "2", "--entities", "4", "--distractors", "2"]) == 0
+    assert cli.main(["derive", sf_dir, f"{at}/corpus"]) == 0
     assert cli.main(["run", f"{at}/corpus", f"{at}/out", "--split", "eval", "--task-limit", "1", "--cache", f"{at}/kept"]) == 0
     assert len(list((tmp_path / "kept").glob("*.json"))) > 0
     (tmp_path / "other.yaml").write_text("experiment:\n  seed: 7\n")

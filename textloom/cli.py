@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 from textloom.operators import designs, experiment, validation
 from textloom.operators.report import write_report
 from textloom.operators.runs import RUN_RECORD, first_tasks, run_frame
-from textloom.sources import cache, client, corpus, generator, tables
+from textloom.sources import cache, client, corpus, derived, tables
 from textloom.sources.config import Config, load_config
 from textloom.sources.jsonl import append_jsonl, read_jsonl
 
@@ -51,12 +51,11 @@ def _kept(model: client.Model, config: Config, folder: str | None) -> client.Mod
     return cache.Cached(model, folder, {"provider": m.provider, "model": m.model, "base_url": m.base_url, "temperature": m.temperature, "top_p": m.top_p, "seed": m.seed})
 
 
-def generate(a: argparse.Namespace) -> int:
+def derive(a: argparse.Namespace) -> int:
     spark = _spark(a.output)
     if Path(f"{a.output}/corpus.jsonl").exists() and not a.force:
         raise ValueError("there is a corpus already; --force replaces it")
-    docs = generator.documents(spark, a.seed, a.entities, a.scenarios)
-    tasks = generator.with_gold_chunks(generator.tasks(spark, a.seed, a.dev, a.tasks, a.entities, a.scenarios, a.distractors, a.min_hops, a.max_hops), docs)
+    docs, tasks = derived.from_tables(spark, a.tables, a.seed)
     print(*corpus.write_dataset(docs, tasks, a.output))
     return 0
 
@@ -92,12 +91,13 @@ def report(a: argparse.Namespace) -> int:
 
 
 def smoke(a: argparse.Namespace) -> int:
-    """Eight tasks under both conditions by the model that knows the answers."""
+    """The first tasks of a derived corpus under both conditions by the model that knows the answers."""
     spark = _spark(a.workdir)
-    docs = generator.documents(spark, a.seed, 8)
-    tasks = generator.with_gold_chunks(generator.tasks(spark, a.seed, 8, 8, 8, distractors=6), docs).filter(F.col("split") == "eval")
+    docs, tasks = derived.from_tables(spark, a.tables, a.seed)
+    tasks = first_tasks(tasks, "eval", a.tasks)
+    n = tasks.count()
     made = experiment.run_experiment(docs, tasks, load_config(overrides={"experiment": {"seed": a.seed}}, environment={}), client.KnowsTheAnswer()).checkpoint()
-    if bad := experiment.smoke_violations(made, 8).take(5):
+    if bad := experiment.smoke_violations(made, n).take(5):
         raise RuntimeError("; ".join(f"{r['rule']}: {r['key']}" for r in bad))
     append_jsonl(made, f"{a.workdir}/runs")
     tables.write_tables(made, f"{a.workdir}/tables")
@@ -109,10 +109,10 @@ def smoke(a: argparse.Namespace) -> int:
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="textloom")
     sub = p.add_subparsers(dest="command", required=True)
-    c = sub.add_parser("generate")
+    c = sub.add_parser("derive", help="a corpus and its tasks from tables of suppliers, nations and regions")
+    c.add_argument("tables")
     c.add_argument("output")
-    for name, kind in (("seed", 42), ("dev", 50), ("tasks", 200), ("entities", 80), ("scenarios", 8), ("distractors", 6), ("min-hops", 2), ("max-hops", 4)):
-        c.add_argument(f"--{name}", type=int, default=kind)
+    c.add_argument("--seed", type=int, default=42)
     c.add_argument("--force", action="store_true")
     c = sub.add_parser("run")
     c.add_argument("corpus")
@@ -131,11 +131,13 @@ def main(argv: list[str] | None = None) -> int:
     c.add_argument("runs")
     c.add_argument("output")
     c = sub.add_parser("smoke")
+    c.add_argument("tables")
     c.add_argument("workdir")
+    c.add_argument("--tasks", type=int, default=8)
     c.add_argument("--seed", type=int, default=42)
     a = p.parse_args(argv)
     try:
-        return {"generate": generate, "run": run, "evaluate": evaluate, "report": report, "smoke": smoke}[a.command](a)
+        return {"derive": derive, "run": run, "evaluate": evaluate, "report": report, "smoke": smoke}[a.command](a)
     except ValueError as e:
         print(e, file=sys.stderr)
         return 2

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from textloom.functions.text import lines, normal_form
 from textloom.sources.scratch import stored
 
-#: Questions without an inner word that are sent to all documents at most.
-SHORT_QUESTIONS = 10_000
+#: Questions without an inner word that one automaton holds, about, and their characters.
+SHORT_QUESTIONS, SHORT_CHARS = 50_000, 1 << 23
 SLUG = r"^[a-z0-9]+(?:-[a-z0-9]+)*$"
 DOC_ID = r"^doc-[a-z0-9]+(?:-[a-z0-9]+)*-\d{4,}$"
 CHUNK_ID = r"^doc-[a-z0-9-]+::c\d{4,}$"
@@ -107,8 +110,8 @@ def leaks(tasks: DataFrame, docs: DataFrame) -> DataFrame:
     """task_id, doc_id where a document (doc_id, content) holds a task's question, character by character. Empty questions stand in none.
 
     A document that holds a question holds all of its parts between blanks, the first and the last perhaps as parts of longer ones.
-    So a question meets only documents with its rarest inner part, and these are searched. The few questions without an inner part
-    are looked for in all documents, if they are ``SHORT_QUESTIONS`` at most; more are refused."""
+    So a question meets only documents with its rarest inner part, and these are searched. Questions without an inner part go into automata
+    of ``SHORT_QUESTIONS`` each, which find all of theirs in one pass over a document; there may be any number of them."""
     asked = tasks.select("task_id", "question", F.split("question", " ").alias("parts")).filter("question <> ''")
     inner = asked.select("task_id", F.explode(F.slice("parts", 2, F.greatest(F.size("parts") - 2, F.lit(0)))).alias("part")).distinct()
     wanted = inner.select("part").distinct()
@@ -118,12 +121,42 @@ def leaks(tasks: DataFrame, docs: DataFrame) -> DataFrame:
     anchors = rare.groupBy("task_id").agg(F.min_by("part", F.struct(F.coalesce("n", F.lit(0)), "part")).alias("part"))
     near = have.join(anchors, "part").select("task_id", "doc_id").distinct().join(asked.select("task_id", "question"), "task_id")
     found = docs.select("doc_id", "content").join(near, "doc_id").filter(F.contains("content", "question")).select("task_id", "doc_id")
-    short = stored(asked.join(inner.select("task_id").distinct(), "task_id", "left_anti").select("task_id", "question"))
-    if (n := short.count()) > SHORT_QUESTIONS:
-        raise ValueError(f"{n} questions of one or two words: too many to look for in every document")
-    if n:
-        found = found.unionByName(docs.select("doc_id", "content").join(F.broadcast(short), F.contains("content", "question")).select("task_id", "doc_id"))
-    return found
+    short = asked.join(inner.select("task_id").distinct(), "task_id", "left_anti").select("task_id", "question")
+    return found.unionByName(occurrences(short, docs))
+
+
+def occurrences(questions: DataFrame, docs: DataFrame) -> DataFrame:
+    """task_id, doc_id of all ``questions`` (task_id, question) that documents (doc_id, content) hold, at any place. Different questions are numbered and
+    dealt into blocks, each an automaton that tasks build once; a block is one pass over the documents, whatever it finds, and equal
+    questions are looked for once."""
+    spark = docs.sparkSession
+    texts = stored(questions.select("question").distinct().withColumn("number", F.monotonically_increasing_id()))
+    n, chars = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("question")), F.lit(0))).first()
+    blocks = max(-(-n // SHORT_QUESTIONS), -(-chars // SHORT_CHARS))
+    found = None
+    for block in range(blocks):
+        mine = [(r["number"], r["question"]) for r in texts.filter(F.pmod(F.xxhash64("number"), F.lit(blocks)) == block).collect()]
+        made = docs.select("doc_id", "content").mapInPandas(_holds(mine), StructType([docs.schema["doc_id"], StructField("number", LongType())]))
+        found = made if found is None else found.unionByName(made)
+    if found is None:
+        found = spark.createDataFrame([], StructType([docs.schema["doc_id"], StructField("number", LongType())]))
+    return questions.join(texts, "question").join(found, "number").select("task_id", "doc_id").distinct()
+
+
+def _holds(questions: list[tuple[int, str]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for number, question in questions:
+            automaton.add_word(question, number)
+        if questions:
+            automaton.make_automaton()
+        for b in batches:
+            hits = [(d, n) for d, text in zip(b["doc_id"], b["content"], strict=True) if text and questions for n in {number for _, number in automaton.iter(text)}]
+            yield pd.DataFrame(hits, columns=["doc_id", "number"])
+
+    return run
 
 
 def run_violations(runs: DataFrame) -> DataFrame:

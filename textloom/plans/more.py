@@ -12,7 +12,7 @@ from textloom.operators.designs import CELLS, CONDITIONS
 from textloom.plans import base
 from textloom.plans.base import ASKED, FILES, RUNS
 from textloom.plans.queries import BM25, CHUNK_SQL, DESIGN_SQL, DOC_CHUNKS, EXPOSED, LINES, RANKED, ROLLED, SQL, TOKEN, _design, _documents, _shown, norm_sql, query, terms_sql, tokens_sql
-from textloom.sources import corpus, generator, jsonl, scratch
+from textloom.sources import corpus, derived, jsonl, scratch
 from textloom.sources.client import KnowsTheAnswer
 from textloom.sources.config import load_config
 
@@ -345,50 +345,58 @@ def leakage_gates(spark, d):
     return validation.leakage_violations(_tasks(spark, d), docs, chunks)
 
 
-# Generated corpora and whole runs
+# Derived corpora and whole runs
 
-#: A corpus of ``n`` entities has a document an entity and category and, in each, a fact a scenario, of which there are eight.
-_CATEGORIES = " UNION ALL ".join(f"SELECT '{c}' AS category, CAST(20 AS BIGINT) AS n_docs, CAST(160 AS BIGINT) AS n_facts, CAST(20 AS BIGINT) AS n_paths" for c in generator.CATEGORIES)
+_SEATS = "supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
 
 
-@query(_CATEGORIES)
-def generated_shape(spark, d):
-    docs = generator.documents(spark, entities=20)
-    return docs.groupBy("category").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.size("facts")).alias("n_facts"), F.count_distinct("path").alias("n_paths"))
+@query("""SELECT 'doc-suppliers-' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS doc_id, sha256('# ' || s_name || chr(10) || s_name || ' has its seat in ' || n_name || '.' || chr(10) || 'The account of ' || s_name || ' stands at ' || printf('%.2f', s_acctbal) || '.') AS digest, CAST(2 AS INT) AS n_facts FROM supplier JOIN nation ON s_nationkey = n_nationkey
+UNION ALL SELECT 'doc-nations-' || lpad(CAST(n_nationkey AS VARCHAR), 6, '0'), sha256('# ' || n_name || chr(10) || n_name || ' is counted to the region ' || r_name || '.'), 1 FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def derived_corpus(spark, d):
+    docs, _ = derived.from_tables(spark, d)
+    return docs.select("doc_id", F.sha2("content", 256).alias("digest"), F.size("facts").alias("n_facts"))
 
 
-@query("SELECT 'dev' AS split, CAST(20 AS BIGINT) AS n, CAST(20 AS BIGINT) AS n_sound UNION ALL SELECT 'eval', 40, 40")
-def generated_task_shape(spark, d):
-    """Tasks of a generated corpus break no rule, and their splits and hops are as asked."""
-    docs = generator.documents(spark, entities=20)
-    tasks = generator.with_gold_chunks(generator.tasks(spark, dev=20, evaluation=40, entities=20), docs)
+@query(f"""SELECT 'task-' || CASE WHEN n_nationkey % 2 = 0 THEN 'dev' ELSE 'eval' END || '-' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS task_id, r_name AS canonical_answer, 'doc-nations-' || lpad(CAST(n_nationkey AS VARCHAR), 6, '0') || '::c0000,doc-suppliers-' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') || '::c0000' AS gold_chunks,
+(SELECT CAST(count(*) AS INT) FROM (SELECT 1 FROM nation o WHERE o.n_nationkey % 2 = nation.n_nationkey % 2 AND o.n_nationkey > nation.n_nationkey LIMIT 2) x) AS distractor_count FROM {_SEATS}""")
+def derived_tasks(spark, d):
+    _, tasks = derived.from_tables(spark, d)
+    return tasks.select("task_id", "canonical_answer", F.array_join("gold_chunk_ids", ",").alias("gold_chunks"), "distractor_count")
+
+
+@query(f"SELECT rule, CAST(0 AS BIGINT) AS n FROM (SELECT 'all' AS rule) x WHERE (SELECT count(*) FROM {_SEATS}) > 0 UNION ALL SELECT 'leaks', (SELECT count(*) FROM {_SEATS.replace('supplier', 'supplier s')} JOIN supplier o ON contains(o.s_name, 'To which region is the nation counted in which ' || s.s_name || ' has its seat?'))")
+def derived_rules(spark, d):
+    """Violations of a derived corpus and its tasks, and questions that stand in a document."""
+    docs, tasks = derived.from_tables(spark, d)
     chunks = chunking.chunk_documents(docs.withColumnRenamed("content", "text"))
-    bad = validation.task_violations(tasks, docs, chunks).unionByName(validation.leakage_violations(tasks, docs, chunks)).select(F.col("key").alias("task_id"), F.lit(True).alias("bad")).distinct()
-    sound = F.col("bad").isNull() & F.col("hop_count").between(2, 4) & (F.size("required_fact_ids") == F.col("hop_count")) & F.startswith("task_id", F.concat(F.lit("task-"), "split"))
-    return tasks.join(bad, "task_id", "left").groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_if(sound).alias("n_sound"))
+    broken = corpus.violations(docs, tasks, chunks).unionByName(validation.leakage_violations(tasks, docs, chunks)).select("key")
+    counted = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("rule"), "n")
+    return counted(broken, "all").unionByName(counted(validation.leaks(tasks.withColumnRenamed("question", "question"), docs), "leaks"))
 
 
-@query("SELECT 'snippets' AS condition, CAST(4 AS BIGINT) AS n, CAST(4 AS BIGINT) AS successes, CAST(0 AS BIGINT) AS calls_beside_facts, CAST(4 AS BIGINT) AS n_timed UNION ALL SELECT 'vfs', 4, 4, 0, 4")
+@query(f"SELECT condition, CAST(count(*) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS successes, CAST(0 AS BIGINT) AS calls_beside_facts, CAST(count(*) AS BIGINT) AS n_timed FROM {_SEATS} CROSS JOIN (SELECT unnest(['snippets', 'vfs']) AS condition) c WHERE n_nationkey % 2 = 1 GROUP BY condition")
 def experiment_outcomes(spark, d):
-    """Both conditions end to end over generated tasks, asked of a model that knows the answers: all are right, the tool loop makes a call a
-    fact, and every run has times and a call of the model."""
+    """Both conditions end to end over the tasks of a derived corpus, asked of a model that knows the answers: all are right, the tool loop makes a call
+    a fact, and every run has times and a call of the model."""
     from textloom.operators.experiment import run_experiment
 
     scratch.shared_dir(spark)  # checkpoints need a folder
-    docs = generator.documents(spark, entities=4, per_entity=8)
-    tasks = generator.with_gold_chunks(generator.tasks(spark, dev=4, evaluation=4, entities=4, distractors=2), docs).filter("split = 'eval'")
-    made = run_experiment(docs, tasks, load_config(overrides={"experiment": {"experiment_id": "exp", "token_limit": 8192}}, environment={}), KnowsTheAnswer())
+    docs, tasks = derived.from_tables(spark, d)
+    made = run_experiment(docs, tasks.filter("split = 'eval'"), load_config(overrides={"experiment": {"experiment_id": "exp", "token_limit": 8192}}, environment={}), KnowsTheAnswer())
     beside = F.when(F.col("condition") == "vfs", F.abs(F.col("tool_call_count") - F.col("hop_count"))).otherwise(F.col("tool_call_count"))
     timed = (F.col("latency.wall_ms") >= F.col("latency.model_ms") + F.col("latency.tool_ms")) & (F.col("latency.retrieval_ms") > 0) & (F.size("token_accounting.turns") == F.col("tool_call_count") + 1)
     return made.groupBy("condition").agg(F.count(F.lit(1)).alias("n"), F.count_if("correctness").alias("successes"), F.sum(beside).cast("long").alias("calls_beside_facts"), F.count_if(timed).alias("n_timed"))
 
 
-@query(f"SELECT run_key FROM ({RUNS}) r WHERE design_cell = 'oracle' OR false")
+@query(f"SELECT run_key FROM ({RUNS}) r WHERE category IN (SELECT category FROM ({RUNS}) x GROUP BY category ORDER BY category LIMIT 1) OR hop_count = 3")
 def other_provenance(spark, d):
-    """Runs that stem from another experiment or corpus than the one to be resumed: none here."""
+    """Runs that stem from another experiment or corpus than the one to be resumed: here those of one category and those of three hops."""
     from textloom.operators.designs import provenance_mismatches
 
-    return provenance_mismatches(base.nested_runs(spark, d), {"experiment_id": "exp", "corpus_version": "v1"}).select("run_key")
+    made = base.nested_runs(spark, d)
+    first = made.agg(F.min("category")).first()[0]
+    made = made.withColumns({"experiment_id": F.when(F.col("category") == first, "older").otherwise(F.col("experiment_id")), "corpus_version": F.when(F.col("hop_count") == 3, "v0").otherwise(F.col("corpus_version"))})
+    return provenance_mismatches(made, {"experiment_id": "exp", "corpus_version": "v1"}).select("run_key")
 
 
 @query(f"SELECT run_key, condition, success AS correctness, termination AS termination_reason, calls AS tool_call_count FROM ({RUNS}) r WHERE NOT success AND design_cell = 'primary'")

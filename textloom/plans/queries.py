@@ -552,7 +552,7 @@ def figure_paired_outcomes(spark, d):
     return plots.paired_outcomes(_frame(spark, d))
 
 
-# Checks, cache, generator, windows
+# Checks, cache, windows
 
 
 @query(f"SELECT 'run_key_unique' AS rule, run_key AS key FROM ({RUNS}) r GROUP BY run_key HAVING count(*) > 1 UNION ALL SELECT 'token_limit', run_key FROM ({RUNS}) r WHERE input_tokens + output_tokens > token_limit")
@@ -581,36 +581,3 @@ def event_windows(spark, d):
 
     w = windows(base.base(spark, d, "SELECT ts, event_type, value FROM events", "events"))
     return w.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
-
-
-@query()
-def generated_corpus(spark, d):
-    from textloom.sources import generator
-
-    docs = generator.documents(spark, entities=20)
-    return docs.select("doc_id", "path", "category", F.size("facts").alias("n_facts"), F.sha2("content", 256).alias("digest"))
-
-
-@query()
-def generated_tasks(spark, d):
-    from textloom.sources import generator
-
-    docs = generator.documents(spark, entities=20)
-    return generator.with_gold_chunks(generator.tasks(spark, dev=20, evaluation=40, entities=20), docs)
-
-
-@query()
-def harness_mock_runs(spark, d):
-    """The snippets condition over generated tasks, asked of a model that knows the answers; ``experiment_outcomes`` runs both."""
-    from textloom.operators.harness import run_snippets
-    from textloom.sources import generator
-    from textloom.sources.client import KnowsTheAnswer
-
-    docs = generator.documents(spark, entities=6)
-    tasks = generator.with_gold_chunks(generator.tasks(spark, dev=6, evaluation=6, entities=6, distractors=3), docs)
-    chunked = chunking.chunk_documents(docs.withColumnRenamed("content", "text"))
-    hits = bm25.search(bm25.build_index(chunked), tasks.select(F.col("task_id").alias("query_id"), F.col("question").alias("query")), 8).join(chunked.select("chunk_id", "start_line", "end_line", "text"), "chunk_id")
-    task = F.to_json(F.struct("question", "canonical_answer", "gold_chunk_ids"))
-    return run_snippets(tasks.select(F.col("task_id").alias("run_key"), "task_id", task.alias("task")), hits, KnowsTheAnswer()).select("run_key", "termination", "input_tokens", "output_tokens", "turns", F.size("selected").alias("n_selected"))
-
-
