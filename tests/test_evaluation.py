@@ -44,6 +44,43 @@ def test_bootstrap_draws_as_one_matrix(monkeypatch):
     assert statistics.bootstrap_interval(d, 200, 7) == pytest.approx(tuple(want))
 
 
+@pytest.mark.parametrize("n,resamples,drawn", [(1, 7, 1 << 10), (2, 50, 1 << 10), (5, 300, 64), (1000, 200, 1 << 12), (3, 40, 1 << 22), (70_001, 60, 1 << 18), (4096, 30, 1 << 14)])
+def test_parts_of_the_matrix_are_drawn_apart(spark, monkeypatch, n, resamples, drawn):
+    """Every sum is that of numpy's own matrix, to the last digit, however the stream is cut."""
+    monkeypatch.setattr(statistics, "DRAWN", drawn)
+    d = np.random.default_rng(n).integers(-1, 2, n).astype(np.int8)
+    want = d.astype(int)[np.random.default_rng(11).integers(0, n, size=(resamples, n))].sum(axis=1)
+    got = statistics.bootstrap_sums(spark, d, resamples, 11).orderBy("nth").toPandas()
+    assert got["nth"].tolist() == list(range(resamples)) and got["total"].tolist() == want.tolist()
+
+
+def test_draws_that_are_thrown_away():
+    n = 3_000_000_000  # half of the draws
+    want = np.random.default_rng(3).integers(0, n, size=5000)
+    got = np.concatenate([statistics._accepted(3, n, 0)])
+    assert len(got) < 0.9 * statistics.DRAWN and (got[:5000] == want).all()
+
+
+def test_the_interval_of_a_frame_is_the_matrix_interval(spark, frame):
+    pairs = sorted((t, int(v) - int(s)) for t, s, v, *_ in PAIRS)
+    want = statistics.bootstrap_interval(np.array([d for _, d in pairs], float), 400, 5)
+    got = statistics.paired_summary(frame, resamples=400, seed=5).first()
+    assert (got["ci_lower"], got["ci_upper"]) == want
+
+
+@pytest.mark.parametrize("kind", ["normal", "ties", "two", "constant", "heavy", "whole"])
+def test_quantiles_by_selection(spark, monkeypatch, kind):
+    monkeypatch.setattr(statistics, "NEAR", 50)
+    monkeypatch.setattr(statistics, "PIVOTS", 8)
+    rng = np.random.default_rng(2)
+    values = {"normal": rng.normal(size=3000), "ties": rng.integers(0, 9, 2000), "two": rng.integers(0, 2, 999), "constant": np.ones(500), "heavy": np.exp(rng.normal(0, 9, 2500)), "whole": rng.integers(-(10**6), 10**6, 4001)}[kind]
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)] * 7, "x double")
+    shares = (0, 0.003, 0.25, 0.5, 0.75, 0.9, 1)
+    want = df.selectExpr(f"percentile(x, array({', '.join(map(str, shares))}))").first()[0]
+    assert statistics.exact_quantiles(df, "x", shares) == list(want)
+    assert statistics.exact_quantiles(df.filter("x is null"), "x", shares) is None
+
+
 @pytest.mark.parametrize("b,c", [(3, 1), (0, 0), (5, 5), (12, 3), (900, 800), (2000, 1700)])
 def test_exact_test(spark, b, c):
     n, k = b + c, min(b, c)

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.operators.aggregates import paired
@@ -17,6 +17,10 @@ from textloom.sources.scratch import stored
 RESAMPLES, SEED, CONFIDENCE = 10_000, 20250308, 0.95
 #: Bytes of the index matrix that a bootstrap holds at once.
 HELD = 1 << 24
+#: Halves of the generator's steps in a block of the parallel bootstrap, and pairs that are drawn by their places at most.
+DRAWN, INDEXED = 1 << 22, 1 << 24
+#: Buckets of a pass of selection, and rows that an interval is sorted with on the driver.
+PIVOTS, NEAR = 64, 1 << 14
 
 
 def exact_mcnemar(b: Column, c: Column) -> Column:
@@ -64,26 +68,130 @@ def interval_from_counts(lost: int, same: int, won: int, resamples: int = RESAMP
     return float(low), float(high)
 
 
+def _accepted(seed: int, n: int, block: int) -> np.ndarray:
+    """The numbers below ``n`` that block ``block`` of a seeded generator's stream gives, in order.
+
+    A generator makes 64 bits a step, of which a bounded draw takes the lower and then the upper half; the product of a half with ``n`` has the draw in
+    its upper 32 bits, and is thrown away where its lower 32 are below ``2^32 mod n``. The generator jumps to any step at once."""
+    bits = np.random.PCG64(seed)
+    bits.advance(block * (DRAWN // 2))
+    raw = bits.random_raw(DRAWN // 2)
+    product = np.stack([raw & np.uint64(0xFFFFFFFF), raw >> np.uint64(32)], axis=1).ravel() * np.uint64(n)
+    return (product >> np.uint64(32))[(product & np.uint64(0xFFFFFFFF)) >= np.uint64((1 << 32) % n)].astype(np.int64)
+
+
+def bootstrap_sums(spark: SparkSession, differences: np.ndarray, resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
+    """nth, total: the sum of each resample of ``differences`` (small whole numbers), with the indices that one seeded matrix would have.
+
+    The matrix is drawn in blocks of the generator's stream, by as many tasks as there are blocks. As some draws are thrown away, a first pass counts
+    what each block keeps, which tells where in the matrix its draws belong; a number a block comes to the driver. Sums of whole numbers are
+    exact in any order."""
+    n, size = len(differences), len(differences) * resamples
+    if n < 2:
+        return spark.range(resamples).select(F.col("id").alias("nth"), F.lit(float(differences.sum())).alias("total"))
+    held = spark.sparkContext.broadcast(differences.astype(np.int8))  # INDEXED bytes at most
+    kept: list[int] = []
+    while sum(kept) < size:
+        lacking = size - sum(kept)
+        more = -(-int(lacking * (1 + 2 * n / (1 << 32))) // DRAWN) + 1
+        blocks = spark.range(len(kept), len(kept) + more, 1, min(more, 1024))
+        count = lambda batches: (pd.DataFrame({"id": b["id"], "kept": [len(_accepted(seed, n, k)) for k in b["id"].tolist()]}) for b in batches)
+        kept += [r["kept"] for r in sorted(blocks.mapInPandas(count, "id long, kept long").collect())]
+    starts = np.concatenate([[0], np.cumsum(kept)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k, start in zip(b["id"].tolist(), b["start"].tolist(), strict=True):
+                drawn = held.value[_accepted(seed, n, k)[: max(0, size - start)]].astype(np.int64)
+                if len(drawn):
+                    first, last = start // n, (start + len(drawn) - 1) // n
+                    edges = np.maximum(np.arange(first, last + 1) * n - start, 0)
+                    yield pd.DataFrame({"nth": np.arange(first, last + 1), "part": np.add.reduceat(drawn, edges)})
+
+    plan = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(kept)), "start": starts[:-1]})).repartition(min(len(kept), 1024))
+    return plan.mapInPandas(run, "nth long, part long").groupBy("nth").agg(F.sum("part").cast("double").alias("total"))
+
+
+def _in_order(pairs: DataFrame) -> np.ndarray:
+    """The differences of ``pairs`` (task_id, d) in the order of ids: sorted by ranges, each of which hands on its bytes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"d": [b["d"].to_numpy().astype(np.int8).tobytes()]})
+
+    sorted_ = pairs.repartitionByRange("task_id").sortWithinPartitions("task_id").mapInPandas(run, "d binary")
+    return np.frombuffer(b"".join(bytes(r["d"]) for r in sorted_.collect()), np.int8)
+
+
 def paired_summary(frame: DataFrame, resamples: int = RESAMPLES, seed: int = SEED, confidence: float = CONFIDENCE, by_index: bool = True) -> DataFrame:
     """One row: ``paired_rates`` of all primary pairs with ci_lower and ci_upper, resamples and seed. With ``by_index`` the bootstrap
-    draws rows by their places in the order of ids, as one seeded matrix would: for that one task reads all differences, a byte each.
-    Without, it draws the three counts, which any number of pairs allows."""
+    draws rows by their places in the order of ids, as one seeded matrix would, in parallel (see ``bootstrap_sums``); tasks hold a byte a pair, so
+    that is done for up to ``INDEXED`` pairs. Beyond, and without ``by_index``, it draws the three counts, which have the same law."""
     if resamples < 1:
         raise ValueError("resamples must be positive")
+    spark = frame.sparkSession
     pairs = paired(frame).select("task_id", "s_success", "v_success").filter("s_success is not null and v_success is not null")
-    d = pairs.select("task_id", (F.col("v_success").cast("tinyint") - F.col("s_success").cast("tinyint")).cast("tinyint").alias("d"))
-    if not by_index:
-        d = d.groupBy().agg(*(F.count_if(F.col("d") == k).alias(name) for k, name in ((-1, "lost"), (0, "same"), (1, "won"))))
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        if by_index:
-            low, high = bootstrap_interval(g.sort_values("task_id")["d"].to_numpy().astype(float), resamples, seed, confidence)
-        else:
-            low, high = interval_from_counts(*(int(g[c].iat[0]) for c in ("lost", "same", "won")), resamples, seed, confidence)
-        return pd.DataFrame({"ci_lower": [low], "ci_upper": [high]})
-
-    interval = d.groupBy().applyInPandas(run, "ci_lower double, ci_upper double")
-    return paired_rates(pairs).crossJoin(F.broadcast(interval)).withColumns({"resamples": F.lit(resamples), "seed": F.lit(seed)})  # one row
+    rates = stored(paired_rates(pairs))
+    n, won, lost = rates.select("n", "vfs_only", "snippets_only").first()
+    low = high = None
+    if by_index and 0 < n <= INDEXED:
+        d = _in_order(pairs.select("task_id", (F.col("v_success").cast("tinyint") - F.col("s_success").cast("tinyint")).cast("tinyint").alias("d")))
+        means = bootstrap_sums(spark, d, resamples, seed).toPandas()["total"].to_numpy() / n  # a number a resample
+        low, high = map(float, np.percentile(means, (50 * (1 - confidence), 100 - 50 * (1 - confidence))))
+    elif n:
+        low, high = interval_from_counts(lost, n - won - lost, won, resamples, seed, confidence)
+    return rates.withColumns({"ci_lower": F.lit(low).cast("double"), "ci_upper": F.lit(high).cast("double"), "resamples": F.lit(resamples), "seed": F.lit(seed)})
+
+
+def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> list[float] | None:
+    """Exact quantiles of a numeric column's values, interpolated as ``percentile`` does, or None if it has none.
+
+    Each rank that is asked for is known to lie between two values. A pass takes pivots in between from a sketch, counts what lies between neighbours
+    among them, and goes on with the one interval that holds the rank; values of at most ``NEAR`` rows then come to the driver. Each task keeps
+    counts for the pivots, whatever the number of different values, and the intervals shrink by about the number of pivots a pass."""
+    x = F.col(column).cast("double")
+    values = df.select(x.alias("x")).filter("x is not null")
+    n, low, high = values.agg(F.count(F.lit(1)), F.min("x"), F.max("x")).first()
+    if not n:
+        return None
+    ranks = sorted({f(share * (n - 1)) for share in shares for f in (math.floor, math.ceil)})
+    found: dict[int, float] = {}
+    #: Interval (both ends belong to it), rows below it, rows in it: of several ranks.
+    open_: dict[tuple[float, float, int, int], list[int]] = {(low, high, 0, n): ranks}
+    while open_:
+        narrower: dict[tuple[float, float, int, int], list[int]] = {}
+        for (low, high, below, held), own in open_.items():
+            inside = values.filter(F.col("x").between(low, high))
+            if low == high:
+                found |= dict.fromkeys(own, low)
+            elif held <= NEAR:
+                some = np.sort(inside.toPandas()["x"].to_numpy())
+                found |= {k: float(some[k - below]) for k in own}
+            else:
+                cuts = inside.agg(F.percentile_approx("x", [i / PIVOTS for i in range(1, PIVOTS)], 10_000)).first()[0]
+                pivots = F.lit(sorted({low, *cuts, high}))
+                bucket = F.array_size(F.filter(pivots, lambda p: p < F.col("x")))  # values equal to a pivot end its bucket
+                counts = inside.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).orderBy("b").collect()
+                for r in counts:
+                    if mine := [k for k in own if below <= k < below + r["n"]]:
+                        key = (r["low"], r["high"], below, r["n"])
+                        if key[3] == held:  # one bucket holds all: only its ends are told apart
+                            ends = values.agg(F.count_if(F.col("x") == key[0]), F.count_if(F.col("x") == key[1])).first()
+                            found |= {k: key[0] for k in mine if k < below + ends[0]} | {k: key[1] for k in mine if k >= below + held - ends[1]}
+                            mine = [k for k in mine if k not in found]
+                            inner = values.filter((F.col("x") > key[0]) & (F.col("x") < key[1])).agg(F.min("x"), F.max("x")).first()
+                            key = (inner[0], inner[1], below + ends[0], held - ends[0] - ends[1])
+                        if mine:
+                            narrower.setdefault(key, []).extend(mine)
+                    below += r["n"]
+        open_ = narrower
+    out = []
+    for share in shares:
+        at = share * (n - 1)
+        lower, upper = math.floor(at), math.ceil(at)
+        a, b = found[lower], found[upper]
+        out.append(a if lower == upper or a == b else (upper - at) * a + (at - lower) * b)
+    return out
 
 
 def recall_band(recall: Column) -> Column:
@@ -102,7 +210,8 @@ def stratified(frame: DataFrame) -> DataFrame:
     pairs = paired(frame)
     both = lambda c: F.array(F.col(f"s_{c}"), F.col(f"v_{c}"))
     each = pairs.select(F.explode(both("total_tokens")).alias("t")).filter("t is not null")
-    edges = each.agg(F.array_distinct(F.expr("percentile(t, array(0, 0.25, 0.5, 0.75, 1))")).alias("edges"))
+    cuts = exact_quantiles(stored(each), "t", (0, 0.25, 0.5, 0.75, 1))
+    edges = frame.sparkSession.range(1).select((F.lit(None) if cuts is None else F.array(*map(F.lit, dict.fromkeys(cuts)))).cast("array<double>").alias("edges"))
     p = pairs.crossJoin(F.broadcast(edges))  # one row
     bands = {
         "token_quartile": lambda side: token_quartile(F.col(f"{side}_total_tokens").cast("double"), F.col("edges")),

@@ -345,6 +345,37 @@ def leakage_gates(spark, d):
     return validation.leakage_violations(_tasks(spark, d), docs, chunks)
 
 
+# Streams
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, CAST(count(*) AS BIGINT) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY ALL")
+def streamed_windows(spark, d):
+    """Events read as a stream, in batches of one file, with the windows' counts as its state."""
+    from textloom.streaming import runs as streaming
+
+    made, source = scratch.folder(spark), base.base(spark, d, "SELECT ts, event_type, value FROM events", "events")
+    source.repartition(4).write.parquet(made)
+    events = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(made)
+    target = scratch.folder(spark)
+    streaming.refresh_windows(events, target, scratch.folder(spark)).awaitTermination()
+    return streaming.latest(spark, target).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("mean_value", 6).alias("mean_value"))
+
+
+@query(SQL["condition_summary"])
+def streamed_summary(spark, d):
+    """The summary of runs that come as a stream of files, one of which comes twice: as if they had been read at once."""
+    from textloom.operators.runs import RUN_RECORD
+    from textloom.sources.jsonl import append_jsonl
+    from textloom.streaming import runs as streaming
+
+    made, target, state = scratch.folder(spark), scratch.folder(spark), scratch.folder(spark)
+    every = base.nested_runs(spark, d).select(*StructType.fromDDL(RUN_RECORD).fieldNames())
+    for part in (0, 1, 0, 2):
+        append_jsonl(every.filter(F.pmod(F.xxhash64("run_key"), F.lit(3)) == part), made)
+        streaming.refresh_summary(streaming.stream_runs(spark, made, 1), target, state).awaitTermination()
+    return streaming.latest(spark, target)
+
+
 # Derived corpora and whole runs
 
 _SEATS = "supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
@@ -388,7 +419,7 @@ def experiment_outcomes(spark, d):
     return made.groupBy("condition").agg(F.count(F.lit(1)).alias("n"), F.count_if("correctness").alias("successes"), F.sum(beside).cast("long").alias("calls_beside_facts"), F.count_if(timed).alias("n_timed"))
 
 
-@query(f"SELECT run_key FROM ({RUNS}) r WHERE category IN (SELECT category FROM ({RUNS}) x GROUP BY category ORDER BY category LIMIT 1) OR hop_count = 3")
+@query(f"SELECT run_key FROM ({RUNS}) r WHERE category IN (SELECT category FROM ({RUNS}) x GROUP BY category ORDER BY category LIMIT 1) OR hops = 3")
 def other_provenance(spark, d):
     """Runs that stem from another experiment or corpus than the one to be resumed: here those of one category and those of three hops."""
     from textloom.operators.designs import provenance_mismatches

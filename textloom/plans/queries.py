@@ -476,13 +476,23 @@ STRATA = f"""WITH {PAIRS}, t AS (SELECT unnest([st, vt]) AS t FROM pairs), e AS
 q AS (SELECT p.*, 'q' || (1 + len(list_filter(e[2:-2], lambda x: x <= st))) AS sq, 'q' || (1 + len(list_filter(e[2:-2], lambda x: x <= vt))) AS vq, {BAND.format('sr')} AS sb, {BAND.format('vr')} AS vb FROM pairs p, e),
 x AS (SELECT s, v, 'token_quartile' AS stratum, sq AS a, vq AS b FROM q UNION ALL SELECT s, v, 'recall_band', sb, vb FROM q UNION ALL SELECT s, v, 'hop', CAST(h AS VARCHAR), CAST(h AS VARCHAR) FROM q UNION ALL SELECT s, v, 'category', c, c FROM q),
 lv AS (SELECT 'token_quartile' AS stratum, 'q' || i AS band FROM (SELECT unnest(range(1, greatest(2, len(e)))) AS i FROM e) z UNION SELECT 'recall_band', unnest(['0', '(0,1)', '1']) UNION SELECT stratum, a FROM x WHERE stratum IN ('hop', 'category')),
-g AS (SELECT stratum, a AS band, count(*) AS n, count(*) FILTER (WHERE s) AS ss, count(*) FILTER (WHERE v) AS vs FROM x WHERE a = b GROUP BY stratum, a)
-SELECT lv.stratum, lv.band, CAST(coalesce(n, 0) AS BIGINT) AS n, ss / n AS snippets_success_rate, vs / n AS vfs_success_rate, (vs - ss) / n AS difference, CASE WHEN n IS NULL THEN 'no within-band pairs' END AS missing_reason FROM lv LEFT JOIN g ON lv.stratum = g.stratum AND lv.band = g.band"""
+g AS (SELECT stratum, a AS band, count(*) AS n, count(*) FILTER (WHERE s) AS ss, count(*) FILTER (WHERE v) AS vs, count(*) FILTER (WHERE s AND NOT v) AS so, count(*) FILTER (WHERE v AND NOT s) AS vo FROM x WHERE a = b GROUP BY stratum, a)
+SELECT lv.stratum, lv.band, CAST(coalesce(n, 0) AS BIGINT) AS n, ss / n AS snippets_success_rate, vs / n AS vfs_success_rate, (vs - ss) / n AS difference, CASE WHEN n IS NOT NULL THEN {MCNEMAR.format(b='so', c='vo')} END AS mcnemar_p_value, CASE WHEN n IS NULL THEN 'no within-band pairs' END AS missing_reason FROM lv LEFT JOIN g ON lv.stratum = g.stratum AND lv.band = g.band"""
 
 
 @query(STRATA)
 def stratified_summary(spark, d):
-    return statistics.stratified(_frame(spark, d)).drop("mcnemar_p_value")
+    return statistics.stratified(_frame(spark, d)).withColumn("mcnemar_p_value", F.round(F.col("mcnemar_p_value") + OFF_TIES, 7))
+
+
+SHARES = (0.0, 0.001, 0.1, 0.25, 0.5, 0.75, 0.9, 0.999, 1.0)
+
+
+@query(f"SELECT share, quantile FROM (SELECT unnest([{', '.join(map(str, SHARES))}]) AS share, unnest([{', '.join(f'quantile_cont(l_extendedprice, {x})' for x in SHARES)}]) AS quantile FROM lineitem) x")
+def exact_quantiles(spark, d):
+    """Quantiles of a column of many different values, by selection over the partitions."""
+    found = statistics.exact_quantiles(base.base(spark, d, "SELECT l_extendedprice FROM lineitem", "lineitem"), "l_extendedprice", SHARES)
+    return spark.createDataFrame(list(zip(SHARES, found or [None] * len(SHARES), strict=True)), "share double, quantile double")
 
 
 @query()
