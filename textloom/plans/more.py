@@ -171,11 +171,21 @@ def initial_candidates(spark, d):
     return bm25.initial_candidates(bm25.document_hits(hits)).select("query_id", "doc_id", "rank")
 
 
-@query(f"WITH c AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, text FROM documents) SELECT sha256('chunks|word tokens|' || CAST(count(*) AS VARCHAR) || '|' || CAST(sum(CAST(CAST('0x' || substr(sha256(chunk_id || chr(31) || text), 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR)) AS fingerprint FROM c")
+_TREE = """c AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, sha256('=' || CAST(doc_id AS VARCHAR) || chr(31) || CASE WHEN text IS NULL THEN '' ELSE '=' || text END) AS own FROM documents),
+l4 AS (SELECT substr(sha256(chunk_id), 1, 4) AS prefix, CAST(count(*) AS BIGINT) AS n, sha256(string_agg(own, '' ORDER BY chunk_id, own)) AS digest FROM c GROUP BY 1), """ + ", ".join(f"l{k} AS (SELECT substr(prefix, 1, {k}) AS prefix, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(prefix || ':' || digest, '' ORDER BY prefix)) AS digest FROM l{k + 1} GROUP BY 1)" for k in (3, 2, 1, 0))
+
+
+@query(f"WITH {_TREE} SELECT sha256('chunks|word tokens|' || CAST(n AS VARCHAR) || '|' || digest) AS fingerprint FROM l0")
 def corpus_fingerprint(spark, d):
     return bm25.corpus_fingerprint(_documents(spark, d), F.lit("chunks|word tokens"))
 
 
+@query(f"WITH {_TREE} " + " UNION ALL ".join(f"SELECT prefix, n, digest FROM l{k}" for k in range(5)))
+def corpus_tree(spark, d):
+    """The digests of all ranges of documents, by which two copies of a corpus are compared."""
+    return bm25.digest_tree(_documents(spark, d))
+
+
 @query(f"""WITH asked AS (SELECT 1 AS query_id, 'License ouer' AS query), c AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, CAST(doc_id AS VARCHAR) AS doc_id, path, text FROM ({FILES}) f), {BM25}, {RANKED.format('')},
 l AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, '/' || source || '/' || CAST(doc_id AS VARCHAR) || '.md' AS path, CAST(no AS INT) AS no, line, count(*) OVER (PARTITION BY doc_id) AS n FROM {LINES} x),
 m AS (SELECT l.doc_id, l.path, greatest(1, no - 1) AS a, CAST(least(n, no + 1) AS INT) AS b, min(rank) AS rank, min(no) AS first_no FROM l JOIN ranked r ON r.doc_id = l.doc_id WHERE list_has_any({terms_sql('line')}, ['license', 'ouer']) GROUP BY ALL),
