@@ -81,6 +81,7 @@ def test_many_groups_of_queries(spark, monkeypatch, sf_dir):
     index = bitsliced.build_index(docs)
     whole = sorted(map(tuple, bitsliced.search(index, items).collect()))
     monkeypatch.setattr(bitsliced, "GROUP_TERMS", 400)
+    monkeypatch.setattr(bitsliced, "TOGETHER", 3)
     assert sorted(map(tuple, bitsliced.search(index, items).collect())) == whole
     assert whole == sorted(brute([(r["doc_id"], r["text"]) for r in docs.collect()], [(r["item_id"], r["text"]) for r in items.select("item_id", "text").collect()]))
 

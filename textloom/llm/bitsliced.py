@@ -26,7 +26,9 @@ from .grouping import map_groups
 #: Documents of a block at most, and bytes of its texts that close it.
 BLOCK_ROWS, BLOCK_BYTES = 1 << 12, 1 << 23
 #: Terms of queries, counted by query, that one pass over the index answers; a group of queries has at most so many, or is one query.
-GROUP_TERMS = 1 << 15
+GROUP_TERMS = 1 << 14
+#: Queries whose sums are held at once.
+TOGETHER = 256
 #: Bytes of a text that belong to terms as they are; capital letters are lowered and all others part terms.
 _TERM_BYTES = bytes(i if i >= 0x80 or chr(i).isdigit() or chr(i).islower() else i + 32 if chr(i).isupper() else 0x20 for i in range(256))
 COUNTED = "block long, doc_ids array<long>, sizes array<int>, terms array<string>, dfs array<int>, docs array<int>, tfs array<int>"
@@ -234,28 +236,33 @@ class Group:
         worth = weighted(bits, weight)
         where = {t: i for i, t in enumerate(own["term"])}
         steps = [[(where[t], s) for t, s in some if t in where] for some in self.steps]
-        order = sorted(range(len(steps)), key=lambda q: -len(steps[q]))
-        order = [q for q in order if steps[q]]
-        total = np.zeros((self.bits, len(order), width // 8), np.uint64)
-        for nth in range(len(steps[order[0]]) if order else 0):
-            asking = [q for q in order if len(steps[q]) > nth]
-            shifts = [steps[q][nth][1] for q in asking]
-            more = np.zeros((min(self.bits, len(worth) + max(shifts)), len(asking), width), np.uint8)
-            for i, (q, shift) in enumerate(zip(asking, shifts, strict=True)):
-                t = steps[q][nth][0]
+        order = sorted((q for q in range(len(steps)) if steps[q]), key=lambda q: -len(steps[q]))
+        known = np.unpackbits(np.frombuffer(head["bits"], np.uint8), bitorder="little").astype(bool)
+        out = []
+        for lo in range(0, len(order), TOGETHER):
+            some = order[lo : lo + TOGETHER]
+            query, place, score = self._added([steps[q] for q in some], worth, at, bounds, width, k)
+            doc = pd.Series(ids[place], dtype="Int64").mask(~known[place])
+            out.append(pd.DataFrame({"query": np.array(self.queries)[np.array(some)[query]], "doc_id": doc, "score": score}))
+        return pd.concat(out, ignore_index=True) if out else None
+
+    def _added(self, steps: list[list[tuple[int, int]]], worth: np.ndarray, at: list[np.ndarray], bounds: list[int], width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The best of some queries, those of most steps first: query, place and score. Each step adds the next term of every query that has one."""
+        total = np.zeros((self.bits, len(steps), width // 8), np.uint64)
+        for nth in range(len(steps[0])):
+            asking = [q for q in steps if len(q) > nth]
+            more = np.zeros((min(self.bits, len(worth) + max(q[nth][1] for q in asking)), len(asking), width), np.uint8)
+            for i, q in enumerate(asking):
+                t, shift = q[nth]
                 high = min(len(worth), len(more) - shift)
                 more[shift : shift + high, i, at[t]] = worth[:high, bounds[t] : bounds[t + 1]]
             add_into(total[:, : len(asking)], more.view(np.uint64))
-        if not order:
-            return None
         query, place = np.nonzero(top(total, k))
         flat = total.view(np.uint8)
         score = np.zeros(len(query), np.int64)
         for s in range(self.bits):
             score += ((flat[s, query, place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(np.int64) << s
-        known = np.unpackbits(np.frombuffer(head["bits"], np.uint8), bitorder="little")[place].astype(bool)
-        doc = pd.Series(ids[place], dtype="Int64").mask(~known)
-        return pd.DataFrame({"query": np.array(self.queries)[np.array(order)[query]], "doc_id": doc, "score": score})
+        return query, place, score
 
 
 def _groups(pairs: DataFrame) -> int:
