@@ -261,10 +261,31 @@ def test_overlap_join_gives_each_pair_once(spark):
     left, right = spans(30), spans(25)
     a = spark.createDataFrame([(i, *r) for i, r in enumerate(left)], "a int, path string, start_line int, end_line int")
     b = spark.createDataFrame([(i, *r) for i, r in enumerate(right)], "b int, path string, from_line int, to_line int")
-    got = sorted((r["a"], r["b"]) for r in evidence.overlap_join(a, b, bin_lines=16).collect())
+    got = sorted((r["a"], r["b"]) for r in evidence.overlap_join(a, b).collect())
     assert got == [(i, j) for i, x in enumerate(left) for j, y in enumerate(right) if x[1] <= y[2] and y[1] <= x[2]]
 
 
+@pytest.mark.parametrize("pairs", [7, 1 << 14])
+def test_sweep_over_long_ranges_and_many_shares(spark, monkeypatch, pairs):
+    """Ranges of a million lines, equal firsts, paths in one share and in several, ranges that overlap nothing."""
+    monkeypatch.setattr(evidence, "PAIRS", pairs)
+    rng = np.random.default_rng(8)
+
+    def spans(n):
+        out = [(f"p{int(p)}", int(a), int(a + b)) for p, a, b in zip(rng.integers(0, 3, n), rng.integers(1, 10**6, n), np.minimum(10**6, np.exp(rng.uniform(0, 14, n))), strict=True)]
+        return [*out, ("p0", 1, 10**6), ("p0", 1, 1), ("p0", 500_000, 500_000), ("p1", 9, 3), ("p2", None, 4), (None, 1, 9), ("only", 5, 6), ("p0", 1, 10**6)]
+
+    left, right = spans(300), [*spans(200), ("other", 5, 6)]
+    a = spark.createDataFrame([(i, *r, "x") for i, r in enumerate(left)], "a int, path string, start_line int, end_line int, note string").repartition(5)
+    b = spark.createDataFrame([(i, *r) for i, r in enumerate(right)], "b int, path string, from_line int, to_line int")
+    got = evidence.overlap_join(a, b)
+    assert got.columns == ["a", "path", "start_line", "end_line", "note", "b", "from_line", "to_line"]
+    sound = lambda x: None not in x and x[1] <= x[2]
+    want = [(i, j) for i, x in enumerate(left) for j, y in enumerate(right) if sound(x) and sound(y) and x[0] == y[0] and x[1] <= y[2] and y[1] <= x[2]]
+    assert sorted((r["a"], r["b"]) for r in got.collect()) == want
+    assert evidence.overlap_join(a.limit(0), b).count() == evidence.overlap_join(a, b.limit(0)).count() == 0
+
+
 def test_evidence_of_a_trace(spark):
     facts = spark.createDataFrame([("fact-1", "/a", 2, 2), ("fact-3", "/a", 4, 4), ("fact-2", "/b", 2, 2)], "fact_id string, path string, line_start int, line_end int")
     trace = spark.createDataFrame([(1, 1, "read", True, [("/a", 2, 2)]), (1, 2, "list", True, [("/b", 1, 9)]), (1, 3, "read", False, [("/b", 1, 9)]), (1, 4, "cat", True, [("/b", 1, 2)]), (2, 1, "grep", True, [("/a", 2, 4)])], "run_id int, call_ordinal int, tool string, ok boolean, line_ranges array<struct<path:string,start_line:int,end_line:int>>")

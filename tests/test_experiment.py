@@ -1,8 +1,10 @@
+import hashlib
+
 from pyspark.sql import functions as F
 
 from textloom import cli
-from textloom.operators import experiment, validation, vfs
-from textloom.sources import client, corpus, derived
+from textloom.operators import budget, experiment, harness, validation, vfs
+from textloom.sources import client, corpus, derived, jsonl
 from textloom.sources.config import load_config
 
 
@@ -25,6 +27,16 @@ def test_both_conditions_end_to_end(spark, sf_dir, tmp_path):
             assert set(r["gold_evidence"]["fact_ids"]) <= set(r["accessed_evidence"]["fact_ids"])
         else:
             assert r["tool_call_count"] == 0 and r["calls_to_complete_gold_coverage"] is None and 0 <= r["retrieval_metrics"]["initial_chunk_recall"] <= 1
+    texts = {f"{r['doc_id']}::c0000": r["content"] for r in docs.collect()}
+    for r in made.collect():  # the first prompt, built again from what a run records, has the digest that it records
+        if r["condition"] == "vfs":
+            found = [x.asDict() for x in r["initial_retrieved_documents"]][: config.harness.initial_candidate_documents]
+            messages = harness.vfs_messages(r["question"], found, 8192)
+        else:
+            found = [x.asDict() | {"text": texts[x["chunk_id"]]} for x in r["initial_retrieved_chunks"]]
+            messages = budget.pack(r["question"], found, 8192, config.harness.retrieval_context_tokens, config.harness.max_answer_tokens)[1]
+        assert r["prompt_sha256"] == hashlib.sha256(jsonl.canonical(messages).encode()).hexdigest()
+        assert r["config_sha256"] == config.sha256 and len(r["corpus_sha256"]) == 64
     rest = experiment.run_experiment(docs, tasks, config, client.KnowsTheAnswer(), completed=made.filter("condition = 'vfs'"))
     assert [r["condition"] for r in rest.select("condition").distinct().collect()] == ["snippets"]
 

@@ -35,10 +35,12 @@ def percent(value: float | None) -> str:
 
 
 def table(df: DataFrame, most: int = 200) -> str:
-    """A Markdown table of a small result, of its first ``most`` rows."""
-    rows = df.limit(most).collect()
+    """A Markdown table of a result: its first ``most`` rows, and how many more there are."""
+    rows = df.limit(most + 1).collect()
+    more = df.count() - most if len(rows) > most else 0
+    rows = rows[:most]
     cell = lambda v: number(v) if isinstance(v, float) else "" if v is None else str(v).replace("|", "\\|")
-    return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns), *("| " + " | ".join(map(cell, r)) + " |" for r in rows)])
+    return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns), *("| " + " | ".join(map(cell, r)) + " |" for r in rows), *([f"\n{more} more rows are left out."] if more else [])])
 
 
 NO_MODEL = "all runs are by a mock, which says nothing of a model"

@@ -25,7 +25,7 @@ tool_call_count int, max_tool_calls_permitted int, tool_calls_by_type struct<gre
 unique_files_read {IDS}, unique_line_ranges_accessed array<{RANGE}>, time_to_first_gold_fact_ms double, calls_to_complete_gold_coverage int,
 token_accounting struct<limit:long,input_tokens_estimated:long,output_tokens_estimated:long,total_tokens_estimated:long,input_tokens_provider:long,output_tokens_provider:long,turns:{TURNS}>,
 latency struct<wall_ms:double,model_ms:double,retrieval_ms:double,tool_ms:double>, estimated_cost_usd double, hop_count int, category string, distractor_count int,
-errors array<struct<stage:string,code:string,message:string>>
+errors array<struct<stage:string,code:string,message:string>>, prompt_sha256 string, config_sha256 string, corpus_sha256 string
 """
 BUCKETS = ("0-25%", "25-50%", "50-75%", "75-100%", "over-100%", "unknown")
 

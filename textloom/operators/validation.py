@@ -31,6 +31,12 @@ def _rule(df: DataFrame, name: str, key: str, bad: Column) -> DataFrame:
     return df.filter(F.coalesce(bad, F.lit(False))).select(F.lit(name).alias("rule"), F.col(key).cast("string").alias("key"))
 
 
+def _rules(df: DataFrame, key: str, bad: dict[str, Column]) -> DataFrame:
+    """The rules that each row breaks, all looked at in one pass."""
+    broken = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), name) for name, c in bad.items())))
+    return df.select(F.explode(broken).alias("rule"), F.col(key).cast("string").alias("key"))
+
+
 def duplicates(df: DataFrame, key: str, name: str) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.lit(name).alias("rule"), F.col(key).cast("string").alias("key"))
 
@@ -50,10 +56,13 @@ def document_violations(docs: DataFrame) -> DataFrame:
     """``docs``: doc_id, path, category, content, facts (fact_id, line_start, line_end)."""
     n = F.size(lines(F.col("content")))
     fact = docs.select("doc_id", F.explode("facts").alias("f"), n.alias("n"))
+    own = {
+        "doc_id_grammar": F.col("doc_id").isNull() | ~F.rlike("doc_id", F.lit(DOC_ID)),
+        "category_agrees": F.col("doc_id").isNull() | (F.regexp_extract("doc_id", r"^doc-(.+)-\d+$", 1) != F.col("category")),
+        "path_agrees": ~F.startswith("path", F.concat(F.lit("/"), "category", F.lit("/"))),
+    }
     return reduce(DataFrame.unionByName, [
-        _rule(docs, "doc_id_grammar", "doc_id", F.col("doc_id").isNull() | ~F.rlike("doc_id", F.lit(DOC_ID))),
-        _rule(docs, "category_agrees", "doc_id", F.col("doc_id").isNull() | (F.regexp_extract("doc_id", r"^doc-(.+)-\d+$", 1) != F.col("category"))),
-        _rule(docs, "path_agrees", "doc_id", ~F.startswith("path", F.concat(F.lit("/"), "category", F.lit("/")))),
+        _rules(docs, "doc_id", own),
         _rule(fact, "fact_span", "doc_id", (F.col("f.line_start") < 1) | (F.col("f.line_end") < F.col("f.line_start")) | (F.col("f.line_end") > F.col("n"))),
         duplicates(docs, "doc_id", "doc_id_unique"),
         duplicates(docs, "path", "path_unique"),
@@ -72,13 +81,16 @@ def task_violations(tasks: DataFrame, docs: DataFrame, chunks: DataFrame) -> Dat
         asked = tasks.select("task_id", F.explode(column).alias("id"))
         return asked.join(known, "id", "left_anti").select(F.lit(name).alias("rule"), F.col("task_id").alias("key"))
 
+    own = {
+        "task_id_grammar": F.col("task_id").isNull() | ~F.rlike("task_id", F.lit(TASK_ID)),
+        **{f"{c}_sorted_unique": F.col(c).isNull() | ~sorted_unique(F.col(c)) for c in arrays},
+        "hop_count": F.col("hop_count") != F.size("required_fact_ids"),
+        "distractor_count": F.col("distractor_count") != F.size("distractor_document_ids"),
+        "gold_and_distractors_apart": F.arrays_overlap("gold_document_ids", "distractor_document_ids"),
+        "gold_chunks_in_gold_documents": outside,
+    }
     return reduce(DataFrame.unionByName, [
-        _rule(tasks, "task_id_grammar", "task_id", F.col("task_id").isNull() | ~F.rlike("task_id", F.lit(TASK_ID))),
-        *(_rule(tasks, f"{c}_sorted_unique", "task_id", F.col(c).isNull() | ~sorted_unique(F.col(c))) for c in arrays),
-        _rule(tasks, "hop_count", "task_id", F.col("hop_count") != F.size("required_fact_ids")),
-        _rule(tasks, "distractor_count", "task_id", F.col("distractor_count") != F.size("distractor_document_ids")),
-        _rule(tasks, "gold_and_distractors_apart", "task_id", F.arrays_overlap("gold_document_ids", "distractor_document_ids")),
-        _rule(tasks, "gold_chunks_in_gold_documents", "task_id", outside),
+        _rules(tasks, "task_id", own),
         duplicates(tasks, "task_id", "task_id_unique"),
         missing("required_fact_ids", facts, "facts_exist"),
         missing("gold_document_ids", docs.select(F.col("doc_id").alias("id")), "gold_documents_exist"),
@@ -164,11 +176,14 @@ def run_violations(runs: DataFrame) -> DataFrame:
     t = F.col("token_accounting")
     by = F.col("tool_calls_by_type")
     ordinals = F.transform("tool_trace", lambda x: x["call_ordinal"])
+    own = {
+        "token_total": t["total_tokens_estimated"] != t["input_tokens_estimated"] + t["output_tokens_estimated"],
+        "token_limit": t["total_tokens_estimated"] > t["limit"],
+        "calls_by_type": by["grep"] + by["read"] + by["cat"] + by["list"] != F.col("tool_call_count"),
+        "snippets_without_trace": (F.col("condition") == "snippets") & (F.size("tool_trace") > 0),
+        "ordinals": (F.size("tool_trace") > 0) & (ordinals != F.sequence(F.lit(1), F.size("tool_trace"))),
+    }
     return reduce(DataFrame.unionByName, [
-        _rule(runs, "token_total", "run_key", t["total_tokens_estimated"] != t["input_tokens_estimated"] + t["output_tokens_estimated"]),
-        _rule(runs, "token_limit", "run_key", t["total_tokens_estimated"] > t["limit"]),
-        _rule(runs, "calls_by_type", "run_key", by["grep"] + by["read"] + by["cat"] + by["list"] != F.col("tool_call_count")),
-        _rule(runs, "snippets_without_trace", "run_key", (F.col("condition") == "snippets") & (F.size("tool_trace") > 0)),
-        _rule(runs, "ordinals", "run_key", (F.size("tool_trace") > 0) & (ordinals != F.sequence(F.lit(1), F.size("tool_trace")))),
+        _rules(runs, "run_key", own),
         duplicates(runs, "run_key", "run_key_unique"),
     ])

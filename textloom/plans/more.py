@@ -98,15 +98,22 @@ def exact_terms(spark, d):
     return t.select("doc_id", F.size("t").cast("long").alias("n_terms"), F.get("t", F.lit(0)).alias("first_term"))
 
 
-IDS = ("doc-services-0001", "doc-Services-0001", "doc-a-b-12345", "doc-a-12", "fact-000001", "fact-1", "task-dev-000001", "task-test-000001", "doc-a-0001::c0000", "doc-a-0001::c1")
-SQL_RULES = {"is_doc": validation.DOC_ID, "is_chunk": validation.CHUNK_ID, "is_fact": validation.FACT_ID, "is_task": validation.TASK_ID}
-
-
-@query(f"SELECT p_partkey, {', '.join(f"regexp_matches(v, '{p}') AS {n}" for n, p in SQL_RULES.items())} FROM (SELECT p_partkey, list_extract([{', '.join(f"'{v}'" for v in IDS)}], CAST(p_partkey % {len(IDS)} AS INT) + 1) AS v FROM part) x")
+#: Ids of all kinds, right and wrong, made of the names and keys of parts.
+NAMED = """SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN 'doc-' || lower(replace(p_type, ' ', '-')) || '-' || lpad(CAST(p_partkey AS VARCHAR), 4, '0') WHEN 1 THEN 'doc-' || p_type || '-' || lpad(CAST(p_partkey AS VARCHAR), 4, '0') WHEN 2 THEN 'doc-' || lower(replace(p_type, ' ', '-')) || '-' || CAST(p_partkey AS VARCHAR)
+WHEN 3 THEN 'fact-' || CAST(p_partkey * 1009 AS VARCHAR) WHEN 4 THEN 'fact-' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') WHEN 5 THEN 'task-' || CASE WHEN p_size % 3 = 0 THEN 'dev' WHEN p_size % 3 = 1 THEN 'eval' ELSE 'test' END || '-' || lpad(CAST(p_partkey AS VARCHAR), 5 + p_size % 2, '0')
+WHEN 6 THEN 'doc-' || lower(replace(p_type, ' ', '-')) || '-0001::c' || lpad(CAST(p_partkey AS VARCHAR), 3 + p_size % 3, '0') WHEN 7 THEN lower(replace(p_type, ' ', '--')) || '-0001' ELSE 'doc-' || lower(replace(p_type, ' ', '--')) || '-0001' END AS v FROM part"""
+_DIGITS, _SMALL = "0123456789", "abcdefghijklmnopqrstuvwxyz0123456789"
+_digits = lambda x, n: f"(length({x}) >= {n} AND translate({x}, '{_DIGITS}', '') = '')"
+
+
+@query(f"""WITH n AS ({NAMED}), w AS (SELECT *, string_split(v, '-') AS w, string_split(v, '::c') AS c FROM n)
+SELECT p_partkey, w[1] = 'doc' AND len(w) >= 3 AND {_digits('w[-1]', 4)} AND len(list_filter(w, lambda x: x = '' OR translate(x, '{_SMALL}', '') <> '')) = 0 AS is_doc,
+len(c) = 2 AND starts_with(c[1], 'doc-') AND length(c[1]) > 4 AND translate(c[1], '{_SMALL}-', '') = '' AND {_digits('c[2]', 4)} AS is_chunk,
+starts_with(v, 'fact-') AND {_digits('substr(v, 6)', 6)} AS is_fact, (starts_with(v, 'task-dev-') AND {_digits('substr(v, 10)', 6)}) OR (starts_with(v, 'task-eval-') AND {_digits('substr(v, 11)', 6)}) AS is_task FROM w""")
 def id_grammar(spark, d):
-    p = base.base(spark, d, "SELECT p_partkey FROM part", "part")
-    v = F.element_at(F.array(*map(F.lit, IDS)), (F.col("p_partkey") % len(IDS)).cast("int") + 1)
-    return p.select("p_partkey", *(F.rlike(v, F.lit(rule)).alias(n) for n, rule in SQL_RULES.items()))
+    """Ids against their grammars; the SQL takes them apart instead."""
+    rules = {"is_doc": validation.DOC_ID, "is_chunk": validation.CHUNK_ID, "is_fact": validation.FACT_ID, "is_task": validation.TASK_ID}
+    return base.base(spark, d, NAMED, "part").select("p_partkey", *(F.rlike("v", F.lit(rule)).alias(n) for n, rule in rules.items()))
 
 
 # Texts cut to tokens
@@ -203,16 +210,18 @@ def vfs_grep_ranked(spark, d):
     return vfs.grep(vfs.build_lines(docs, whole), ranked, asked).select("ordinal", "path", "start_line", "end_line")
 
 
-#: Paths, what is wrong with them, and how they are written.
-PATHS = (("/a/b.md", None, "/a/b.md"), ("a/b.md", None, "/a/b.md"), ("/a/", None, "/a"), ("", "INVALID_PATH", None), ("a//b", "INVALID_PATH", None), ("../a", "PATH_TRAVERSAL", None), ("/a/./b", "PATH_TRAVERSAL", None), ("C:/a", "INVALID_PATH", None), ("/a%20b", "INVALID_PATH", None), ("/", None, "/"))
-_sql = lambda v: "NULL" if v is None else f"'{v}'"
+#: Paths of many forms, made of URLs.
+RAW = """SELECT page_id, CASE page_id % 9 WHEN 0 THEN url WHEN 1 THEN substr(url, instr(url, '://') + 2) WHEN 2 THEN substr(url, instr(url, '://') + 3) WHEN 3 THEN replace(substr(url, instr(url, '://') + 3), '/', '//') WHEN 4 THEN replace(substr(url, instr(url, '://') + 3), '/', '/./')
+WHEN 5 THEN '../' || substr(url, instr(url, '://') + 3) WHEN 6 THEN substr(url, 1, 0) WHEN 7 THEN replace(substr(url, instr(url, '://') + 2), '.', '%2e') ELSE substr(url, instr(url, '://') + 2, 12) || '/' END AS raw FROM pages"""
 
 
-@query(f"SELECT o_orderkey, v[1] AS error_code, v[2] AS canonical FROM (SELECT o_orderkey, list_extract([{', '.join(f'[{_sql(e)}, {_sql(c)}]' for _, e, c in PATHS)}], CAST(o_orderkey % {len(PATHS)} AS INT) + 1) AS v FROM orders) x")
+@query(f"""WITH r AS ({RAW}), c AS (SELECT *, CASE WHEN starts_with(raw, '/') THEN substr(raw, 2) ELSE raw END AS bare FROM r),
+e AS (SELECT *, CASE WHEN trim(raw) = '' OR contains(raw, '//') OR contains(raw, '%') OR contains(raw, chr(92)) OR (instr(raw, ':') > 1 AND translate(substr(raw, 1, instr(raw, ':') - 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-', '') = '' AND NOT contains('0123456789+.-', substr(raw, 1, 1))) THEN 'INVALID_PATH' WHEN list_has_any(string_split(bare, '/'), ['.', '..']) THEN 'PATH_TRAVERSAL' END AS error_code FROM c)
+SELECT page_id, raw, error_code, CASE WHEN error_code IS NULL THEN '/' || CASE WHEN ends_with(bare, '/') THEN substr(bare, 1, length(bare) - 1) ELSE bare END END AS canonical FROM e""")
 def path_forms(spark, d):
-    o = base.base(spark, d, "SELECT o_orderkey FROM orders", "orders")
-    raw = F.element_at(F.array(*(F.lit(p) for p, _, _ in PATHS)), (F.col("o_orderkey") % len(PATHS)).cast("int") + 1)
-    return o.select("o_orderkey", vfs.path_error(raw).alias("error_code"), vfs.canonical_path(raw).alias("canonical"))
+    """What is wrong with paths, and how they are written."""
+    raw = F.col("raw")
+    return base.base(spark, d, RAW, "pages").select("page_id", "raw", vfs.path_error(raw).alias("error_code"), vfs.canonical_path(raw).alias("canonical"))
 
 
 @query(f"""WITH f AS (SELECT doc_id, category AS source, path FROM ({FILES}) x), r AS (SELECT doc_id, source, path, doc_id % 6 AS k FROM f)
@@ -235,30 +244,20 @@ def vfs_files_below(spark, d):
     return vfs.files_below(tree, asked.select(F.col("node").alias("request_id"), F.col("node").alias("path")))
 
 
-#: Requests and the code that refuses them.
-REQUESTS = (
-    ("grep", {"query": "x", "max_results": "5"}, None),
-    ("grep", {"query": " ", "max_results": "5"}, "RESULT_LIMIT_INVALID"),
-    ("grep", {"query": "x", "max_results": "51"}, "RESULT_LIMIT_INVALID"),
-    ("grep", {"query": "x"}, "RESULT_LIMIT_INVALID"),
-    ("read", {"path": "/a", "start_line": "1", "end_line": "2"}, None),
-    ("read", {"path": "/a", "start_line": "one", "end_line": "2"}, "RANGE_INVALID"),
-    ("read", {"path": "/a", "start_line": "1"}, "RANGE_INVALID"),
-    ("cat", {"path": "/a"}, None),
-    ("cat", {"path": "/a", "more": "x"}, "INVALID_PATH"),
-    ("list", {}, None),
-    ("list", {"path": "/"}, None),
-    ("delete", {"path": "/"}, "INVALID_PATH"),
-)
-
-
-@query(f"SELECT event_id, list_extract([{', '.join(_sql(c) for _, _, c in REQUESTS)}], CAST(event_id % {len(REQUESTS)} AS INT) + 1) AS error_code FROM events")
+#: Requests with arguments that are there or not, right or wrong, made of events.
+REQUESTS = """SELECT event_id, CASE event_type WHEN 'view' THEN 'grep' WHEN 'click' THEN 'read' WHEN 'purchase' THEN 'cat' WHEN 'error' THEN 'delete' ELSE 'list' END AS tool, CASE WHEN event_id % 5 = 0 THEN ' ' WHEN event_id % 5 < 4 THEN event_type END AS q, CASE WHEN event_id % 3 < 2 THEN CAST(event_id % 60 AS VARCHAR) WHEN event_id % 9 = 2 THEN 'many' END AS m,
+CASE WHEN event_id % 4 > 0 THEN '/a' END AS p, CASE WHEN event_id % 6 > 0 THEN CAST(event_id % 90 AS VARCHAR) ELSE 'one' END AS s, CASE WHEN event_id % 7 > 0 THEN '99' END AS e, CASE WHEN event_id % 11 = 0 THEN 'x' END AS more FROM events"""
+
+
+@query(f"""SELECT event_id, tool, CASE WHEN tool = 'grep' AND (q IS NULL OR trim(q) = '' OR m IS NULL OR more IS NOT NULL OR TRY_CAST(m AS INT) IS NULL OR NOT TRY_CAST(m AS INT) BETWEEN 1 AND 50) THEN 'RESULT_LIMIT_INVALID' WHEN tool = 'read' AND (p IS NULL OR s IS NULL OR e IS NULL OR more IS NOT NULL OR TRY_CAST(s AS INT) IS NULL) THEN 'RANGE_INVALID'
+WHEN (tool = 'cat' AND (p IS NULL OR more IS NOT NULL)) OR (tool = 'list' AND more IS NOT NULL) OR tool = 'delete' THEN 'INVALID_PATH' END AS error_code FROM ({REQUESTS}) r""")
 def request_errors(spark, d):
-    e = base.base(spark, d, "SELECT event_id FROM events", "events")
-    nothing = F.create_map().cast("map<string,string>")
-    made = F.array(*(F.struct(F.lit(tool).alias("tool"), (F.create_map(*(F.lit(x) for kv in a.items() for x in kv)) if a else nothing).alias("arguments")) for tool, a, _ in REQUESTS))
-    r = e.select("event_id", F.element_at(made, (F.col("event_id") % len(REQUESTS)).cast("int") + 1).alias("r"))
-    return r.select("event_id", vfs.request_error(F.col("r.tool"), F.col("r.arguments")).alias("error_code"))
+    """The code that refuses a request by its arguments."""
+    own = {"grep": {"query": "q", "max_results": "m", "path": "p", "more": "more"}, "read": {"path": "p", "start_line": "s", "end_line": "e", "more": "more"}}
+    either = {"path": "p", "more": "more"}
+    given = lambda names: F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(k).alias("k"), F.col(c).alias("v")) for k, c in names.items())), lambda x: x["v"].isNotNull()))
+    arguments = F.when(F.col("tool") == "grep", given(own["grep"])).when(F.col("tool") == "read", given(own["read"])).otherwise(given(either))
+    return base.base(spark, d, REQUESTS, "events").select("event_id", "tool", vfs.request_error(F.col("tool"), arguments).alias("error_code"))
 
 
 # Evidence and failures
@@ -304,11 +303,14 @@ def run_counts(spark, d):
     return runs.run_counts(_design(spark, d), _design(spark, d).filter("condition = 'vfs' and design_cell = 'primary'"))
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS condition, CAST(NULL AS BIGINT) AS n, 'not_run' AS status")
+@query(f"""WITH asked AS (SELECT DISTINCT category FROM ({RUNS}) r), two_hops AS (SELECT condition, count(*) AS n FROM ({RUNS}) r WHERE hops = 2 GROUP BY condition), few AS (SELECT condition, count(*) AS n FROM ({RUNS}) r WHERE category NOT IN (SELECT category FROM asked) GROUP BY condition)
+SELECT 'some' AS asked, condition, CAST(n AS BIGINT) AS n, 'ok' AS status FROM two_hops UNION ALL SELECT 'some', NULL, NULL, 'not_run' WHERE NOT EXISTS (SELECT 1 FROM two_hops) UNION ALL SELECT 'few', condition, CAST(n AS BIGINT), 'ok' FROM few UNION ALL SELECT 'few', NULL, NULL, 'not_run' WHERE NOT EXISTS (SELECT 1 FROM few)""")
 def empty_summary(spark, d):
-    """A summary of no runs is one row that says so."""
-    none = runs.run_frame(base.nested_runs(spark, d)).filter("condition = 'neither'")
-    return aggregates.or_not_run(aggregates.condition_summary(none)).select("condition", "n", "status")
+    """A summary of some runs has its rows, and one of no runs is a row that says so."""
+    frame = runs.run_frame(base.nested_runs(spark, d))
+    parts = {"some": frame.filter("hop_count = 2"), "few": frame.join(frame.select("category").distinct(), "category", "left_anti")}
+    each = [aggregates.or_not_run(part.groupBy("condition").agg(F.count(F.lit(1)).alias("n"), F.lit("ok").alias("status"))).select(F.lit(name).alias("asked"), "condition", "n", "status") for name, part in parts.items()]
+    return each[0].unionByName(each[1])
 
 
 SQL["parsed_answers"] = "SELECT item_id, CASE WHEN item_id % 3 <> 0 THEN text END AS answer, CASE WHEN item_id % 3 <> 0 THEN 1 END AS n_citations, false AS ends_run FROM benchmark"
