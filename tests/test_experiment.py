@@ -1,10 +1,11 @@
 import hashlib
+import uuid
 
 from pyspark.sql import functions as F
 
 from textloom import cli
 from textloom.operators import budget, experiment, harness, validation, vfs
-from textloom.sources import client, corpus, derived, jsonl
+from textloom.sources import cache, client, corpus, derived, jsonl
 from textloom.sources.config import load_config
 
 
@@ -60,7 +61,7 @@ def test_resuming_another_experiment_is_refused(spark, sf_dir, tmp_path):
     at = str(tmp_path)
     assert cli.main(["derive", sf_dir, f"{at}/corpus"]) == 0
     assert cli.main(["run", f"{at}/corpus", f"{at}/out", "--split", "eval", "--task-limit", "1", "--cache", f"{at}/kept"]) == 0
-    assert len(list((tmp_path / "kept").glob("*.json"))) > 0
+    assert len(list((tmp_path / "kept").glob("batch-*/_SUCCESS"))) > 0
     (tmp_path / "other.yaml").write_text("experiment:\n  seed: 7\n")
     try:
         import yaml  # noqa: F401
@@ -84,3 +85,24 @@ def test_the_tool_loop_reads_compatibility_forms(spark):
     asked = spark.createDataFrame([("r1", "grep", {"query": "file foo", "max_results": "5"})], "run_key string, tool string, arguments map<string,string>")
     got = harness.tool_results(asked, docs, vfs.build_tree(docs), vfs.build_lines(docs, chunks, index.exact), index).first()
     assert "/a/d.md:1-2" in got["content"] and len(got["line_ranges"]) == 1
+
+
+def test_answers_are_asked_for_once(spark, sf_dir, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path / "state"))
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    folder, knows = str(calls), client.KnowsTheAnswer()
+
+    def counted(request):  # leaves a file for every call, in whatever process it is made
+        with open(f"{folder}/{uuid.uuid4().hex}", "w"):
+            return knows(request) | {"usage": {"prompt_tokens": 7, "completion_tokens": 3}}
+
+    docs, tasks = derived.from_tables(spark, sf_dir)
+    tasks = tasks.filter("split = 'eval'").limit(1).cache()
+    config = load_config(overrides={"experiment": {"experiment_id": "exp", "token_limit": 8192}}, environment={})
+    table = cache.ResponseTable(spark, str(tmp_path / "kept"))
+    run = lambda c: sorted((r["run_key"], r["final_answer"], r["tool_call_count"], r["token_accounting"]["input_tokens_provider"]) for r in experiment.run_experiment(docs, tasks, c, counted, responses=table).collect())
+    first = run(config)
+    asked = len(list(calls.iterdir()))
+    assert asked == 1 + 3 and table.rows().count() == asked  # a call a snippets run, and one a fact and an answer of the others
+    assert run(config) == first and len(list(calls.iterdir())) == asked

@@ -43,14 +43,6 @@ def _model(config: Config) -> client.Model:
     return client.Http(m.base_url or "", m.api_key or "", m.model, temperature=m.temperature, top_p=m.top_p, seed=m.seed)
 
 
-def _kept(model: client.Model, config: Config, folder: str | None) -> client.Model:
-    """The model with its responses kept in ``folder``, which all executors have to see."""
-    if folder is None:
-        return model
-    m = config.model
-    return cache.Cached(model, folder, {"provider": m.provider, "model": m.model, "base_url": m.base_url, "temperature": m.temperature, "top_p": m.top_p, "seed": m.seed})
-
-
 def derive(a: argparse.Namespace) -> int:
     spark = _spark(a.output)
     if Path(f"{a.output}/corpus.jsonl").exists() and not a.force:
@@ -73,7 +65,7 @@ def run(a: argparse.Namespace) -> int:
             expected["corpus_version"] = version["corpus_version"]
         if other := designs.provenance_mismatches(done, expected).select("run_key").take(3):
             raise ValueError("runs of another configuration or corpus cannot be resumed: " + ", ".join(r["run_key"] for r in other))
-    made = experiment.run_experiment(bundle.documents, tasks, config, _kept(_model(config), config, a.cache), done).checkpoint()
+    made = experiment.run_experiment(bundle.documents, tasks, config, _model(config), done, cache.ResponseTable(spark, a.cache) if a.cache else None).checkpoint()
     append_jsonl(made, f"{a.runs}/runs")
     print(f"{made.count()} runs")
     return 0

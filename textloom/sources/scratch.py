@@ -42,6 +42,19 @@ def folder(spark: SparkSession) -> str:
     return path
 
 
+def whole_folders(spark: SparkSession, at: str, prefix: str) -> list[str]:
+    """Names of the folders below ``at`` that begin with ``prefix`` and were written to their end, in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    return sorted(n for n in names if n.startswith(prefix) and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{at}/{n}/_SUCCESS")))
+
+
+def remove(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop() -> None:
     """Remove all tables that ``stored`` has written; frames that read them cannot be read any more."""
     while _STANDING:

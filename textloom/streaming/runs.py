@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -11,6 +9,7 @@ from pyspark.sql.types import StructType
 
 from textloom.operators.aggregates import condition_summary
 from textloom.operators.runs import RUN_RECORD, run_frame
+from textloom.sources.scratch import remove, whole_folders
 
 #: Versions of a result that stay beside the newest, for readers that have begun.
 KEPT = 2
@@ -38,22 +37,14 @@ def _versions(result: DataFrame, target: str, checkpoint: str) -> StreamingQuery
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{target}/version={number:012}")
         for old in _numbers(spark, target)[: -1 - KEPT]:
-            _folder(spark, target, lambda fs, path: fs.delete(path, True), f"version={old:012}")
+            remove(spark, f"{target}/version={old:012}")
 
     return result.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _folder(spark: SparkSession, target: str, use: Callable, name: str = ""):
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{name}" if name else target)
-    return use(path.getFileSystem(spark._jsc.hadoopConfiguration()), path)
-
-
 def _numbers(spark: SparkSession, target: str) -> list[int]:
     """The versions that are whole, oldest first."""
-    whole = lambda fs, path: [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-    names = [n for n in _folder(spark, target, whole) if n.startswith("version=")]
-    done = [n for n in names if _folder(spark, target, lambda fs, path: fs.exists(path), f"{n}/_SUCCESS")]
-    return sorted(int(n.removeprefix("version=")) for n in done)
+    return [int(n.removeprefix("version=")) for n in whole_folders(spark, target, "version=")]
 
 
 def latest(spark: SparkSession, target: str) -> DataFrame | None:
