@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from textloom.llm import bitsliced, common
 
@@ -86,6 +87,16 @@ def test_many_groups_of_queries(spark, monkeypatch, sf_dir):
     assert whole == sorted(brute([(r["doc_id"], r["text"]) for r in docs.collect()], [(r["item_id"], r["text"]) for r in items.select("item_id", "text").collect()]))
 
 
+def test_no_stored_row_grows_with_a_block(spark, monkeypatch):
+    """Readers gather thousands of rows at once, so a row of a stored table may hold a term's documents of a block, or its doc_ids, but not its texts."""
+    written = []
+    monkeypatch.setattr(bitsliced, "stored", lambda df: written.append(common.stored(df)) or written[-1])
+    docs = spark.range(4000).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 40), k -> concat('w', pmod(hash(id, k), 5000))), ' ') AS text")
+    bitsliced.build_index(docs.coalesce(1))
+    sizes = [df.select(F.length(F.to_json(F.struct(*df.columns))).alias("n")).agg(F.max("n")).first()[0] for df in written]
+    assert sizes and max(sizes) < 1 << 16
+
+
 def slices_of(numbers, count, width=64):
     out = np.zeros((count, numbers.shape[0], width // 8), np.uint8)
     for s in range(count):

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, count
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -31,8 +31,8 @@ GROUP_TERMS = 1 << 14
 TOGETHER = 256
 #: Bytes of a text that belong to terms as they are; capital letters are lowered and all others part terms.
 _TERM_BYTES = bytes(i if i >= 0x80 or chr(i).isdigit() or chr(i).islower() else i + 32 if chr(i).isupper() else 0x20 for i in range(256))
-COUNTED = "block long, doc_ids array<long>, sizes array<int>, terms array<string>, dfs array<int>, docs array<int>, tfs array<int>"
-SLICED = "block long, term string, slices int, at binary, bits binary"
+TOTALS = "documents long, length long"
+SLICED = "block long, term string, df int, slices int, at binary, bits binary"
 FOUND = "query long, doc_id long, score long"
 
 
@@ -52,41 +52,64 @@ class Index:
     length: int
 
 
-def _block(block: int, ids: list[int | None], sizes: list[int], found: list[list[int]], vocabulary: list[bytes]) -> pa.RecordBatch:
-    """One row of COUNTED: documents by id (null last), terms in order, and of each term its documents in order with their tf."""
+@dataclass(frozen=True)
+class Block:
+    """``ids``: of documents in order (null last), with their ``sizes``; ``terms`` in order, with their ``dfs``; of each term its documents
+    (places in ``ids``) in order, with their ``tfs``."""
+
+    ids: list[int | None]
+    sizes: np.ndarray
+    terms: list[bytes]
+    dfs: np.ndarray
+    docs: np.ndarray
+    tfs: np.ndarray
+
+
+def _block(ids: list[int | None], found: list[np.ndarray], vocabulary: list[bytes]) -> Block:
+    """The block of documents of which ``found`` has the terms, as places in ``vocabulary``."""
     order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0))
     place = np.empty(len(ids), np.int64)
     place[order] = np.arange(len(ids))
     by_term = sorted(range(len(vocabulary)), key=vocabulary.__getitem__)
     rank = np.empty(len(vocabulary), np.int64)
     rank[by_term] = np.arange(len(vocabulary))
-    code = rank[np.fromiter(chain.from_iterable(found), np.int64, sum(sizes))] * len(ids) + np.repeat(place, sizes)
-    code, tf = np.unique(code, return_counts=True)
-    term, doc = np.divmod(code, len(ids))
-    row = {
-        "block": block, "doc_ids": [ids[k] for k in order], "sizes": np.array(sizes)[order], "terms": [vocabulary[k].decode() for k in by_term],
-        "dfs": np.bincount(term, minlength=len(vocabulary)), "docs": doc, "tfs": tf,
-    }
-    types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.string()), *[pa.list_(pa.int32())] * 3]
-    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), types, strict=True)], list(row))
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    first, nth = TaskContext.get().partitionId() << 32, 0
-    new = lambda: ([], [], [], defaultdict(count().__next__))
-    held, (ids, sizes, found, known) = 0, new()
+    sizes = np.array([len(own) for own in found])
+    code = rank[np.concatenate(found)]
+    code *= len(ids)
+    code += np.repeat(place, sizes)
+    code.sort()
+    starts = np.flatnonzero(np.diff(code, prepend=-1))
+    tf = np.diff(starts, append=len(code))
+    term, doc = np.divmod(code[starts], len(ids))
+    return Block([ids[k] for k in order], sizes[order], [vocabulary[k] for k in by_term], np.bincount(term, minlength=len(vocabulary)), doc.astype(np.int32), tf.astype(np.int32))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    """Blocks of neighbouring rows (doc_id, text)."""
+    new = lambda: ([], [], defaultdict(count().__next__))
+    held, (ids, found, known) = 0, new()
     for b in batches:
-        for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            found.append(list(map(known.__getitem__, split_terms(text))))
-            ids.append(doc_id)
-            sizes.append(len(found[-1]))
+        for doc_id, text in zip(b.column(0), b.column(1), strict=True):
+            terms = split_terms(text := text.as_py())
+            found.append(np.fromiter(map(known.__getitem__, terms), np.int32, len(terms)))
+            ids.append(doc_id.as_py())
             held += len(text or "")
             if len(ids) >= BLOCK_ROWS or held >= BLOCK_BYTES:
-                yield _block(first + nth, ids, sizes, found, list(known))
-                nth += 1
-                held, (ids, sizes, found, known) = 0, new()
+                yield _block(ids, found, list(known))
+                held, (ids, found, known) = 0, new()
     if ids:
-        yield _block(first + nth, ids, sizes, found, list(known))
+        yield _block(ids, found, list(known))
+
+
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many documents of a task have a term, and their terms together."""
+    documents = length = 0
+    for b in batches:
+        for text in b.column(0):
+            n = len(split_terms(text.as_py()))
+            documents += n > 0
+            length += n
+    yield pa.RecordBatch.from_pydict({"documents": [documents], "length": [length]})
 
 
 def impacts(tf: np.ndarray, size: np.ndarray, documents: int, length: int) -> np.ndarray:
@@ -95,65 +118,59 @@ def impacts(tf: np.ndarray, size: np.ndarray, documents: int, length: int) -> np
     return (1_000_000_000 * tf) // (1000 * tf + 8 * norm)
 
 
-def _sliced(row: pa.RecordBatch, documents: int, length: int, most: int = 1 << 14) -> Iterator[pa.RecordBatch]:
-    """The rows of SLICED of one block, a row of COUNTED. Of a term's bitmaps only bytes that hold a document are kept: ``at`` says which, in two
+def _sliced(block: int, own: Block, documents: int, length: int, most: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """The rows of SLICED of one block. Of a term's bitmaps only bytes that hold a document are kept: ``at`` says which, in two
     bytes each, and ``bits`` has the slices of one such byte after the other's, least first."""
-    block = row.column("block")[0].as_py()
-    ids = row.column("doc_ids").flatten()
-    docs, tfs, sizes, dfs = (row.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("docs", "tfs", "sizes", "dfs"))
-    known = np.packbits(ids.is_valid().to_numpy(zero_copy_only=False), bitorder="little")
-    head = ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")
-    yield _rows(block, pa.array([""]), 0, np.array([0, head.nbytes]), head, np.array([0, known.nbytes]), known)
-    if not len(docs):
-        return
-    values = impacts(tfs, sizes[docs], documents, length)
-    slices = max(1, int(values.max()).bit_length())
-    # bytes that hold a document, term by term, and in each slice the bits of the documents that share a byte
-    owner = np.repeat(np.arange(len(dfs)), dfs)
-    new = np.ones(len(docs), bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (docs[1:] >> 3 != docs[:-1] >> 3)
-    starts = np.flatnonzero(new)
-    at = (docs[starts] >> 3).astype("<u2")
-    bit = (1 << (docs & 7)).astype(np.uint8)
-    plane = np.empty((len(starts), slices), np.uint8)
-    for s in range(slices):
-        plane[:, s] = np.bitwise_or.reduceat(np.where(values >> s & 1, bit, 0).astype(np.uint8), starts)
-    bounds = np.concatenate([[0], np.cumsum(np.bincount(owner[starts], minlength=len(dfs)))])
-    terms = row.column("terms").flatten()
-    for lo in range(0, len(dfs), most):
-        own = bounds[lo : lo + most + 1]
-        yield _rows(block, terms.slice(lo, most), slices, (own - own[0]) * 2, at[own[0] : own[-1]], (own - own[0]) * slices, plane[own[0] : own[-1]])
-
-
-def _rows(block: int, terms: pa.Array, slices: int, at_bounds: np.ndarray, at: np.ndarray, bit_bounds: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+    known = np.packbits([k is not None for k in own.ids], bitorder="little")
+    head = np.array([k or 0 for k in own.ids], "<i8")
+    yield _rows(block, [b""], np.zeros(1), 0, np.array([0, head.nbytes]), head, np.array([0, known.nbytes]), known)
+    first = np.concatenate([[0], np.cumsum(own.dfs)])
+    for lo in range(0, len(own.dfs), most):
+        dfs, (begin, end) = own.dfs[lo : lo + most], first[[lo, min(lo + most, len(own.dfs))]]
+        docs = own.docs[begin:end]
+        value = impacts(own.tfs[begin:end].astype(np.int64), own.sizes[docs], documents, length)
+        slices = max(1, int(value.max()).bit_length())
+        # bytes that hold a document, term by term, and in each slice the bits of the documents that share a byte
+        owner = np.repeat(np.arange(len(dfs)), dfs)
+        new = np.ones(len(docs), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (docs[1:] >> 3 != docs[:-1] >> 3)
+        starts = np.flatnonzero(new)
+        at = (docs[starts] >> 3).astype("<u2")
+        bit = (1 << (docs & 7)).astype(np.uint8)
+        plane = np.empty((len(starts), slices), np.uint8)
+        for s in range(slices):
+            plane[:, s] = np.bitwise_or.reduceat(np.where(value >> s & 1, bit, 0).astype(np.uint8), starts)
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(owner[starts], minlength=len(dfs)))])
+        yield _rows(block, own.terms[lo : lo + most], dfs, slices, bounds * 2, at, bounds * slices, plane)
+
+
+def _rows(block: int, terms: list[bytes], dfs: np.ndarray, slices: int, at_bounds: np.ndarray, at: np.ndarray, bit_bounds: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
     n = len(terms)
     binary = lambda bounds, data: pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
-    columns = [pa.array(np.full(n, block), pa.int64()), terms, pa.array(np.full(n, slices), pa.int32()), binary(at_bounds, at), binary(bit_bounds, bits)]
-    return pa.RecordBatch.from_arrays(columns, ["block", "term", "slices", "at", "bits"])
+    columns = [pa.array(np.full(n, block), pa.int64()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(dfs.astype(np.int32)), pa.array(np.full(n, slices), pa.int32()), binary(at_bounds, at), binary(bit_bounds, bits)]
+    return pa.RecordBatch.from_arrays(columns, ["block", "term", "df", "slices", "at", "bits"])
 
 
 def build_index(docs: DataFrame) -> Index:
     """Index all of ``docs`` (doc_id, text), as tables in the shared folder.
 
-    The texts are read once, in blocks of neighbouring rows: terms are counted where a document lies, and what is shuffled are counts of
-    terms by block. Impacts lean on the number and the length of all documents, so bitmaps are made in a second pass over the counts. A
-    part of the index is sorted by term, so a search of few terms skips the others. Null, empty and termless texts are documents that no
+    The texts are read twice, so ``docs`` has to give the same rows both times: impacts lean on the number and the length of all documents,
+    which are counted first; then terms are counted and bitmaps made where a document lies, in blocks of neighbouring rows, of which a task
+    holds one at a time, however many it is given. What is shuffled are counts of terms by block. A part of the index is sorted by term, so a search of few terms skips the others. Null, empty and termless texts are documents that no
     query finds and that no statistics count; rows of one doc_id are documents of their own; a null doc_id comes after all others."""
     bounded_batches(docs.sparkSession)
-    counted = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_counted, COUNTED))
-    add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-    one = counted.agg(F.sum(F.size(F.filter("sizes", lambda n: n > 0))).alias("n"), F.sum(add("sizes")).alias("l")).first()
+    one = docs.select("text").mapInArrow(_totals, TOTALS).agg(F.sum("documents").alias("n"), F.sum("length").alias("l")).first()
     documents, length = int(one["n"] or 0), int(one["l"] or 0)
-    df = counted.select(F.explode(F.arrays_zip("terms", "dfs")).alias("x")).groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.dfs").alias("df"))
-    weight = F.floor(1000 * F.log(F.lit(2.0 * documents + 2) / (2.0 * F.col("df") + 1)))
-    weights = stored(df.select("term", "df", weight.cast("long").alias("weight")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                yield from _sliced(b.slice(k, 1), documents, length)
+        first = TaskContext.get().partitionId() << 32
+        for nth, own in enumerate(_blocks(batches)):
+            yield from _sliced(first + nth, own, documents, length)
 
-    sliced = stored(counted.mapInArrow(run, SLICED).sortWithinPartitions("term"))
+    sliced = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SLICED).sortWithinPartitions("term"))
+    df = sliced.filter("term <> ''").groupBy("term").agg(F.sum("df").alias("df"))
+    weight = F.floor(1000 * F.log(F.lit(2.0 * documents + 2) / (2.0 * F.col("df") + 1)))
+    weights = stored(df.select("term", "df", weight.cast("long").alias("weight")))
     return Index(sliced, weights, documents, length)
 
 
@@ -299,7 +316,7 @@ def search(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
         mine = pairs.filter(_group_of(groups) == g)
         group = Group.of(mine.collect())  # bounded by GROUP_TERMS
         asked = F.broadcast(mine.select("term").distinct().unionByName(spark.range(1).select(F.lit("").alias("term"))))
-        met = index.sliced.join(asked, "term", "left_semi")
+        met = index.sliced.drop("df").join(asked, "term", "left_semi")
         found = map_groups(met, ["block"], lambda rows, group=group: group.best(rows, k), FOUND)
         best = found if best is None else best.unionByName(found)
         if g % 16 == 15:
