@@ -347,3 +347,10 @@ def test_rows_of_a_null_id_are_numbered_in_ranges(spark):
     for r in made:
         held[r["sequence_id"]] += r["length"]
     assert all(sorted(r["offset"] for r in made if r["sequence_id"] == q)[0] == 0 and n <= 1024 for q, n in held.items())
+
+
+def test_training_segments_are_small():
+    """The driver holds the buckets and counts of all training segments."""
+    buckets, counts = langid._features(b"the quick brown fox " * 12)
+    assert buckets.nbytes + counts.nbytes <= 4 * len(buckets)
+    assert counts.sum() == sum(len(ids) for ids in langid.subwords(b"the quick brown fox " * 12))

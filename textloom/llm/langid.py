@@ -101,8 +101,9 @@ def _pieces(text: str, size: int) -> list[bytes]:
 
 
 def _features(piece: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a segment and how often each is met, in two bytes each: the driver holds those of all segments."""
     ids, n = np.unique(np.concatenate(list(subwords(piece))), return_counts=True)
-    return ids.astype(np.int32), (n / n.sum()).astype(np.float32)
+    return ids.astype(np.uint16), n.astype(np.uint16)
 
 
 def train(texts: list[str], langs: list[str], rejected: float = 0.005, epochs: int = 4, rate: float = 2.0, seed: int = 8) -> LanguageModel:
@@ -135,7 +136,8 @@ def train(texts: list[str], langs: list[str], rejected: float = 0.005, epochs: i
     step, steps = 0, epochs * len(samples)
     for _ in range(epochs):
         for k in rng.permutation(len(samples)):
-            ids, share, y = samples[k]
+            ids, n, y = samples[k]
+            share = (n / n.sum()).astype(np.float32)
             now = rate * (1 - step / steps)
             x = share @ embed[ids]
             z = x @ layer + bias
